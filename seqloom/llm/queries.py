@@ -15,6 +15,23 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import token_store, tokens
+
+    path = common.scratch(spark, "store")
+    token_store.write_store(common.table(spark, sf_dir, "documents"), path, token_store.Params(tokens.public("word_bpe_49k.json")))
+    return token_store.read_store(spark, path, ids=False)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid, tokens
+
+    docs = common.table(spark, sf_dir, "documents")
+    p = langid.Params(tokens.public("piece_bpe_32k.model"))
+    out = langid.identify(docs.select("doc_id", "text"), langid.train(docs, p))
+    return out.select("doc_id", (common.crc_mod("doc_id", p.held_mod) == p.held_rest).alias("held_out"), "lang_pred", "score")
+
+
 _WORDS = r"""
 w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w)"""
