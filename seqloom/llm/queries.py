@@ -32,6 +32,14 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (common.crc_mod("doc_id", p.held_mod) == p.held_rest).alias("held_out"), "lang_pred", "score")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs, p = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), toxicity.Params()
+    out = toxicity.classify(docs, toxicity.train(docs, common.table(spark, sf_dir, "labels"), p))
+    return out.select("doc_id", (common.crc_mod("doc_id", p.held_mod) == p.held_rest).alias("held_out"), "score", "predicted", "threshold", "flagged")
+
+
 _WORDS = r"""
 w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w)"""
