@@ -223,10 +223,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     s = spark.read.parquet(path)
     # an id's rows: one, or its smallest set by size and fingerprint
     one = s.groupBy("id").agg(F.min(F.struct("n_shingles", "set_a", "set_b")).alias("x")).select("id", "x.*")
-    reps = one.where("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min("id").alias("rep"))
-    member_path = common.write(
-        one.join(reps, ["n_shingles", "set_a", "set_b"], "left").select("id", "n_shingles", "set_a", F.coalesce("rep", "id").alias("rep")), "members"
-    )
+    # sets held by several ids, as a table of their own: the join on them can then split a hot one
+    twice = one.where("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min("id").alias("rep"), F.max("id").alias("top")).where("rep != top")
+    twice = common.materialize(twice.select(F.col("n_shingles").alias("rn"), F.col("set_a").alias("ra"), F.col("set_b").alias("rb"), "rep"), "twice")
+    same = (one.n_shingles == twice.rn) & (one.set_a == twice.ra) & (one.set_b == twice.rb)
+    member_path = common.write(one.join(twice, same, "left").select("id", "n_shingles", "set_a", F.coalesce("rep", "id").alias("rep")), "members")
     members = spark.read.parquet(member_path)
     # buckets of representatives only
     own = members.where("id = rep and n_shingles > 0").select(F.col("id").alias("rid"), F.col("set_a").alias("own_a"))
@@ -258,6 +259,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> DataFrame:
-    """The rows of docs whose id is kept, with all their columns; rows with a null id stay, as nothing can be said of them."""
-    gone = near_duplicates(docs, id_col, text_col, p).where("not kept").select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    """The rows of docs whose id is kept, with all their columns; rows with a null id stay, as nothing can be said of them.
+
+    Of one id's repeated rows all stay or go together. The ids that go are written out and counted; up to
+    p.broadcast_ids are broadcast, more are anti-joined by a shuffle."""
+    gone = common.materialize(near_duplicates(docs, id_col, text_col, p).where("not kept").select(F.col(id_col).alias("__gone")), "gone")
+    few = gone.count() <= p.broadcast_ids
+    return docs.join(F.broadcast(gone) if few else gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")

@@ -40,6 +40,18 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (common.crc_mod("doc_id", p.held_mod) == p.held_rest).alias("held_out"), "score", "predicted", "threshold", "flagged")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contaminated
+
+    return contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing, tokens
+
+    return packing.pack(common.table(spark, sf_dir, "documents"), packing.Params(tokens.public("word_bpe_49k.json")))
+
+
 _WORDS = r"""
 w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w)"""
@@ -56,10 +68,19 @@ SELECT doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, doc_id = m.c
 FROM (SELECT DISTINCT doc_id FROM documents) q LEFT JOIN n USING (doc_id) JOIN m ON m.d = q.doc_id
 """
 
+OP4_SQL = f"""
+WITH {_WORDS},
+bw AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+b AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM bw),
+q AS (SELECT item_id, count(*) AS n FROM b GROUP BY item_id),
+p AS (SELECT doc_id, item_id, count(*) AS c FROM s JOIN b USING (g) GROUP BY 1, 2)
+SELECT doc_id, item_id, n AS n_item_shingles, c AS n_shared, CAST(c AS DOUBLE) / n AS containment FROM p JOIN q USING (item_id) WHERE 100 * c >= 80 * n
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_near_dedup": OP3_SQL}
+    return {"op3_minhash_near_dedup": OP3_SQL, "op4_decontamination": OP4_SQL}

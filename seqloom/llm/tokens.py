@@ -79,13 +79,8 @@ class Encoder:
             found = [self.known[w] if f is None else f for w, f in zip(listed, found)]
         return np.array(found, np.int64)
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets): text i has ids[offsets[i]:offsets[i + 1]]."""
-        if not self.exact_words:
-            lists = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
-            off = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])
-            return np.fromiter((x for e in lists for x in e), np.uint32, int(off[-1])), off
-        codes, off, uniques = words.split(texts)
+    def _halves(self, uniques: pa.Array) -> np.ndarray:
+        """The remembered places of each word's base (first half) and of its tail (second half)."""
         stem = pc.ascii_rtrim(uniques, characters=".,")
         raw, o = words.string_bytes(stem)
         size, full = np.diff(o), np.diff(words.string_bytes(uniques)[1])
@@ -101,7 +96,25 @@ class Encoder:
                 listed[i] = w[len(w) - int(runs[i]) :]
             tail = pa.array(listed, pa.string())
         both = pa.concat_arrays([base, tail]).dictionary_encode()
-        place = self._places(both.dictionary)[both.indices.to_numpy()]
+        return self._places(both.dictionary)[both.indices.to_numpy()]
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """How many ids encode() gives for each text."""
+        if not self.exact_words:
+            return np.diff(self.encode(texts)[1])
+        codes, off, uniques = words.split(texts)
+        place = self._halves(uniques)
+        length = self.off[place + 1] - self.off[place]
+        return words.run_sums((length[: len(uniques)] + length[len(uniques) :])[codes], off)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets): text i has ids[offsets[i]:offsets[i + 1]]."""
+        if not self.exact_words:
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+            off = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])
+            return np.fromiter((x for e in lists for x in e), np.uint32, int(off[-1])), off
+        codes, off, uniques = words.split(texts)
+        place = self._halves(uniques)
         n = len(uniques)
         start, length = self.off[place], self.off[place + 1] - self.off[place]
         # ids of each distinct word: those of its base, then those of its tail
