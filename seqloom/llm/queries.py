@@ -52,6 +52,24 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), packing.Params(tokens.public("word_bpe_49k.json")))
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import url_filter
+
+    listed = spark.createDataFrame([(x,) for x in url_filter.default_list()], "domain string")
+    pages = common.table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, listed, url_filter.RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat, tokens
+
+    p = chat.Params(tokens.public("byte_bpe_50k.json"))
+    text = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    return chat.read_back(chat.format_conversations(rows, p), p)
+
+
 _WORDS = r"""
 w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w)"""
@@ -77,10 +95,30 @@ p AS (SELECT doc_id, item_id, count(*) AS c FROM s JOIN b USING (g) GROUP BY 1,
 SELECT doc_id, item_id, n AS n_item_shingles, c AS n_shared, CAST(c AS DOUBLE) / n AS containment FROM p JOIN q USING (item_id) WHERE 100 * c >= 80 * n
 """
 
+OP7_SQL = r"""
+WITH u AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+r AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR suffix(host, '.example.org')) AND prefix(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR suffix(host, '.example.org')) AND prefix(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/') THEN 'org/' END AS rule
+  FROM u)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+    WHEN regexp_matches(host, '(^|\.)(adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm)\.example\.(com|net|org)$') THEN 'block' ELSE 'allow' END AS verdict
+FROM r
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_near_dedup": OP3_SQL, "op4_decontamination": OP4_SQL}
+    return {"op3_minhash_near_dedup": OP3_SQL, "op4_decontamination": OP4_SQL, "op7_url_filters": OP7_SQL}
