@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from . import words
 
 #: Words that an encoder remembers between batches, at most; beyond that it starts anew.
-REMEMBERED = 1_200_000
+REMEMBERED = 3_000_000
 
 
 def gather(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -48,36 +48,71 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.exact_words = by_words(json.loads(self.tokenizer.to_str()))
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(self.vocabulary, bool)
+            self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith(suffix)]] = True
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.key, self.check, self.at = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids = np.zeros(1 << 20, np.uint32)
-        self.off = np.zeros(1 << 16, np.int64)
-
-    def _learn(self, new: list[str]) -> None:
-        encoded = [e.ids for i in range(0, len(new), 4096) for e in self.tokenizer.encode_batch_fast(new[i : i + 4096], add_special_tokens=False)]
-        length = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        n = len(self.known)
-        end = self.off[n] + np.cumsum(length)
-        while len(self.off) <= n + len(new):
-            self.off = np.concatenate([self.off, np.zeros_like(self.off)])
-        while len(self.ids) < end[-1]:
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.off[n] : end[-1]] = np.fromiter((x for e in encoded for x in e), np.uint32, int(length.sum()))
-        self.off[n + 1 : n + 1 + len(new)] = end
-        self.known.update(zip(new, range(n, n + len(new))))
+        self.off = np.zeros(1, np.int64)
+
+    def _fresh(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each string). Words of letters alone are encoded many to a text, as each is one pre-token, whose last id is one that ends words."""
+        length = np.zeros(len(new), np.int64)
+        plain = pc.utf8_is_alpha(new).to_numpy(zero_copy_only=False)
+        which, runs, counts = np.flatnonzero(plain), [], []
+        if self.ends is not None and len(which):
+            some = new.take(pa.array(which))
+            cut = np.append(np.arange(0, len(which), 256), len(which))
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(cut, pa.int32()), some), " ").to_pylist()
+            for i, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                ids = np.array(e.ids, np.uint32)
+                last = np.flatnonzero(self.ends[ids])
+                if len(last) != cut[i + 1] - cut[i] or last[-1] != len(ids) - 1:
+                    plain[which[cut[i] : cut[i + 1]]] = False  # not as expected: these go one by one
+                    continue
+                runs.append((which[cut[i] : cut[i + 1]], ids))
+                length[runs[-1][0]] = np.diff(last, prepend=-1)
+        else:
+            plain[:] = False
+        alone = np.flatnonzero(~plain)
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(new.take(pa.array(alone)).to_pylist(), add_special_tokens=False)] if len(alone) else []
+        length[alone] = [len(x) for x in lists]
+        if len(alone):
+            runs.append((alone, np.fromiter((x for e in lists for x in e), np.uint32, int(length[alone].sum()))))
+        start = np.concatenate([[0], np.cumsum(length)])
+        out = np.zeros(start[-1], np.uint32)
+        for w, ids in runs:
+            out[gather(start[w], length[w])] = ids
+        return out, length
 
     def _places(self, strings: pa.Array) -> np.ndarray:
-        listed = strings.to_pylist()
-        if len(self.known) + len(listed) > REMEMBERED:
+        """The numbers of remembered strings, after new ones are encoded. Two 64-bit hashes stand for a string."""
+        key, check = words.hash_strings(strings), words.hash_strings(strings, words.OTHER_STEP)
+        if len(self.key) + len(strings) > REMEMBERED:
             self._clear()
-        found = list(map(self.known.get, listed))
-        if None in found:
-            new = list(dict.fromkeys(w for w, f in zip(listed, found) if f is None))
-            self._learn(new)
-            found = [self.known[w] if f is None else f for w, f in zip(listed, found)]
-        return np.array(found, np.int64)
+        found = np.full(len(strings), -1)
+        if len(self.key):
+            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            same = (self.key[at] == key) & (self.check[at] == check)
+            found[same] = self.at[at[same]]
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            ids, length = self._fresh(strings.take(pa.array(new)))
+            n, base = len(self.off) - 1, int(self.off[-1])
+            while len(self.ids) < base + len(ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self.ids[base : base + len(ids)] = ids
+            self.off = np.concatenate([self.off, base + np.cumsum(length)])
+            found[new] = n + np.arange(len(new))
+            order = new[np.argsort(key[new], kind="stable")]
+            spot = np.searchsorted(self.key, key[order])
+            self.key, self.check, self.at = np.insert(self.key, spot, key[order]), np.insert(self.check, spot, check[order]), np.insert(self.at, spot, found[order])
+        return found
 
     def _halves(self, uniques: pa.Array) -> np.ndarray:
         """The remembered places of each word's base (first half) and of its tail (second half)."""

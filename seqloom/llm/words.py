@@ -34,6 +34,7 @@ def numbers(seed: int, n: int) -> np.ndarray:
 
 _BYTE = numbers(1, 256)
 _STEP = int(numbers(2, 1)[0]) | 1
+OTHER_STEP = int(numbers(4, 1)[0]) | 1
 _PLACE = numbers(3, SHINGLE) | _U(1)
 
 
@@ -74,15 +75,15 @@ def string_bytes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - (off[0] if len(off) else 0)
 
 
-def hash_strings(strings: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each string: a polynomial over random byte values, mixed."""
+def hash_strings(strings: pa.Array, step: int = _STEP) -> np.ndarray:
+    """A 64-bit hash of each string: a polynomial in step over random byte values, mixed."""
     if not len(strings):
         return np.zeros(0, _U)
     raw, off = string_bytes(strings)
     length = np.diff(off)
     with np.errstate(over="ignore"):
         power = np.ones(max(int(length.max()), 1) + 1, _U)
-        np.multiply.accumulate(np.full(len(power) - 1, _STEP, _U), out=power[1:])
+        np.multiply.accumulate(np.full(len(power) - 1, step, _U), out=power[1:])
         place = np.arange(len(raw)) - np.repeat(off[:-1], length)
         total = np.zeros(len(raw) + 1, _U)
         np.cumsum(_BYTE[raw] * power[place], out=total[1:])
