@@ -10,8 +10,8 @@ import pyarrow.compute as pc
 
 from . import words
 
-#: Words that an encoder remembers between batches, at most; beyond that it starts anew.
-REMEMBERED = 3_000_000
+#: Words that an encoder remembers between batches, at most; beyond that only those that were met again stay.
+REMEMBERED = 1_200_000
 
 
 def gather(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -57,9 +57,23 @@ class Encoder:
 
     def _clear(self) -> None:
         self.key, self.check, self.at = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.again = np.zeros(0, bool)
         self.ids = np.zeros(1 << 20, np.uint32)
         self.off = np.zeros(1, np.int64)
 
+    def _shrink(self) -> None:
+        """Keeps the words that were met again since they were learned or last kept; all go if those are over half of the room."""
+        keep = np.flatnonzero(self.again[self.at])
+        if len(keep) > REMEMBERED // 2:
+            self._clear()
+            return
+        place = self.at[keep]
+        length = self.off[place + 1] - self.off[place]
+        ids = self.ids[gather(self.off[place], length)]
+        self.key, self.check, self.at = self.key[keep], self.check[keep], np.arange(len(keep))
+        self.again, self.off = np.zeros(len(keep), bool), np.concatenate([[0], np.cumsum(length)])
+        self.ids = np.concatenate([ids, np.zeros(1 << 20, np.uint32)])
+
     def _fresh(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each string). Words of letters alone are encoded many to a text, as each is one pre-token, whose last id is one that ends words."""
         length = np.zeros(len(new), np.int64)
@@ -93,21 +107,23 @@ class Encoder:
     def _places(self, strings: pa.Array) -> np.ndarray:
         """The numbers of remembered strings, after new ones are encoded. Two 64-bit hashes stand for a string."""
         key, check = words.hash_strings(strings), words.hash_strings(strings, words.OTHER_STEP)
-        if len(self.key) + len(strings) > REMEMBERED:
-            self._clear()
+        if len(self.key) and len(self.key) + len(strings) > REMEMBERED:
+            self._shrink()
         found = np.full(len(strings), -1)
         if len(self.key):
             at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
             same = (self.key[at] == key) & (self.check[at] == check)
             found[same] = self.at[at[same]]
+            self.again[found[same]] = True
         new = np.flatnonzero(found < 0)
         if len(new):
             ids, length = self._fresh(strings.take(pa.array(new)))
             n, base = len(self.off) - 1, int(self.off[-1])
-            while len(self.ids) < base + len(ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            if len(self.ids) < base + len(ids):
+                self.ids = np.concatenate([self.ids[:base], np.zeros(len(ids) + (1 << 20), np.uint32)])
             self.ids[base : base + len(ids)] = ids
             self.off = np.concatenate([self.off, base + np.cumsum(length)])
+            self.again = np.concatenate([self.again, np.zeros(len(new), bool)])
             found[new] = n + np.arange(len(new))
             order = new[np.argsort(key[new], kind="stable")]
             spot = np.searchsorted(self.key, key[order])

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 SHINGLE = 5
 #: Text bytes handled at a time inside a batch, so that temporaries stay bounded. One longer text is a slice of its own.
-SLICE_BYTES = 12_000_000
+SLICE_BYTES = 5_000_000
 
 _U = np.uint64
 
@@ -47,6 +47,7 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         base = total[start - 1] if start else 0
         end = max(start + 1, int(np.searchsorted(total, base + SLICE_BYTES, "right")))
         yield batch.slice(start, end - start)
+        pa.default_memory_pool().release_unused()
         start = end
 
 
