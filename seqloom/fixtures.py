@@ -17,7 +17,10 @@ RAW_BASES = "ACGTACGTACGTACGTACGTNCNTNN"
 
 
 def _tiles(spark: SparkSession, sf_dir: str, bases: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    n = spark.sparkContext.defaultParallelism
+    if d.rdd.getNumPartitions() < n:  # a small file is one split, and every read comes out of it
+        d = d.repartition(n, "doc_id")
     t = d.select("doc_id", F.translate(F.lower(F.regexp_replace("text", "[^A-Za-z]", "")), LETTERS, bases).alias("tx")).where(F.length("tx") >= READ)
     w = t.select("doc_id", "tx", F.explode(F.sequence(F.lit(0), F.length("tx") - READ, F.lit(STEP))).alias("pos"))
     return w.select((F.col("doc_id") * ID_STEP + F.col("pos")).alias("read_id"), "doc_id", "pos", F.substring("tx", F.col("pos") + 1, F.lit(READ)).alias("f"))
