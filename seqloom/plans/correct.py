@@ -35,6 +35,8 @@ class Correction:
         self.counts = self.spark.createDataFrame([], "cluster_id long, pos long, cA long, cC long, cG long, cT long")
         self.members = self.spark.createDataFrame([], "cluster_id long, read_id long")
         self.frontier = self.spark.createDataFrame([], "cluster_id long, core string, at int")
+        self.gathered = self.spark.createDataFrame([], "cluster_id long, read_id long")  # over all rounds, repeats included
+        self.columns = self.spark.createDataFrame([], "cluster_id long, pos long, cA long, cC long, cG long, cT long, entropy double")
         self.rounds = 0
 
     def admitted(self) -> DataFrame:
@@ -129,6 +131,9 @@ class Correction:
         self.tried = materialize(self.tried.unionByName(seeds), "tried")
         self.claims = materialize(self.claims.unionByName(new_claims), "claims")
         self.clusters = materialize(rest.unionByName(full.select("cluster_id", "core_lo", "core_hi", "core", "active")), "clusters")
+        self.gathered = materialize(self.gathered.unionByName(placed.select("cluster_id", "read_id")), "gathered")
+        shown = prof.join(ext.select("cluster_id", "pos"), ["cluster_id", "pos"]).select("cluster_id", "pos", *(F.round(f"c{b}").cast("long").alias(f"c{b}") for b in dna.BASES), "entropy")
+        self.columns = materialize(self.columns.unionByName(shown), "columns")
         self.rounds += 1
         return True
 
@@ -165,6 +170,10 @@ class Correction:
         n = self.claims.groupBy("cluster_id").agg(F.count("*").alias("n_reads"))
         return self.clusters.where(F.length("core") > self.p.k).select("cluster_id", "core").join(n, "cluster_id", "left").select("cluster_id", "core", F.coalesce("n_reads", F.lit(0)).alias("n_reads"))
 
+    def contig_columns(self) -> DataFrame:
+        """cluster_id, pos, cA, cC, cG, cT, entropy of each contig column, as it stood when it was added."""
+        return self.columns.join(self.contigs().select("cluster_id"), "cluster_id")
+
     def corrections(self) -> DataFrame:
         """read_id, pos, kind, bases: places in the read as sequenced, bases on the cluster's strand."""
         x = self.claims.join(self.reads.select("read_id", F.length("seq").alias("len")), "read_id").select("read_id", "rc", "len", F.explode("edits").alias("e"))
