@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: The template's control strings; the tokenizer gets them as special tokens, so no token spans the edge of a text.
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 
@@ -123,6 +125,7 @@ def format_conversations(rows: DataFrame, p: Params, conv_col: str = "conv_id",
     Rows are dealt by conversation and sorted (spilling as needed), then streamed: a task holds one conversation and
     about a million characters of finished ones, whatever a key's share of the rows."""
     spark = rows.sparkSession
+    common.bound_batches(spark)
     base = rows.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("conv_id is not null")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return base.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(_format(p), FORMATTED)

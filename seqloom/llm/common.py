@@ -55,6 +55,17 @@ def _tidy() -> None:
             return
 
 
+#: Bytes of an Arrow batch between Spark and Python, unless the session sets its own: rows alone bound nothing when texts are long.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes unless the application was configured with a bound of its own."""
+    key, value = BATCH_BYTES
+    if not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -112,6 +112,7 @@ MATCHES = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.St
 
 def with_matches(docs: DataFrame, items: list[tuple[int, str]], p: Params, text_col: str, out_col: str) -> DataFrame:
     """docs with an array of (item_id, n_item, n_shared) added, empty for clean rows. One map pass; only the index is broadcast."""
+    common.bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((items, p))
     made: list[Index] = []
 

@@ -247,6 +247,7 @@ def extract(pages: DataFrame, m: Model, html_col: str = "html", text_out: str =
 
     Null, empty and text-less pages have an empty text. Pages are read whole, however long; repeated rows get the same
     answer; no rows, no rows. One map pass, no shuffle; the model is of fixed size and broadcast."""
+    common.bound_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(m)
     rest = [f for f in pages.schema.fields if f.name != html_col]
     text_out = common.free_name(text_out, [f.name for f in rest])

@@ -234,6 +234,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_out: st
     same answer. One map pass over Arrow batches, no shuffle; the model (vocabulary x languages) is broadcast and of
     fixed size."""
     spark = docs.sparkSession
+    common.bound_batches(spark)
     lang_out, score_out = common.free_name(lang_out, docs.columns), common.free_name(score_out, docs.columns)
     shared = spark.sparkContext.broadcast(model)
     column = text_col

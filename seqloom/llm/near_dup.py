@@ -217,6 +217,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that occurs more than once counts once, with the text that is smallest. Extra columns are ignored. No rows in: no rows out.
     """
     spark = docs.sparkSession
+    common.bound_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     signed = base.mapInArrow(_sign(p), SIGNED)
     path = common.write(signed, "signed")

@@ -104,6 +104,7 @@ def pack(docs: DataFrame, p: Params, id_col: str = "doc_id", text_col: str = "te
     segments' offsets come from their counts, so that a bucket with a third of all rows is no task of its own.
     """
     spark = docs.sparkSession
+    common.bound_batches(spark)
     lengths = common.materialize(counted(docs, p, id_col, text_col), "lengths").withColumn("g", grid(F.col("n_tokens"), p.exact))
     histogram = [(r[0], r[1]) for r in lengths.groupBy("g").count().collect()]
     bounds = optimal_bounds(histogram, p.buckets)

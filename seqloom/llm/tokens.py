@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from . import words
 
 #: Words that an encoder remembers between batches, at most; beyond that only those that were met again stay.
-REMEMBERED = 1_200_000
+REMEMBERED = 800_000
 
 
 def gather(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -46,13 +46,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.exact_words = by_words(json.loads(self.tokenizer.to_str()))
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.exact_words = by_words(spec)
+        suffix = spec["model"].get("end_of_word_suffix")
         self.ends = None
         if suffix:
             self.ends = np.zeros(self.vocabulary, bool)
-            self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith(suffix)]] = True
+            self.ends[[i for w, i in spec["model"]["vocab"].items() if w.endswith(suffix)]] = True
+        del spec
+        words.give_back()
         self._clear()
 
     def _clear(self) -> None:

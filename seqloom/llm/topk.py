@@ -250,6 +250,7 @@ def top_k(vectors: DataFrame, is_query: str, id_col: str = "vec_id", vector_col:
     or, for negative values, least value) until the bound is below its k-th score so far, which starts from a sample's.
     """
     spark = vectors.sparkSession
+    common.bound_batches(spark)
     base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
     ints = common.materialize(base.mapInArrow(_integers(p.scale), "vec_id long, data binary, dim int, top long"), "ints")
     n, dim, top = ints.agg(F.count("*"), F.max("dim"), F.max("top")).first()

@@ -6,6 +6,7 @@ lower-cased, nothing else. Every function takes whole texts: none is cut, howeve
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow.compute as pc
 
 SHINGLE = 5
 #: Text bytes handled at a time inside a batch, so that temporaries stay bounded. One longer text is a slice of its own.
-SLICE_BYTES = 5_000_000
+SLICE_BYTES = 4_000_000
 
 _U = np.uint64
 
@@ -38,6 +39,15 @@ OTHER_STEP = int(numbers(4, 1)[0]) | 1
 _PLACE = numbers(3, SHINGLE) | _U(1)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system; workers live long and go from one operator to the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library: it keeps what it has
+        pass
+
+
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """batch in runs of rows of about SLICE_BYTES of text."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -47,8 +57,8 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         base = total[start - 1] if start else 0
         end = max(start + 1, int(np.searchsorted(total, base + SLICE_BYTES, "right")))
         yield batch.slice(start, end - start)
-        pa.default_memory_pool().release_unused()
         start = end
+    give_back()
 
 
 def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
