@@ -151,7 +151,8 @@ _CHAIN = [
       SELECT a.cluster_id, a.pos AS pos_i, b.pos AS pos_j, count(*) AS shared FROM err a JOIN err b ON a.cluster_id = b.cluster_id AND a.read_id = b.read_id AND a.pos < b.pos GROUP BY 1, 2, 3) b USING (cluster_id, pos_i, pos_j)"""),
     ("siv", "SELECT *, 1.0::DOUBLE / (1.0::DOUBLE + exp(3.0::DOUBLE - shared)) AS v FROM sim"),
 ]
-_NEEDS = {"idx": "reads", "mch": "reads"}
+#: Steps that several others read.
+_OFTEN = {"win", "post", "gat", "ori", "bas", "pro", "att", "ext"}
 
 
 def _sql(last: str, raw: bool = False) -> str:
@@ -161,7 +162,7 @@ def _sql(last: str, raw: bool = False) -> str:
     text, used = last, []
     for name, body in reversed(_CHAIN):
         if re.search(rf"\b{name}\b", text):
-            used.append(f"{name} AS ({body})")
+            used.append(f"{name} AS {'MATERIALIZED ' if name in _OFTEN else ''}({body})")
             text += " " + body
     views = [v for v, on in ((fixtures.READS_SQL, re.search(r"\breads\b", text)), (fixtures.RAW_SQL, raw)) if on]
     return "WITH " + ",\n".join([*views, *reversed(used)]) + "\n" + last
