@@ -36,7 +36,8 @@ def postings(reads: DataFrame, k: int, counts: DataFrame | None = None, share: f
     w = windows(reads, k)
     if counts is not None:
         keep = counts.where(~dna.low_complexity(F.col("kmer"), share)).select("kmer")
-        w = w.join(keep, "kmer", "left_semi")
+        # both sides are shuffled by k-mer anyway; hashing the kept k-mers of a partition saves sorting all occurrences
+        w = w.join(keep.hint("shuffle_hash"), "kmer", "left_semi")
     # end and strand as one integer, so that the minimum is a hash aggregate without a sort
     first = w.groupBy("kmer", "read_id").agg(F.min(F.col("end") * 2 + (~F.col("forward")).cast("int")).alias("x"))
     end = F.floor(F.col("x") / 2)
@@ -53,4 +54,4 @@ def admit(posts: DataFrame) -> DataFrame:
 
     A minimum per k-mer (partial before the shuffle, so a hot k-mer is cheap), then one join back on the k-mer."""
     low = posts.groupBy("kmer").agg(F.min("read_id").alias("low"))
-    return posts.join(low, "kmer").groupBy("read_id").agg(F.min(F.col("read_id") == F.col("low")).alias("ok")).where("ok").select("read_id")
+    return posts.join(low.hint("shuffle_hash"), "kmer").groupBy("read_id").agg(F.min(F.col("read_id") == F.col("low")).alias("ok")).where("ok").select("read_id")

@@ -34,11 +34,21 @@ class Flow:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir, self.made = spark, sf_dir, {}
-        self.reads = fixtures.reads(spark, sf_dir)
-        self.usable = kmers.indexed(self.reads.select("read_id", "seq"), P.read_low_complexity)
+        self.lazy = fixtures.reads(spark, sf_dir)
+
+    @property
+    def reads(self) -> DataFrame:
+        """Tiled once: filters and joins on a sequence then read it instead of making it again."""
+        if "reads" not in self.made:
+            self.made["reads"] = sinks.materialize(self.lazy, "reads")
+        return self.made["reads"]
+
+    @property
+    def usable(self) -> DataFrame:
+        return kmers.indexed(self.reads.select("read_id", "seq"), P.read_low_complexity)
 
     def counts(self) -> DataFrame:
-        return kmers.spectrum(self.reads, K, P.min_count)
+        return kmers.spectrum(self.made.get("reads", self.lazy), K, P.min_count)
 
     @once
     def postings(self) -> DataFrame:
