@@ -160,6 +160,9 @@ def align_reads(placed: DataFrame, counts: DataFrame, p: Params = Params()) -> D
     Reads meet their cluster's columns by a join on the cluster, so that a hot cluster's reads are aligned by many tasks;
     inside an Arrow batch the reads of a cluster are aligned together."""
     x = placed.select("cluster_id", "read_id", "loc", "oseq").join(profile_arrays(counts), "cluster_id")
+    # alignment is much work for few bytes, so rows are spread by count; a hot cluster goes to several tasks
+    n = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = x.repartition(n, "cluster_id", F.pmod(F.xxhash64("read_id"), F.lit(8)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -134,9 +134,11 @@ def test_rare_and_single_columns_change_nothing():
 def test_posteriors_sum_to_at_most_one_and_match_likelihood():
     p = profile_of("ACGTTGCAACGGTACC")
     seq = np.array(["ACGT".index(b) for b in "GTTGCAAC"])
-    post, total = em.posteriors(p, seq, 2)
-    assert (post.sum(1) <= 1 + 1e-9).all() and post.sum(1).min() > 0.8
-    assert total >= best_by_recursion(p, "GTTGCAAC", 2)
+    post, total = em.posteriors(p, np.stack([seq, seq]), np.array([2, 3]))
+    assert (post.sum(2) <= 1 + 1e-9).all() and post[0].sum(1).min() > 0.8
+    one = em.posteriors(p, seq[None, :], np.array([3]))
+    assert np.allclose(one[0][0], post[1]) and np.isclose(one[1][0], total[1])
+    assert total[0] >= best_by_recursion(p, "GTTGCAAC", 2)
 
 
 def test_em_sharpens_a_column():
