@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seqloom.llm import common, decontam, langid, near_dup, packing, tokens, toxicity
 
+#: The stage links at 80 per cent (op3 alone has 85); at exactly 80 a pair meets in no band with probability 3e-6.
+NEAR = near_dup.Params(threshold=80, bands=42, rows=6)
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter (und) or whose language scores under one half."""
@@ -22,8 +25,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near copies."""
-    return near_dup.keep_one(docs)
+    """Keeps the smallest doc_id of each group of near copies, which are texts of similarity 0.8 or more."""
+    return near_dup.keep_one(docs, p=NEAR)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

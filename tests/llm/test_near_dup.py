@@ -78,6 +78,27 @@ def test_empty_null_ids_and_repeated_rows(spark):
     assert kept.columns == frame(spark, rows).columns
 
 
+def test_pipeline_stage_links_from_80_per_cent(spark):
+    """Texts of 20 shingles, each with a copy of more words at its end: 20 of 20 + more shingles are shared."""
+    import corpus_pipeline
+
+    rows, want = [], []
+    for g, more in enumerate([1, 3, 4, 5, 5, 5, 6, 7]):
+        base = [f"w{g}x{i}" for i in range(24)]
+        rows += [(10 * g, " ".join(base)), (10 * g + 1, " ".join(base + [f"end{g}x{i}" for i in range(more)]))]
+        want += [10 * g] if 100 * 20 >= 80 * (20 + more) else [10 * g, 10 * g + 1]
+    rows += [(1000 + i, t) for i, t in corpus(8)]
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+    for _ in sets:  # smallest ids move along links until none does
+        new = {a: min(root[b] for b in sets if len(sets[a] & sets[b]) * 100 >= 80 * len(sets[a] | sets[b])) for a in sets}
+        if new == root:
+            break
+        root = new
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame(spark, rows), "").collect())
+    assert got == sorted(i for i in root if root[i] == i) and [i for i in got if i < 1000] == want
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components_of_random_graphs(spark, seed):
     r = random.Random(seed)
