@@ -37,9 +37,10 @@ def by_words(spec: dict) -> bool:
 class Encoder:
     """encode() gives what Tokenizer.encode(text, add_special_tokens=False) gives for each whole text; a null is an empty text.
 
-    Where by_words() holds, each distinct word is encoded once and remembered: A-Z are lower-cased first (the normaliser
-    does so too), and a run of full stops and commas after an ASCII letter is a word of its own, as the pre-tokenizer
-    cuts there anyway. Other tokenizers encode text by text.
+    Where by_words() holds, each distinct word is encoded once and remembered. A run of full stops and commas after an
+    ASCII letter is a word of its own, as the pre-tokenizer cuts there anyway. What is left is lower-cased first if it is
+    ASCII letters alone (the normaliser does so too); all else is encoded as it stands, as special tokens are matched
+    before the normaliser, and NFC comes before Lowercase. Other tokenizers encode text by text.
     """
 
     def __init__(self, path: str):
@@ -140,8 +141,9 @@ class Encoder:
         raw, o = words.string_bytes(stem)
         size, full = np.diff(o), np.diff(words.string_bytes(uniques)[1])
         last = np.where(size > 0, raw[np.maximum(o[1:] - 1, 0)] if len(raw) else 0, 0)
-        cut = (size < full) & (last >= 97) & (last <= 122)
+        cut = (size < full) & ((last | 32) >= 97) & ((last | 32) <= 122)
         base = pc.if_else(pa.array(cut), stem, uniques)
+        base = pc.if_else(pc.ascii_is_alpha(base), pc.ascii_lower(base), base)
         tail = pc.if_else(pa.array(cut), pc.utf8_slice_codeunits(pc.utf8_reverse(uniques), 0, 1), "")  # then grown to the run's length below
         runs = full - size
         if (long := np.flatnonzero(cut & (runs > 1))).size:
@@ -157,7 +159,7 @@ class Encoder:
         """How many ids encode() gives for each text."""
         if not self.exact_words:
             return np.diff(self.encode(texts)[1])
-        codes, off, uniques = words.split(texts)
+        codes, off, uniques = words.split(texts, lower=False)
         place = self._halves(uniques)
         length = self.off[place + 1] - self.off[place]
         return words.run_sums((length[: len(uniques)] + length[len(uniques) :])[codes], off)
@@ -168,7 +170,7 @@ class Encoder:
             lists = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
             off = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])
             return np.fromiter((x for e in lists for x in e), np.uint32, int(off[-1])), off
-        codes, off, uniques = words.split(texts)
+        codes, off, uniques = words.split(texts, lower=False)
         place = self._halves(uniques)
         n = len(uniques)
         start, length = self.off[place], self.off[place + 1] - self.off[place]

@@ -61,9 +61,9 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """(codes, offsets, uniques): text i has the words uniques[codes[offsets[i]:offsets[i + 1]]]; a null has none."""
-    lists = pc.ascii_split_whitespace(pc.fill_null(pc.ascii_lower(texts), ""))
+def split(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(codes, offsets, uniques): text i has the words uniques[codes[offsets[i]:offsets[i + 1]]]; a null has none. Not lower: letters stay as they are."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(pc.ascii_lower(texts) if lower else texts, ""))
     off = lists.offsets.to_numpy().astype(np.int64)
     flat = lists.values.slice(off[0], off[-1] - off[0]) if len(off) else lists.values
     off = off - off[0]

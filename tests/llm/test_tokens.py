@@ -25,6 +25,17 @@ def test_encoder_equals_library(name):
         assert e.count(pa.array(texts, pa.string())).tolist() == [len(x) for x in want]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_keeps_case_until_the_library_folds_it(name):
+    """Special tokens match the text as it stands; NFC joins a capital and its mark before Lowercase."""
+    e = tokens.Encoder(tokens.public(name))
+    texts = ["<|ENDOFTEXT|>", "<|EndOfText|>. x<|endoftext|>Y<|STARTOFTEXT|>,", "J\u030c", "T\u0308 W\u030a. Y\u030aX,", "A\u0301 \u0130I. I\u0307", "THE The the THE. The,, U.S. I'LL DON'T.", "Stra\u00dfE. \u212aK. \u03a3\u03a3."]
+    for t in texts + [" ".join(texts)]:
+        ids, _ = e.encode(pa.array([t]))
+        want = e.tokenizer.encode(t, add_special_tokens=False).ids
+        assert ids.tolist() == want and e.count(pa.array([t])).tolist() == [len(want)]
+
+
 def test_encoder_forgets_but_stays_right(monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 40)
     e = tokens.Encoder(tokens.public("word_bpe_49k.json"))
