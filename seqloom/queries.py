@@ -510,10 +510,10 @@ def em_profile(spark, d):
 
 @query()
 def correct_reads(spark, d):
-    """Two rounds of correction over all reads. The run option max_rounds is the feature: all reads are there, unclaimed ones pass through."""
+    """Correction of all reads, in rounds until no cluster is active and no seed is admissible; reads that no cluster claims pass through."""
     from .plans.correct import Correction
 
-    return Correction(fixtures.reads(spark, d), P).run(max_rounds=2).status()
+    return Correction(fixtures.reads(spark, d), P).run().status()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

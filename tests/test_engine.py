@@ -53,6 +53,20 @@ def test_error_free_reads_never_change(spark):
     assert c.corrections().isEmpty() and c.contigs().count() > 0
 
 
+def test_correct_reads_goes_on_until_nothing_is_left(spark, tmp_path):
+    from seqloom import fixtures, queries
+
+    r = random.Random(15)
+    rows = [(i, "".join(r.choice("abcdefghijklmnopqrstuvwxy") for _ in range(360))) for i in range(2)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    rows_of = lambda df: sorted(map(tuple, df.collect()))
+    c = Correction(fixtures.reads(spark, str(tmp_path)), queries.P).run(max_rounds=2)
+    two = rows_of(c.status())
+    full = rows_of(c.run().status())
+    assert c.rounds > 2 and c.frontier.isEmpty() and c.admitted().isEmpty() and full != two
+    assert rows_of(queries.correct_reads(spark, str(tmp_path))) == full
+
+
 def test_stop_file_and_empty_input(spark):
     rows, _ = planted(13, n=10)
     df = spark.createDataFrame(rows, "read_id long, seq string")
