@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,9 +18,8 @@ from . import common, tokens, words
 @dataclass(frozen=True)
 class Params:
     """tokenizer: the file whose ids count as a text's length, plus `extra` (an end id). buckets: at most so many.
-    budget: padded tokens of a batch; a single longer row is a batch of its own. exact: lengths up to this are counted
-    one by one, longer ones rounded up by at most 1 part in 512, which bounds the histogram (exact + 512 rows for each doubling).
-    segment: about so many rows are numbered together."""
+    budget: padded tokens of a batch; a single longer row is a batch of its own. exact: changes nothing any more,
+    as longer lengths are counted one by one too; the histogram has a row for each distinct length. segment: about so many rows are numbered together."""
 
     tokenizer: str
     buckets: int = 16
@@ -43,10 +44,10 @@ def optimal_bounds(histogram: list[tuple[int, int]], k: int) -> list[int]:
         total.append(total[-1] + n * c)
     inf = None
     best: list[int | None] = [0] + [inf] * d
-    back: list[list[int]] = []
+    back: list[array] = []
     for _ in range(min(k, d)):
         new: list[int | None] = [inf] * (d + 1)
-        frm = [0] * (d + 1)
+        frm = array("q", bytes(8 * (d + 1)))
         hull: list[tuple[int, int, int]] = []  # slope, intercept, cut
         at = 0
         for j in range(1, d + 1):
@@ -86,12 +87,6 @@ def counted(docs: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, docs.select(F.col(id_col).alias("id")).schema.add("n_tokens", "long"))
 
 
-def grid(n: Column, exact: int) -> Column:
-    """n, rounded up to a multiple of the power of two that is a 1024th to a 512th of it if n is over exact."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(n.cast("double"))) - 9).cast("long")
-    return F.when(n <= exact, n).otherwise(F.ceil(n / F.greatest(step, F.lit(1))) * F.greatest(step, F.lit(1))).cast("long")
-
-
 def pack(docs: DataFrame, p: Params, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: <id_col>, n_tokens, bucket, padded_len, batch_id, slot.
 
@@ -99,23 +94,23 @@ def pack(docs: DataFrame, p: Params, id_col: str = "doc_id", text_col: str = "te
     max(1, budget // padded_len) rows at most, slot is the place in the batch from 0. All batches but a bucket's last are full.
     Null and empty texts have length p.extra; null and repeated ids are rows like others. No rows: no rows. Extra columns are ignored.
 
-    Texts are read once; ids and lengths are written out. The histogram is grouped (bounded rows, see Params.exact) and
-    its DP runs on the driver. Rows of a bucket are numbered in segments by hash, of about p.segment rows, and the
+    Texts are read once; ids and lengths are written out. The histogram (a row for each distinct
+    length) is grouped and its DP runs on the driver. Rows of a bucket are numbered in segments by hash, of about p.segment rows, and the
     segments' offsets come from their counts, so that a bucket with a third of all rows is no task of its own.
     """
     spark = docs.sparkSession
     common.bound_batches(spark)
-    lengths = common.materialize(counted(docs, p, id_col, text_col), "lengths").withColumn("g", grid(F.col("n_tokens"), p.exact))
-    histogram = [(r[0], r[1]) for r in lengths.groupBy("g").count().collect()]
+    lengths = common.materialize(counted(docs, p, id_col, text_col), "lengths")
+    histogram = [(r[0], r[1]) for r in lengths.groupBy("n_tokens").count().collect()]
     bounds = optimal_bounds(histogram, p.buckets)
     held = [0] * len(bounds)
     for n, c in histogram:
-        held[next(i for i, b in enumerate(bounds) if n <= b)] += c
+        held[bisect_left(bounds, n)] += c
     bucket, bound, segments, rows, first = F.lit(0), F.lit(0), F.lit(1), F.lit(1), F.lit(0)
     batches = 0
     for i, b in enumerate(bounds):
         each = max(1, p.budget // max(b, 1))
-        here = F.col("g") > (bounds[i - 1] if i else -1)
+        here = F.col("n_tokens") > (bounds[i - 1] if i else -1)
         bucket, bound, segments, rows, first = (F.when(here, v).otherwise(x) for v, x in ((i, bucket), (b, bound), (-(-held[i] // p.segment), segments), (each, rows), (batches, first)))
         batches += -(-held[i] // each)
     x = lengths.select("id", "n_tokens", bucket.cast("int").alias("bucket"), bound.cast("long").alias("padded_len"), segments.cast("long").alias("segments"), rows.cast("long").alias("each"), first.cast("long").alias("first"))

@@ -105,6 +105,16 @@ def test_packing_rows_batches_and_segments(spark):
     assert packing.pack(frame(spark, []), p).isEmpty()
 
 
+def test_long_texts_are_packed_optimally(spark):
+    sizes = [9000] * 3 + [9001, 9005, 9014, 9015, 16_390, 16_401, 20_000, 20_000, 5, 7]
+    p = packing.Params(tokens.public("word_bpe_49k.json"), buckets=5)
+    got = packing.pack(frame(spark, [(i, "alpha " * n) for i, n in enumerate(sizes)]), p).collect()
+    hist = sorted((n + 1, sizes.count(n)) for n in set(sizes))
+    assert sorted(x.n_tokens for x in got) == sorted(n + 1 for n in sizes)
+    assert sum(x.padded_len - x.n_tokens for x in got) == cheapest(hist, p.buckets)
+    assert all(max(x.n_tokens for x in got if x.bucket == y.bucket) == y.padded_len for y in got)
+
+
 def urls(seed, n=400):
     r = random.Random(seed)
     out = [None, "", "no scheme/x", "http://", "http://org", "https://a.b.org?x", "HTTP://Www.Example.ORG/es/1#y", "x://example.org/en/1", "x://notexample.org/en/1", "a://b.com/fr/://c.org/", "q://com/de/\nz", "t://sub.spam-farm.example.com:80/x", "t://sub.spam-farm.example.com/x"]
