@@ -85,15 +85,15 @@ def build_level(keys: DataFrame, n: int, level: int, p: Params) -> Level:
     return Level(tuple(words), bits, level)
 
 
-def cascade(universe: DataFrame, p: Params) -> list[Level]:
+def cascade(universe: DataFrame, p: Params) -> list[Level] | None:
     """The filters for universe (key, listed): level 0 holds the listed keys, level 1 the others that level 0 lets through,
-    level 2 the listed ones that level 1 lets through, and so on until nothing passes wrongly. Empty if no key is listed."""
+    level 2 the listed ones that level 1 lets through, and so on until nothing passes wrongly. Empty if no key is listed, None if a level needs more than max_bits."""
     levels: list[Level] = []
     inside, outside = universe.where("listed"), universe.where("not listed")
     n = inside.count()
     while n:
         if n * p.bits_per_key > p.max_bits:
-            raise ValueError(f"level {len(levels)} needs {n * p.bits_per_key} bits, more than {p.max_bits}")
+            return None
         level = build_level(inside, n, len(levels), p)
         levels.append(level)
         inside, outside = outside.where(level.holds(F.col("key"), p.hashes)), inside
@@ -118,7 +118,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule], url_col: str =
 
     The universe is every domain of every host of pages: hosts are made distinct first (partial aggregation, so a hot
     host is one row), and the list meets them by union and group-by. Pages themselves are neither shuffled nor joined,
-    the filters being constants of a checked size; a list that exceeds it is joined with the distinct domains instead."""
+    the filters being constants of a checked size; if the list or any later level exceeds it, the list is joined with the distinct domains instead."""
     spark = pages.sparkSession
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     seen = pages.select(host.alias("host")).distinct().select(F.explode(domains(F.col("host"))).alias("key"), F.lit(True).alias("seen"), F.lit(False).alias("listed"))
@@ -130,8 +130,8 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule], url_col: str =
         names.append(common.free_name(wanted, [*pages.columns, *names]))
     h, w, r, m, v = names
     out = pages.withColumn(h, host).withColumn(w, path)
-    if universe.where("listed").count() * p.bits_per_key <= p.max_bits:
-        levels = cascade(universe, p)
+    levels = cascade(universe, p)
+    if levels is not None:
         out = out.withColumn(m, F.exists(domains(F.col(h)), lambda d: member(d, levels, p.hashes)) if levels else F.lit(False))
     else:
         hosts = pages.select(host.alias("__host")).distinct()

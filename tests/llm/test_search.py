@@ -153,6 +153,16 @@ def test_cascade_alternates_until_exact(spark):
     assert wrong.isEmpty() and url_filter.cascade(u.where("not listed"), p) == []
 
 
+def test_later_level_that_is_too_large_takes_the_join(spark):
+    """Level 0 holds 18 keys and fits; the other hosts that it lets through do not."""
+    listed = url_filter.default_list()
+    hosts = listed + [f"h{i}.net" for i in range(1500)]
+    p = url_filter.Params(bits_per_key=1, max_bits=64)
+    pages = spark.createDataFrame([(i, f"http://{h}/") for i, h in enumerate(hosts)], "page_id long, url string")
+    got = url_filter.judge(pages, spark.createDataFrame([(x,) for x in listed], "d string"), [], p=p).collect()
+    assert len(got) == len(hosts) and {x.host for x in got if x.listed} == set(listed) == {x.host for x in got if x.verdict == "block"}
+
+
 def test_urls_of_empty_tables(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     none = spark.createDataFrame([], "d string")
