@@ -9,15 +9,18 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where intermediate tables go if the session names no spark.checkpoint.dir (tests).
-DEFAULT_SHARED = "/tmp/checkpoints"
-
 _mine: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a default where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED).rstrip("/")
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a local session (one machine, tests)
+    uses its warehouse folder, which it creates itself anyway; a cluster has to name one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/steps"
+    return found.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:

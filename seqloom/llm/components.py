@@ -13,7 +13,7 @@ def _low(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("node"), F.least("u", "low").alias("low"))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Of edges (a, b): node, component; component is the smallest id that the node reaches.
 
     Nulls and loops are left out (a node with no other edge has no row); repeated edges count once. No rows in, no rows
@@ -26,7 +26,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     e = edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     path = common.write(e, "edges")
     before = None
-    for _ in range(max_rounds):
+    while True:
         e = spark.read.parquet(path)
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = both.join(_low(both), both.u == F.col("node")).where("v > u").select(F.col("v").alias("a"), F.col("low").alias("b")).distinct()
@@ -49,7 +49,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     e = spark.read.parquet(path)
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b"), F.col("b")).distinct())

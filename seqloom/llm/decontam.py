@@ -100,7 +100,7 @@ class Index:
 
 def _parts(benchmark: DataFrame, p: Params, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
     """The benchmark's items in lists of about p.part_bytes of text, one list at a time."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // p.part_bytes))
     for i in range(n):

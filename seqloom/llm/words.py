@@ -86,19 +86,38 @@ def string_bytes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - (off[0] if len(off) else 0)
 
 
+#: Strings are hashed in pieces of so many bytes, and so many bytes at a time: temporaries do not grow with a string.
+PIECE, AT_ONCE = 1 << 16, 1 << 20
+
+
 def hash_strings(strings: pa.Array, step: int = _STEP) -> np.ndarray:
     """A 64-bit hash of each string: a polynomial in step over random byte values, mixed."""
     if not len(strings):
         return np.zeros(0, _U)
     raw, off = string_bytes(strings)
     length = np.diff(off)
+    n = np.maximum(-(-length // PIECE), 1)
+    first = np.cumsum(n) - n
+    owner = np.repeat(np.arange(len(n)), n)
+    number = np.arange(len(owner)) - first[owner]
+    start = off[:-1][owner] + number * PIECE
+    end = np.minimum(start + PIECE, off[1:][owner])
+    sums = np.zeros(len(owner), _U)
     with np.errstate(over="ignore"):
-        power = np.ones(max(int(length.max()), 1) + 1, _U)
-        np.multiply.accumulate(np.full(len(power) - 1, step, _U), out=power[1:])
-        place = np.arange(len(raw)) - np.repeat(off[:-1], length)
-        total = np.zeros(len(raw) + 1, _U)
-        np.cumsum(_BYTE[raw] * power[place], out=total[1:])
-        return mix(total[off[1:]] - total[off[:-1]] + length.astype(_U) * _U(0x632BE59BD9B4E019))
+        power = np.ones(PIECE + 1, _U)
+        np.multiply.accumulate(np.full(PIECE, step, _U), out=power[1:])
+        at = 0
+        while at < len(owner):  # pieces stand one after the other in raw
+            to = max(at + 1, int(np.searchsorted(end, start[at] + AT_ONCE, "right")))
+            size = end[at:to] - start[at:to]
+            place = np.arange(end[to - 1] - start[at]) - np.repeat(start[at:to] - start[at], size)
+            sums[at:to] = run_sums(_BYTE[raw[start[at] : end[to - 1]]] * power[place], np.append(start[at:to], end[to - 1]) - start[at])
+            at = to
+        if len(owner) > len(n):
+            far = np.ones(int(n.max()), _U)
+            np.multiply.accumulate(np.full(len(far) - 1, power[PIECE], _U), out=far[1:])
+            sums = np.add.reduceat(sums * far[number], first)
+        return mix(sums + length.astype(_U) * _U(0x632BE59BD9B4E019))
 
 
 def shingles(word_hash: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
