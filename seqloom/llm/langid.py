@@ -13,22 +13,24 @@ from pyspark.sql import functions as F
 
 from . import common, sampling, words
 
-#: A word's score sums over its segmentations; longer words are scored in runs of so many characters.
-RUN = 40
-LONGEST_PIECE = 12
+#: Words of more characters are handled with rescaled sums, many of them side by side; nothing is cut.
+LONG = 40
+#: Characters between two rescalings. A step costs a factor of 1e-7 at most, so that sums stay far from the smallest number.
+RESCALE = 8
+#: Characters of long words side by side.
+CELLS = 200_000
 TRIM = "0123456789.,;:!?%*&$#@~^_+=|/\\<>()[]{}'\"`-"
 
 
 @dataclass(frozen=True)
 class Params:
     """vocabulary: a sentencepiece model file, of which only the list of pieces is used. docs_per_lang: the bound of the
-    fitted sample, at most so many documents of each language (whole texts). languages: at most so many, the most
-    frequent. smoothing: the pseudo-count of each piece. floor: the probability of a character that no piece holds.
+    fitted sample, at most so many documents of each language (whole texts); every language is learned. smoothing: the
+    pseudo-count of each piece. floor: the probability of a character that no piece holds.
     min_score: below this the pipeline's stage rejects a document."""
 
     vocabulary: str
     docs_per_lang: int = 400
-    languages: int = 64
     em_rounds: int = 3
     smoothing: float = 0.1
     floor: float = 1e-7
@@ -38,12 +40,12 @@ class Params:
 
 
 def pieces(path: str) -> list[str]:
-    """The vocabulary's ordinary pieces of up to LONGEST_PIECE characters that hold no upper-case letter and no digit."""
+    """The vocabulary's ordinary pieces that hold a letter, no upper-case letter and no digit."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     found = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
-    return [p for p in found if len(p) <= LONGEST_PIECE and p == p.lower() and any(c.isalpha() for c in p) and not any(c.isdigit() for c in p)]
+    return [p for p in found if p == p.lower() and any(c.isalpha() for c in p) and not any(c.isdigit() for c in p)]
 
 
 class Lattice:
@@ -75,24 +77,25 @@ class Lattice:
             h[on] = self._step(h[on], code[off[:-1][on] + j])
         return h
 
-    def match(self, code: np.ndarray) -> list[list[tuple[np.ndarray, np.ndarray] | None]]:
-        """code: (words, n) code points of words of equal length. [i][l]: (word numbers, piece numbers) of the pieces of l + 1 characters that begin at i."""
+    def starting(self, code: np.ndarray, i: int) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """[l]: (word numbers, piece numbers) of the pieces of l + 1 characters that begin at i. code: (words, n) code points, 0 after a word's end."""
         m, n = code.shape
-        out = []
-        for i in range(n):
-            h, row = np.full(m, 7, np.uint64), []
-            for j in range(min(self.longest, n - i)):
-                h = self._step(h, code[:, i + j])
-                w = np.flatnonzero(self.table[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-                if len(w):
-                    at = np.searchsorted(self.keys, h[w])
-                    at[at == len(self.keys)] = 0
-                    ok = self.keys[at] == h[w]
-                    row.append((w[ok], self.ids[at[ok]]))
-                else:
-                    row.append(None)
-            out.append(row)
-        return out
+        h, row = np.full(m, 7, np.uint64), []
+        for j in range(min(self.longest, n - i)):
+            h = self._step(h, code[:, i + j])
+            w = np.flatnonzero(self.table[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
+            if len(w):
+                at = np.searchsorted(self.keys, h[w])
+                at[at == len(self.keys)] = 0
+                ok = self.keys[at] == h[w]
+                row.append((w[ok], self.ids[at[ok]]))
+            else:
+                row.append(None)
+        return row
+
+    def match(self, code: np.ndarray) -> list[list[tuple[np.ndarray, np.ndarray] | None]]:
+        """starting() at every place of words of equal length."""
+        return [self.starting(code, i) for i in range(code.shape[1])]
 
     def forward(self, code: np.ndarray, prob: np.ndarray, floor: float, arcs=None) -> np.ndarray:
         """(n + 1, words, languages) sums over all segmentations of each prefix. prob: (pieces, languages). A single
@@ -129,6 +132,64 @@ class Lattice:
                     w, p = found
                     np.add.at(total, p, alpha[i][w] * prob[p] * beta[i + j + 1][w] * scale[w])
 
+    def long_forward(self, code: np.ndarray, size: np.ndarray, prob: np.ndarray, floor: float, keep: bool = False):
+        """(words, languages) logarithms of the sums over all segmentations of words of any lengths (size; code has 0 after a word's end).
+
+        Only the sums of the last places are held, as many as the longest piece has characters, divided by those of
+        the place every RESCALE characters. keep: instead (sums (n + 1, words), their log scales) of one language."""
+        m, n = code.shape
+        width, k = self.longest + 1, prob.shape[1]
+        ring = np.zeros((width, m, k))
+        ring[0] = 1
+        scale = np.zeros((m, k))
+        out = np.zeros((m, k))
+        all_, scales = (np.zeros((n + 1, m)), np.zeros((n + 1, m))) if keep else (None, None)
+        for i in range(n + 1):
+            now = ring[i % width]
+            if i and i % RESCALE == 0:
+                on = np.flatnonzero(size >= i)
+                top = now[on].copy()
+                ring[:, on] /= top
+                scale[on] += np.log(top)
+            if keep:
+                all_[i], scales[i] = now[:, 0], scale[:, 0]
+            done = np.flatnonzero(size == i)
+            out[done] = np.log(now[done]) + scale[done]
+            if i == n:
+                break
+            here = now.copy()
+            now[:] = 0
+            ring[(i + 1) % width] += floor * here
+            for j, found in enumerate(self.starting(code, i)):
+                if found is not None and len(found[0]):
+                    w, p = found
+                    ring[(i + j + 1) % width, w] += here[w] * prob[p]
+        return (all_, scales, out[:, 0]) if keep else out
+
+    def long_expected(self, code: np.ndarray, size: np.ndarray, weight: np.ndarray, prob: np.ndarray, floor: float, total: np.ndarray) -> None:
+        """expected() for words of any lengths."""
+        m, n = code.shape
+        alpha, scales, whole = self.long_forward(code, size, prob[:, None], floor, True)
+        width = self.longest + 1
+        ring, scale = np.zeros((width, m)), np.zeros(m)
+        for i in range(n, -1, -1):
+            now = np.where(size == i, 1.0, 0.0)
+            if i < n:
+                now += floor * ring[(i + 1) % width]
+                share = weight * np.exp(np.minimum(scales[i] + scale - whole, 700)) * alpha[i]
+                for j, found in enumerate(self.starting(code, i)):
+                    if found is not None and len(found[0]):
+                        w, p = found
+                        step = prob[p] * ring[(i + j + 1) % width, w]
+                        now[w] += step
+                        np.add.at(total, p, share[w] * step)
+            ring[i % width] = now
+            if i % RESCALE == 0:
+                on = np.flatnonzero(size > i)
+                top = now[on].copy()
+                ring[:, on] /= top
+                scale[on] += np.log(top)
+
 
 def code_points(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(code points, offsets) of strings."""
@@ -138,18 +199,36 @@ def code_points(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32), count[off]
 
 
+MARK = 0x2581
+
+
 def _by_length(strings: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(numbers of strings, (strings, n) code points) for each run of equal length; each word gets the mark U+2581 before it."""
+    """(numbers of strings, (strings, n) code points) of the strings of each length up to LONG; each word gets the mark U+2581 before it."""
     code, off = code_points(strings)
     n = np.diff(off)
-    for base in range(0, int(n.max()) if len(n) else 0, RUN):
-        part = np.minimum(n - base, RUN)
-        for size in np.unique(part[part > 0]).tolist():
-            which = np.flatnonzero(part == size)
-            for k in range(0, len(which), 50_000):
-                w = which[k : k + 50_000]
-                c = code[(off[:-1][w] + base)[:, None] + np.arange(size)]
-                yield w, np.concatenate([np.full((len(w), 1), 0x2581, np.uint32), c], 1) if base == 0 else c
+    for size in np.unique(n[(n > 0) & (n <= LONG)]).tolist():
+        which = np.flatnonzero(n == size)
+        for k in range(0, len(which), 50_000):
+            w = which[k : k + 50_000]
+            yield w, np.concatenate([np.full((len(w), 1), MARK, np.uint32), code[off[:-1][w][:, None] + np.arange(size)]], 1)
+
+
+def _long(strings: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(numbers of strings, code points with the mark, zeros after the end, lengths) of the strings of more than LONG characters, those of like length side by side."""
+    which = np.flatnonzero(pc.utf8_length(strings).to_numpy(zero_copy_only=False) > LONG)
+    code, off = code_points(strings.take(pa.array(which)))
+    n = np.diff(off)
+    order = np.argsort(-n, kind="stable")
+    at = 0
+    while at < len(order):
+        longest = int(n[order[at]]) + 1
+        pick = order[at : at + max(1, CELLS // longest)]
+        at += len(pick)
+        out = np.zeros((len(pick), longest), np.uint32)
+        out[:, 0] = MARK
+        for r, k in enumerate(pick.tolist()):
+            out[r, 1 : n[k] + 1] = code[off[k] : off[k + 1]]
+        yield which[pick], out, n[pick] + 1
 
 
 def clean_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -192,6 +271,8 @@ def fit(sample: list[tuple[str, str]], p: Params) -> Model:
             total = np.full(len(vocab), p.smoothing)
             for w, code in _by_length(strings):
                 lattice.expected(code, weight[w], q, p.floor, total)
+            for w, code, size in _long(strings):
+                lattice.long_expected(code, size, weight[w], q, p.floor, total)
             q = total / total.sum()
         prob[:, k] = q
     return Model(langs, vocab, prob, p.floor)
@@ -203,8 +284,11 @@ def score_texts(model: Model, lattice: Lattice, texts: pa.Array) -> tuple[np.nda
     logp = np.zeros((len(strings), len(model.langs)))
     used = np.unique(codes)
     if len(used) and model.langs:
-        for w, code in _by_length(strings.take(pa.array(used))):
-            logp[used[w]] += np.log(np.maximum(lattice.forward(code, model.prob, model.floor)[-1], 1e-300))
+        met = strings.take(pa.array(used))
+        for w, code in _by_length(met):
+            logp[used[w]] = np.log(lattice.forward(code, model.prob, model.floor)[-1])
+        for w, code, size in _long(met):
+            logp[used[w]] = lattice.long_forward(code, size, model.prob, model.floor)
     n = np.diff(off)
     best, score = np.full(len(n), -1), np.zeros(len(n))
     if not model.langs or not len(codes):
@@ -223,7 +307,7 @@ def score_texts(model: Model, lattice: Lattice, texts: pa.Array) -> tuple[np.nda
 def train(docs: DataFrame, p: Params, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from a bounded sample (p.docs_per_lang whole documents of each language) of the rows that aren't held out."""
     rows = docs.where(common.crc_mod(id_col, p.held_mod) != p.held_rest)
-    return fit(sampling.labelled(rows, lang_col, text_col, id_col, p.docs_per_lang, p.languages), p)
+    return fit(sampling.labelled(rows, lang_col, text_col, id_col, p.docs_per_lang), p)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
@@ -254,7 +338,10 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_out: st
 
 
 def stage(docs: DataFrame, p: Params, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose language is found with a score of at least p.min_score; all columns stay, none are added."""
+    """The rows of docs whose language is found with a score of at least p.min_score; all columns stay, none are added.
+
+    Rows with a null, empty or letterless text go (their language is und). Repeated rows stay or go alike, null ids are judged like
+    others; without a row that has both text and language nothing is learned and all rows go. No rows: no rows."""
     tagged = identify(docs, train(docs, p, id_col, text_col), text_col, "__lang", "__score")
     lang, score = tagged.columns[-2:]
     return tagged.where((F.col(lang) != "und") & (F.col(score) >= p.min_score)).select(*docs.columns)
