@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,11 +23,14 @@ class Rule:
 
 @dataclass(frozen=True)
 class Params:
-    """bits_per_key and hashes: of each level's filter. max_bits: of one level; a longer list is looked up by a join instead."""
+    """bits_per_key and hashes: of each level's filter. segment_bits: a key's bits lie in one segment, chosen by its hash.
+    constant_bytes: up to so many bytes, all levels together, the filters are constants of the plan; larger ones stay tables
+    of segments, which keys meet by the number of their segment."""
 
     bits_per_key: int = 10
     hashes: int = 4
-    max_bits: int = 1 << 22
+    segment_bits: int = 1 << 16
+    constant_bytes: int = 16_000_000
 
 
 def host_of(url: Column) -> Column:
@@ -58,57 +60,107 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 @dataclass(frozen=True)
 class Level:
-    words: tuple[int, ...]
-    bits: int
-    number: int
-
-    def holds(self, key: Column, hashes: int) -> Column:
-        """Whether the filter's bits for a key are all set. The words are one constant array, folded once per query."""
-        array = F.from_json(F.lit(json.dumps(self.words)), "array<bigint>")
-        out = F.lit(True)
-        for p in positions(key, self.bits, self.number, hashes):
-            out = out & (F.getbit(F.get(array, F.floor(p / 64).cast("int")), (p % 64).cast("int")) == 1)
-        return out
+    """A Bloom filter in segments. table: segment, bits (binary) of the segments that hold a key. whole: all segments, one
+    after the other, if the cascade is small enough to be a constant."""
 
+    number: int
+    segments: int
+    bits: int  # of a segment
+    table: DataFrame
+    whole: bytes | None
 
-def positions(key: Column, bits: int, level: int, hashes: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(j)), F.lit(bits).cast("long")) for j in range(hashes)]
+    def segment(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit(self.number), F.lit(-1)), F.lit(self.segments).cast("long"))
 
+    def places(self, key: Column, hashes: int) -> list[Column]:
+        """Of the key's bits in its segment."""
+        return [F.pmod(F.xxhash64(key, F.lit(self.number), F.lit(j)), F.lit(self.bits).cast("long")) for j in range(hashes)]
 
-def build_level(keys: DataFrame, n: int, level: int, p: Params) -> Level:
-    bits = max(64, -(-n * p.bits_per_key // 64) * 64)
-    at = keys.select(F.explode(F.array(*positions(F.col("key"), bits, level, p.hashes))).alias("at"))
-    rows = at.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("x")).collect()  # bits / 64 rows at most
-    words = [0] * (bits // 64)
-    for r in rows:
-        words[r["word"]] = r["x"]
-    return Level(tuple(words), bits, level)
+    def holds(self, key: Column, hashes: int) -> Column:
+        """Whether the bits of a key are all set; of the constant."""
+        return _set(F.lit(self.whole), self.segment(key) * (self.bits // 8), self.places(key, hashes))
+
+    def marked(self, keys: DataFrame, hashes: int, name: str) -> DataFrame:
+        """keys (key and more) with a column that says whether the bits of the key are all set; of the table."""
+        spot, at = common.free_name("spot", keys.columns), common.free_name("segment", keys.columns)
+        met = keys.withColumn(spot, self.segment(F.col("key"))).join(self.table.select(F.col("segment").alias(at), F.col("bits").alias(f"{at}_bits")), F.col(spot) == F.col(at), "left")
+        return met.select(*keys.columns, F.coalesce(_set(F.col(f"{at}_bits"), F.lit(0), self.places(F.col("key"), hashes)), F.lit(False)).alias(name))
+
+    def let_through(self, keys: DataFrame, hashes: int) -> DataFrame:
+        """The rows of keys (key and more) whose bits are all set."""
+        if self.whole is not None:
+            return keys.where(self.holds(F.col("key"), hashes))
+        name = common.free_name("holds", keys.columns)
+        return self.marked(keys, hashes, name).where(F.col(name)).drop(name)
+
+
+def _set(bits: Column, base: Column, places: list[Column]) -> Column:
+    """Whether all places of a binary are set, counted from byte base. All generated code: a byte is cut out, the rest is not copied."""
+    out = F.lit(True)
+    for p in places:
+        byte = F.conv(F.hex(F.substring(bits, (base + F.floor(p / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        out = out & (F.getbit(byte, (p % 8).cast("int")) == 1)
+    return out
 
 
-def cascade(universe: DataFrame, p: Params) -> list[Level] | None:
+def build_level(keys: DataFrame, n: int, number: int, p: Params, room: int) -> Level:
+    """The filter of n keys. Up to room bytes it is gathered, segment by segment, into one constant."""
+    segments = max(1, -(-n * p.bits_per_key // p.segment_bits))
+    bits = p.segment_bits if segments > 1 else max(64, -(-n * p.bits_per_key // 64) * 64)
+    level = Level(number, segments, bits, keys, None)
+    at = keys.select(level.segment(F.col("key")).alias("segment"), F.explode(F.array(*level.places(F.col("key"), p.hashes))).alias("at"))
+    byte = at.groupBy("segment", F.floor(F.col("at") / 8).cast("int").alias("byte")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("at") % 8).cast("int"))).alias("x"))
+    # a segment's bytes, at most bits / 8 of them, become one binary
+    there = F.map_from_entries(F.collect_list(F.struct("byte", "x")))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(bits // 8 - 1)), lambda i: F.lpad(F.hex(F.coalesce(F.col("there")[i], F.lit(0))), 2, "0"))
+    table = byte.groupBy("segment").agg(there.alias("there")).select("segment", F.unhex(F.array_join(filled, "")).alias("bits"))
+    table = common.materialize(table, f"level{number}")
+    if segments * bits // 8 > room:
+        return Level(number, segments, bits, table, None)
+    whole = bytearray(segments * bits // 8)
+    for r in table.collect():  # no more than room bytes
+        whole[r["segment"] * bits // 8 : (r["segment"] + 1) * bits // 8] = r["bits"]
+    return Level(number, segments, bits, table, bytes(whole))
+
+
+def cascade(universe: DataFrame, p: Params) -> list[Level]:
     """The filters for universe (key, listed): level 0 holds the listed keys, level 1 the others that level 0 lets through,
-    level 2 the listed ones that level 1 lets through, and so on until nothing passes wrongly. Empty if no key is listed, None if a level needs more than max_bits."""
+    level 2 the listed ones that level 1 lets through, and so on until nothing passes wrongly. Empty if no key is listed."""
     levels: list[Level] = []
     inside, outside = universe.where("listed"), universe.where("not listed")
-    n = inside.count()
+    n, room = inside.count(), p.constant_bytes
     while n:
-        if n * p.bits_per_key > p.max_bits:
-            return None
-        level = build_level(inside, n, len(levels), p)
+        level = build_level(inside, n, len(levels), p, room)
+        room -= len(level.whole) if level.whole is not None else room
         levels.append(level)
-        inside, outside = outside.where(level.holds(F.col("key"), p.hashes)), inside
+        wrong = common.materialize(level.let_through(outside, p.hashes), f"through{len(levels)}")
+        inside, outside = wrong, inside
         n = inside.count()
     return levels
 
 
-def member(key: Column, levels: list[Level], hashes: int) -> Column:
+def decide(holds: list[Column]) -> Column:
     """Exact for every key of the universe: the first level that does not hold the key decides, else the last one."""
-    out = F.lit(bool(len(levels) % 2))
-    for i in range(len(levels) - 1, -1, -1):
-        out = F.when(~levels[i].holds(key, hashes), F.lit(bool(i % 2))).otherwise(out)
+    out = F.lit(bool(len(holds) % 2))
+    for i in range(len(holds) - 1, -1, -1):
+        out = F.when(~holds[i], F.lit(bool(i % 2))).otherwise(out)
     return out
 
 
+def member(key: Column, levels: list[Level], hashes: int) -> Column:
+    """Whether a key is listed; of constant filters."""
+    return decide([x.holds(key, hashes) for x in levels])
+
+
+def members(keys: DataFrame, levels: list[Level], hashes: int) -> DataFrame:
+    """The rows of keys (key and more) that are listed; of tables, which the keys meet by segment."""
+    out, names = keys, []
+    for x in levels:
+        names.append(common.free_name(f"level{x.number}", out.columns))
+        out = x.marked(out, hashes, names[-1])
+    return out.where(decide([F.col(n) for n in names])).select(*keys.columns)
+
+
 def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule], url_col: str = "url", p: Params = Params()) -> DataFrame:
     """pages with host, path, rule, listed and verdict added (underscores follow taken names).
 
@@ -117,11 +169,13 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule], url_col: str =
     rule, are not listed and so allowed. Repeated rows and repeated or null listed keys change nothing; empty tables are fine.
 
     The universe is every domain of every host of pages: hosts are made distinct first (partial aggregation, so a hot
-    host is one row), and the list meets them by union and group-by. Pages themselves are neither shuffled nor joined,
-    the filters being constants of a checked size; if the list or any later level exceeds it, the list is joined with the distinct domains instead."""
+    host is one row), and the list meets them by union and group-by. The filters of the cascade answer for every key of it. Up to
+    p.constant_bytes they are constants of the plan, and pages themselves are neither shuffled nor joined. Larger filters, of
+    which there may be any number, stay tables: the distinct hosts' domains meet their segments, and pages the listed hosts."""
     spark = pages.sparkSession
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
-    seen = pages.select(host.alias("host")).distinct().select(F.explode(domains(F.col("host"))).alias("key"), F.lit(True).alias("seen"), F.lit(False).alias("listed"))
+    hosts = pages.select(host.alias("host")).distinct().select("host", F.explode(domains(F.col("host"))).alias("key"))
+    seen = hosts.select("key", F.lit(True).alias("seen"), F.lit(False).alias("listed"))
     entries = listed.select(F.col(listed.columns[0]).cast("string").alias("key"), F.lit(False).alias("seen"), F.lit(True).alias("listed"))
     universe = seen.union(entries).where("key is not null").groupBy("key").agg(F.max("seen").alias("seen"), F.max("listed").alias("listed")).where("seen").select("key", "listed")
     universe = common.materialize(universe, "universe")
@@ -131,12 +185,11 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule], url_col: str =
     h, w, r, m, v = names
     out = pages.withColumn(h, host).withColumn(w, path)
     levels = cascade(universe, p)
-    if levels is not None:
+    if all(x.whole is not None for x in levels):
         out = out.withColumn(m, F.exists(domains(F.col(h)), lambda d: member(d, levels, p.hashes)) if levels else F.lit(False))
     else:
-        hosts = pages.select(host.alias("__host")).distinct()
-        bad = hosts.select("__host", F.explode(domains(F.col("__host"))).alias("d")).join(universe.where("listed"), F.col("d") == F.col("key"), "left_semi").select("__host").distinct()
-        out = out.join(bad, F.col(h) == F.col("__host"), "left").withColumn(m, F.col("__host").isNotNull()).drop("__host")
+        bad = common.free_name("listed_host", out.columns)
+        out = out.join(members(hosts, levels, p.hashes).select(F.col("host").alias(bad)).distinct(), F.col(h) == F.col(bad), "left").withColumn(m, F.col(bad).isNotNull()).drop(bad)
     rule = rule_of(F.col(h), F.col(w), rules)
     out = out.withColumn(r, rule)
     verdict = F.coalesce(F.col(f"{r}.action"), F.when(F.col(m), "block").otherwise("allow"))

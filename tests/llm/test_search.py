@@ -126,10 +126,10 @@ def urls(seed, n=400):
 @pytest.mark.parametrize("bits", [10, 1])
 @pytest.mark.parametrize("limit", [1 << 22, 0])
 def test_url_verdicts_equal_brute_force(spark, bits, limit):
-    """One bit a key makes many false positives and so several levels; limit 0 takes the way for lists that are too long."""
+    """One bit a key makes many false positives and so several levels; with limit 0 the filters stay tables."""
     rows = urls(1)
     listed = url_filter.default_list()
-    p = url_filter.Params(bits_per_key=bits, max_bits=limit)
+    p = url_filter.Params(bits_per_key=bits, constant_bytes=limit)
     pages = spark.createDataFrame([(i, u, "c") for i, u in rows + rows[:5]], "page_id long, url string, rule string")
     got = url_filter.judge(pages, spark.createDataFrame([(x,) for x in [*listed, None, listed[0]]], "d string"), url_filter.RULES, p=p)
     assert got.columns == ["page_id", "url", "rule", "host", "path", "rule_", "listed", "verdict"]
@@ -153,13 +153,16 @@ def test_cascade_alternates_until_exact(spark):
     assert wrong.isEmpty() and url_filter.cascade(u.where("not listed"), p) == []
 
 
-def test_later_level_that_is_too_large_takes_the_join(spark):
-    """Level 0 holds 18 keys and fits; the other hosts that it lets through do not."""
+@pytest.mark.parametrize("room", [16_000_000, 40, 0])
+def test_many_unlisted_domains_and_small_segments(spark, room):
+    """Level 0 holds 18 keys; later levels have more keys, in many segments. With 40 bytes the first levels are constants and the others tables."""
     listed = url_filter.default_list()
-    hosts = listed + [f"h{i}.net" for i in range(1500)]
-    p = url_filter.Params(bits_per_key=1, max_bits=64)
-    pages = spark.createDataFrame([(i, f"http://{h}/") for i, h in enumerate(hosts)], "page_id long, url string")
-    got = url_filter.judge(pages, spark.createDataFrame([(x,) for x in listed], "d string"), [], p=p).collect()
+    hosts = listed + [f"h{i}.net" for i in range(6000)]
+    p = url_filter.Params(bits_per_key=3, hashes=2, segment_bits=256, constant_bytes=room)
+    pages = spark.createDataFrame([(i, f"http://{h}/", "x") for i, h in enumerate(hosts)], "page_id long, url string, __host string")
+    got = url_filter.judge(pages, spark.createDataFrame([(x,) for x in listed], "d string"), [], p=p)
+    assert got.columns == ["page_id", "url", "__host", "host", "path", "rule", "listed", "verdict"]
+    got = got.collect()
     assert len(got) == len(hosts) and {x.host for x in got if x.listed} == set(listed) == {x.host for x in got if x.verdict == "block"}
 
 
@@ -174,7 +177,7 @@ def test_urls_of_empty_tables(spark):
 def brute_top(rows, k, scale=64):
     import math
 
-    v = [(i, [math.floor(scale * x) for x in e]) for i, e in rows if i is not None and e is not None and all(x is not None and math.isfinite(x) and abs(scale * x) < 2**31 for x in e)]
+    v = [(i, [math.floor(scale * x) for x in e]) for i, e in rows if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)]
     first = {}
     for i, e in v:
         first[i] = min(first.get(i, e), e) if i in first else e
@@ -182,7 +185,7 @@ def brute_top(rows, k, scale=64):
     for q in sorted(first):
         if q % 20 == 0:
             s = sorted((-sum(a * b for a, b in zip(first[q], e)), i) for i, e in v if i != q)[:k]
-            out += [(q, n + 1, i, -t) for n, (t, i) in enumerate(s)]
+            out += [(q, n + 1, i, min(max(-t, -(1 << 63)), (1 << 63) - 1)) for n, (t, i) in enumerate(s)]
     return out
 
 
@@ -191,7 +194,7 @@ def test_top_k_equals_brute_force(spark, seed, shape):
     r = random.Random(seed)
     rows = [(i, [r.choice([-0.2, 0.1, 0.3, r.gauss(0, 0.2)]) for _ in range(8)]) for i in range(130)]
     hot = [0.1] * 8
-    rows += [(200 + i, hot) for i in range(60)] + [(900, None), (901, [0.1, None]), (902, [float("nan")] * 8), (903, [float("inf")] * 8), (920, []), (921, [1.0]), (None, hot), (922, [1e30] * 8)]
+    rows += [(200 + i, hot) for i in range(60)] + [(900, None), (901, [0.1, None]), (902, [float("nan")] * 8), (903, [float("inf")] * 8), (920, []), (921, [1.0]), (None, hot), (922, [1e30] * 8), (940, [-1e30] * 8), (923, [1e9] * 8), (960, [1e9, -1e9, 0.5, 3.0]), (924, [2.0**31, 0.25])]
     df = spark.createDataFrame([(i, e, "z") for i, e in rows], "vec_id long, embedding array<double>, score string").repartition(5)
     got = topk.top_k(df, "vec_id % 20 = 0", p=replace(topk.Params(), **shape))
     assert sorted((x.query_id, x.rank, x.vec_id, x.score) for x in got.collect()) == brute_top(rows, 20)
@@ -203,6 +206,26 @@ def test_top_k_few_rows_large_values_and_none(spark):
     rows = [(0, [3e6, -2e6]), (20, [3e6, 2e7]), (5, [-1e7, 1e7])]
     got = topk.top_k(spark.createDataFrame(rows, kind), "vec_id % 20 = 0")
     assert sorted((x.query_id, x.rank, x.vec_id, x.score) for x in got.collect()) == brute_top(rows, 20)
+    rows = [(0, [1e9, 0.5]), (20, [1e300, -1e300]), (5, [1e300, 1e300]), (40, [3.0, 2.0]), (6, [1e308, 1e9]), (7, [1e18, 1.0]), (9, [1e18, 1.5]), (8, [-1e308, 5.0])]
+    got = topk.top_k(spark.createDataFrame(rows, kind), "vec_id % 20 = 0")
+    assert sorted((x.query_id, x.rank, x.vec_id, x.score) for x in got.collect()) == brute_top([(i, [min(max(x, -2.8e306), 2.8e306) for x in e]) for i, e in rows], 20)
     rows = [(0, [0.1, 0.2]), (0, [0.1, 0.2]), (7, [0.5, 0.5]), (7, [0.5, 0.5])]
     got = topk.top_k(spark.createDataFrame(rows, kind), "vec_id % 20 = 0")
     assert sorted((x.query_id, x.rank, x.vec_id, x.score) for x in got.collect()) == brute_top(rows, 20)
+
+
+def test_top_k_cuts_blocks_where_bounds_are_tight(spark):
+    """Two far clusters: a query's blocks of the other cluster, and the shards that hold nothing else, are never scored."""
+    r = random.Random(3)
+    rows = [(i, [(1.0 if i % 2 else -1.0) + r.gauss(0, 0.02) for _ in range(6)]) for i in range(400)]
+    p = replace(topk.Params(), block=8, shard=64)
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id % 20 = 0", p=p)
+    assert sorted((x.query_id, x.rank, x.vec_id, x.score) for x in got.collect()) == brute_top(rows, 20)
+    import numpy as np
+
+    x = np.floor(64 * np.array([e for _, e in rows]))
+    order = np.argsort(x[:, 0], kind="stable")
+    blocks = [(np.array([rows[i][0] for i in part], "<i8").tobytes(), x[part].astype("<f8").tobytes(), x[part].min(0).tobytes(), x[part].max(0).tobytes()) for part in np.split(order, 50)]
+    shard = topk.Shard(blocks, 6, 20)
+    shard.search(np.array([1]), x[1:2], np.array([-np.inf]), 4)
+    assert 4 <= shard.scored <= 28
