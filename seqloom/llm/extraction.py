@@ -4,25 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from . import common, made_pages, words
-from .html_blocks import Block, blocks
+from . import common, langid, made_pages, words
+from .html_blocks import Page, blocks
 
 
 @dataclass(frozen=True)
 class Params:
-    """pages: how many made pages train the labeller (their labels are known, see made_pages)."""
+    """pages: how many made pages train the labeller (their labels are known, see made_pages). least_pages: words of fewer
+    pages have no vector, so that nothing is learned by heart from words that mean nothing."""
 
     pages: int = 1400
     epochs: int = 5
     hidden: int = 20
     path_buckets: int = 1 << 12
-    word_buckets: int = 1 << 12
+    word_buckets: int = 1 << 15
+    least_pages: int = 30
     path_dim: int = 20
     word_dim: int = 6
     batch: int = 32
@@ -33,6 +36,7 @@ class Params:
 NUMBERS = 4
 
 
+@lru_cache(maxsize=100_000)
 def _bucket(text: str, n: int) -> int:
     h = 2166136261
     for c in text.encode():
@@ -40,59 +44,107 @@ def _bucket(text: str, n: int) -> int:
     return (h ^ h >> 15) % n
 
 
-_paths: dict[tuple[tuple[str, ...], int], list[int]] = {}
-
-
-def path_ids(path: tuple[str, ...], n: int) -> list[int]:
-    """Buckets of a tag path: each element's name and class words anywhere in the path, and once more for the two innermost."""
-    key = (path, n)
-    found = _paths.get(key)
-    if found is None:
-        if len(_paths) > 50_000:
-            _paths.clear()
-        tokens = {t if i else f"<{t}" for e in path for i, t in enumerate(e.split(" "))}
-        tokens |= {f"leaf {t}" for t in path[-1].split(" ")} if path else {"leaf"}
-        if len(path) > 1:
-            tokens.add(f"{path[-2].split(' ')[0]}>{path[-1].split(' ')[0]}")
-        found = _paths[key] = sorted({_bucket(t, n) for t in tokens})
-    return found
-
-
 @dataclass
 class Features:
-    paths: np.ndarray  # flat buckets
-    path_off: np.ndarray
+    """Of the blocks of some pages. A block's path vector is the mean over the words of its elements' entries (each once) and the
+    words of its own; sums run down the tree of elements, so the work is in proportion to the page however deep it is."""
+
+    parent: np.ndarray  # of each element, -1 at the top
+    levels: list[np.ndarray]  # the elements of each depth
+    words_of: np.ndarray  # buckets of the elements' fresh words
+    words_off: np.ndarray
+    n_path: np.ndarray  # words on the way down to each element
+    node: np.ndarray  # of each block
+    own: np.ndarray  # buckets of the blocks' own words
+    own_off: np.ndarray
     words: np.ndarray
     word_off: np.ndarray
     numbers: np.ndarray
 
 
-def features(bs: list[Block], p: Params) -> Features:
-    lists = [path_ids(b.path, p.path_buckets) for b in bs]
-    codes, off, uniques = words.split(pa.array([b.text for b in bs], pa.string()))
+def _runs(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([x for y in lists for x in y], np.int64), np.concatenate([[0], np.cumsum([len(y) for y in lists], dtype=np.int64)])
+
+
+def features(pages: list[Page], p: Params) -> Features:
+    parent: list[int] = []
+    depth: list[int] = []
+    n_path: list[int] = []
+    fresh: list[list[int]] = []
+    node: list[int] = []
+    own: list[list[int]] = []
+    for page in pages:
+        base = len(parent)
+        for up, words_ in zip(page.parent, page.fresh):
+            parent.append(up + base if up >= 0 else -1)
+            depth.append(depth[up + base] + 1 if up >= 0 else 0)
+            fresh.append([_bucket(t, p.path_buckets) for t in words_])
+            n_path.append(len(words_) + (n_path[up + base] if up >= 0 else 0))
+        leaf: dict[int, list[int]] = {}
+        for b in page.blocks:
+            if b.node not in leaf:
+                told = [f"leaf {t}" for t in page.entry[b.node]] if b.node >= 0 else ["leaf"]
+                if b.node >= 0 and page.parent[b.node] >= 0:
+                    told.append(f"{page.entry[page.parent[b.node]][0]}>{page.entry[b.node][0]}")
+                leaf[b.node] = [_bucket(t, p.path_buckets) for t in told]
+            node.append(b.node + base if b.node >= 0 else -1)
+            own.append(leaf[b.node])
+    bs = [b for page in pages for b in page.blocks]
+    codes, off, uniques = langid.clean_words(pa.array([b.text for b in bs], pa.string()))  # marks between words tell nothing
     ids = ((words.hash_strings(uniques) >> np.uint64(44)).astype(np.int64) % p.word_buckets)[codes]
     n = np.array([len(b.text) for b in bs], float)
     link = np.array([b.linked for b in bs], float) / np.maximum(n, 1)
     ends = np.array([b.text[-1:] in ".!?" for b in bs], float)
     numbers = np.stack([np.log1p(n) / 5, np.minimum(link, 1), ends, np.log1p(np.diff(off)) / 4], 1) if bs else np.zeros((0, NUMBERS))
-    return Features(np.array([x for y in lists for x in y], np.int64), np.concatenate([[0], np.cumsum([len(y) for y in lists], dtype=np.int64)]), ids, off, numbers)
+    deep = np.array(depth, np.int64)
+    order = np.argsort(deep, kind="stable")
+    levels = np.split(order, np.flatnonzero(np.diff(deep[order])) + 1) if len(order) else []
+    return Features(np.array(parent, np.int64), levels, *_runs(fresh), np.array(n_path, np.int64), np.array(node, np.int64), *_runs(own), ids, off, numbers)
 
 
-def _means(table: np.ndarray, ids: np.ndarray, off: np.ndarray) -> np.ndarray:
+def _sums(table: np.ndarray, ids: np.ndarray, off: np.ndarray) -> np.ndarray:
     out = np.zeros((len(off) - 1, table.shape[1]))
     full = np.flatnonzero(np.diff(off))
     if len(full):
-        out[full] = np.add.reduceat(table[ids], off[:-1][full], axis=0) / np.diff(off)[full][:, None]
+        out[full] = np.add.reduceat(table[ids], off[:-1][full], axis=0)
     return out
 
 
+def path_means(table: np.ndarray, f: Features) -> tuple[np.ndarray, np.ndarray]:
+    """(the blocks' path vectors, the number of words in each)."""
+    down = _sums(table, f.words_of, f.words_off)
+    for at in f.levels[1:]:
+        down[at] += down[f.parent[at]]
+    total, count = _sums(table, f.own, f.own_off), np.diff(f.own_off).astype(float)
+    inside = f.node >= 0
+    total[inside] += down[f.node[inside]]
+    count[inside] += f.n_path[f.node[inside]]
+    return total / np.maximum(count, 1)[:, None], count
+
+
+def path_gradient(g: np.ndarray, f: Features, d: np.ndarray, count: np.ndarray) -> None:
+    """Adds to g the gradient by the table of path_means(), from that by the vectors."""
+    d = d / np.maximum(count, 1)[:, None]
+    np.add.at(g, f.own, np.repeat(d, np.diff(f.own_off), axis=0))
+    up = np.zeros((len(f.parent), d.shape[1]))
+    inside = f.node >= 0
+    np.add.at(up, f.node[inside], d[inside])
+    for at in f.levels[:0:-1]:
+        np.add.at(up, f.parent[at], up[at])
+    np.add.at(g, f.words_of, np.repeat(up, np.diff(f.words_off), axis=0))
+
+
+def _means(table: np.ndarray, ids: np.ndarray, off: np.ndarray) -> np.ndarray:
+    return _sums(table, ids, off) / np.maximum(np.diff(off), 1)[:, None]
+
+
 @dataclass
 class Model:
     p: Params
     w: dict[str, np.ndarray]
 
     def inputs(self, f: Features) -> np.ndarray:
-        return np.concatenate([_means(self.w["path"], f.paths, f.path_off) * 3, _means(self.w["word"], f.words, f.word_off), f.numbers], 1)
+        return np.concatenate([path_means(self.w["path"], f)[0] * 3, _means(self.w["word"], f.words, f.word_off), f.numbers], 1)
 
 
 def _sig(x: np.ndarray) -> np.ndarray:
@@ -158,24 +210,29 @@ def logits(m: Model, x: np.ndarray, lengths: np.ndarray, keep: bool = False):
     return h @ m.w["o"] + m.w["ob"], (on, back, cols, rx, f, r, h)
 
 
+def labelled(html: str) -> tuple[Page, np.ndarray]:
+    """A made page without its marks, and which of its blocks are main text."""
+    page = blocks(html)
+    page.blocks = [b for b in page.blocks if made_pages.MAIN in b.text or made_pages.OTHER in b.text]
+    y = np.array([made_pages.MAIN in b.text for b in page.blocks], float)
+    for b in page.blocks:
+        b.text = b.text.replace(made_pages.MAIN, "").replace(made_pages.OTHER, "").strip() or "-"
+    return page, y
+
+
 def fit(p: Params = Params()) -> Model:
     rng = np.random.default_rng(p.seed)
     size = p.path_dim + p.word_dim + NUMBERS
     k = p.hidden
-    w = {"path": rng.normal(0, 0.15, (p.path_buckets, p.path_dim)), "word": rng.normal(0, 0.15, (p.word_buckets, p.word_dim)), "o": rng.normal(0, 0.1, 2 * k + size), "ob": np.zeros(1)}
+    w = {"path": rng.normal(0, 0.15, (p.path_buckets, p.path_dim)), "word": np.zeros((p.word_buckets, p.word_dim)), "o": rng.normal(0, 0.1, 2 * k + size), "ob": np.zeros(1)}
     for d in "fr":
         w[f"{d}x"], w[f"{d}h"], w[f"{d}b"] = rng.normal(0, size**-0.5, (size, 4 * k)), rng.normal(0, k**-0.5, (k, 4 * k)), np.zeros(4 * k)
         w[f"{d}b"][k : 2 * k] = 1
     m = Model(p, w)
-    data: list[tuple[list[Block], np.ndarray]] = []
-    for html in made_pages.pages(p.pages, p.seed):
-        found = [b for b in blocks(html) if made_pages.MAIN in b.text or made_pages.OTHER in b.text]
-        y = np.array([made_pages.MAIN in b.text for b in found], float)
-        for b in found:
-            b.text = b.text.replace(made_pages.MAIN, "").replace(made_pages.OTHER, "").strip() or "-"
-        if found:
-            data.append((found, y))
-    feats = [features(b, p) for b, _ in data]
+    data = [x for x in map(labelled, made_pages.pages(p.pages, p.seed)) if x[0].blocks]
+    feats = [features([page], p) for page, _ in data]
+    counts = [path_means(w["path"], f)[1] for f in feats]
+    known = np.bincount(np.concatenate([np.unique(f.words) for f in feats]), minlength=p.word_buckets) >= p.least_pages
     one = {k_: np.zeros_like(v) for k_, v in w.items()}
     two = {k_: np.zeros_like(v) for k_, v in w.items()}
     step = 0
@@ -200,9 +257,10 @@ def fit(p: Params = Params()) -> Model:
             dx = dx + drx[back, cols] + dh[:, :, 2 * k :]
             for j, i in enumerate(pick):
                 q, d = feats[i], dx[: n[j], j]
-                np_, nw = np.diff(q.path_off), np.diff(q.word_off)
-                np.add.at(g["path"], q.paths, np.repeat(d[:, : p.path_dim] * 3 / np.maximum(np_, 1)[:, None], np_, axis=0))
+                nw = np.diff(q.word_off)
+                path_gradient(g["path"], q, d[:, : p.path_dim] * 3, counts[i])
                 np.add.at(g["word"], q.words, np.repeat(d[:, p.path_dim : p.path_dim + p.word_dim] / np.maximum(nw, 1)[:, None], nw, axis=0))
+            g["word"][~known] = 0
             step += 1
             rate = p.rate * (1 - step / (total + 1))
             for k_ in w:
@@ -212,10 +270,10 @@ def fit(p: Params = Params()) -> Model:
     return m
 
 
-def label(m: Model, found: list[list[Block]]) -> list[np.ndarray]:
+def label(m: Model, found: list[Page]) -> list[np.ndarray]:
     """Whether each block of each page is main text. Pages of like length are read together; a page is never cut."""
     out: list[np.ndarray] = [np.zeros(0, bool)] * len(found)
-    size = np.array([len(b) for b in found])
+    size = np.array([len(page.blocks) for page in found], np.int64)
     order = np.argsort(size, kind="stable")
     order = order[size[order] > 0]
     start = 0
@@ -225,7 +283,7 @@ def label(m: Model, found: list[list[Block]]) -> list[np.ndarray]:
             end += 1
         pick = order[start:end].tolist()
         n = size[pick]
-        flat = m.inputs(features([b for i in pick for b in found[i]], m.p))
+        flat = m.inputs(features([found[i] for i in pick], m.p))
         x = np.zeros((int(n.max()), len(pick), flat.shape[1]))
         off = np.concatenate([[0], np.cumsum(n)])
         for j in range(len(pick)):
@@ -238,8 +296,8 @@ def label(m: Model, found: list[list[Block]]) -> list[np.ndarray]:
 
 
 def main_texts(m: Model, pages: list[str | None]) -> list[str]:
-    found = [blocks(h) if h else [] for h in pages]
-    return ["\n\n".join(b.text for b, keep in zip(bs, on.tolist()) if keep) for bs, on in zip(found, label(m, found))]
+    found = [blocks(h or "") for h in pages]
+    return ["\n\n".join(b.text for b, keep in zip(page.blocks, on.tolist()) if keep) for page, on in zip(found, label(m, found))]
 
 
 def extract(pages: DataFrame, m: Model, html_col: str = "html", text_out: str = "text", chars_out: str = "n_chars") -> DataFrame:
