@@ -20,14 +20,16 @@ class Params:
     """threshold: per cent of the union that two sets must share. bands * rows hash minima; at 85 % a pair meets in no
     band with probability (1 - 0.85 ** rows) ** bands, 9e-7 here. slack: how far the estimate from minima may fall short of
     the threshold before a pair is dropped unverified (0.15: over six standard deviations for 252 minima).
-    block: documents of one block in a group's block-against-block verification. broadcast_ids: up to so many ids of
-    grouped documents are broadcast (16 bytes each); more are joined by a shuffle."""
+    block: documents of one block where what is still apart is compared block against block. spread: tasks that a pivot's
+    star goes to at most. broadcast_ids: up to so many ids of grouped documents are broadcast (16 bytes each); more are joined
+    by a shuffle."""
 
     threshold: int = 85
     bands: int = 36
     rows: int = 7
     slack: float = 0.15
     block: int = 400
+    spread: int = 64
     broadcast_ids: int = 500_000
     shingle: int = words.SHINGLE
 
@@ -84,8 +86,8 @@ def _sign(p: Params):
     return run
 
 
-def _pairs_in(sets: list[np.ndarray], mine: np.ndarray, p: Params) -> list[tuple[int, int]]:
-    """A spanning forest of the links between sets (by place). mine: which of the two sides each is on (0 or 1); if both sides occur, only pairs across them count.
+def _pairs_in(sets: list[np.ndarray], mine: np.ndarray, classes: np.ndarray, p: Params) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sets (by place) of different classes. mine: which of the two sides each is on (0 or 1); if both sides occur, only pairs across them count.
 
     Estimates from minima drop pairs that fall short by more than the slack; what stays is counted on full sets."""
     n = len(sets)
@@ -101,6 +103,7 @@ def _pairs_in(sets: list[np.ndarray], mine: np.ndarray, p: Params) -> list[tuple
     maybe_i, maybe_j, est = [], [], []
     for i in left.tolist():
         js = right[right > i] if within else right
+        js = js[classes[js] != classes[i]]
         small, large = np.minimum(size[js], size[i]), np.maximum(size[js], size[i])
         js = js[100 * small >= p.threshold * large]
         e = (sig[js] == sig[i]).mean(axis=1) if len(js) else np.zeros(0)
@@ -109,7 +112,8 @@ def _pairs_in(sets: list[np.ndarray], mine: np.ndarray, p: Params) -> list[tuple
     i, j, e = np.concatenate(maybe_i), np.concatenate(maybe_j), np.concatenate(est)
     if not len(i):
         return []
-    parent = list(range(n))
+    first: dict[int, int] = {}
+    parent = [first.setdefault(c, k) for k, c in enumerate(classes.tolist())]
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -159,29 +163,50 @@ def _intersections(flat: np.ndarray, off: np.ndarray, left: np.ndarray, right: n
 
 
 def _links(p: Params):
-    def solve(key: list | None, rows: list[tuple[int, int, bytes]]) -> list[tuple[int, int]]:
+    def solve(key: list | None, rows: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int]]:
         rows = sorted(dict((r[0], r) for r in rows).values())  # an id's repeated rows hold the same set
         if len(rows) < 2 or key[1] != key[2] and len({r[1] for r in rows}) < 2:
             return []
-        sets = [np.frombuffer(r[2], np.uint64) for r in rows]
-        return [(rows[x][0], rows[y][0]) for x, y in _pairs_in(sets, np.array([r[1] for r in rows]), p)]
+        sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+        return [(rows[x][0], rows[y][0]) for x, y in _pairs_in(sets, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), p)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by cell (group, block, block); a cell is at most two blocks."""
         cell, held = None, []
         for batch in batches:
             out: list[tuple[int, int]] = []
-            for *key, rid, side, data in zip(*(batch.column(c).to_pylist() for c in ("gid", "bi", "bj", "id", "side", "shingles"))):
+            for *key, rid, side, cls, data in zip(*(batch.column(c).to_pylist() for c in ("gid", "bi", "bj", "id", "side", "class", "shingles"))):
                 if key != cell:
                     out += solve(cell, held)
                     cell, held = key, []
-                held.append((rid, side, data))
+                held.append((rid, side, cls, data))
             yield _edges(out)
         yield _edges(solve(cell, held))
 
     return run
 
 
+def _stars(p: Params):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by pivot, the pivot's own set first; one set is held at a time."""
+        now, own = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for pivot, rid, data in zip(*(batch.column(c).to_pylist() for c in ("pivot", "id", "shingles"))):
+                if rid == pivot:
+                    now, own = pivot, np.frombuffer(data, np.uint64)
+                    continue
+                x = np.frombuffer(data, np.uint64)
+                if pivot != now or 100 * min(len(x), len(own)) < p.threshold * max(len(x), len(own)):
+                    continue
+                both = int((own[np.minimum(np.searchsorted(own, x), len(own) - 1)] == x).sum())
+                if 100 * both >= p.threshold * (len(x) + len(own) - both):
+                    out.append((pivot, rid))
+            yield _edges(out)
+
+    return run
+
+
 def _edges(out: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
@@ -193,11 +218,43 @@ def _sets(p: Params):
                 s, off = words.shingle_sets(part.column("text"), p.shingle)
                 data = pa.array([s[a:b].tobytes() for a, b in zip(off[:-1].tolist(), off[1:].tolist())], pa.binary())
                 own = pa.array(words.run_sums(s, off).view(np.int64) == part.column("set_a").to_numpy())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("gid", "gsize", "id")), data], ["gid", "gsize", "id", "shingles"]).filter(own)
+                yield pa.RecordBatch.from_arrays([part.column("id"), data], ["id", "shingles"]).filter(own)
 
     return run
 
 
+def confirm_stars(stars: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """(a, b): the links of stars (id, pivot) whose sets are similar enough. A pivot's set travels once for each part of its star, any other set once for each of its pivots."""
+    n = int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stars.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(p.spread)).cast("int")).withColumnRenamed("id", "member")
+    hubs = dealt.select("pivot", "part").distinct().join(sets, F.col("pivot") == F.col("id")).select("pivot", "part", F.lit(0).alias("kind"), "id", "shingles")
+    others = dealt.join(sets, F.col("member") == F.col("id")).select("pivot", "part", F.lit(1).alias("kind"), "id", "shingles")
+    return hubs.union(others).repartition(n, "pivot", "part").sortWithinPartitions("pivot", "part", "kind").mapInArrow(_stars(p), "a long, b long")
+
+
+def cells_of(wanted: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
+    """gid, bi, bj, id, side, class: which documents of groups that are still apart meet in which pairs of blocks.
+
+    Blocks of documents outside the group's largest class come first and meet all blocks; those of the largest class meet only these."""
+    nodes = wanted.select(F.col("wid").alias("id"), "gid").join(classes, F.col("id") == F.col("node"), "left").select("id", "gid", F.coalesce("component", "id").alias("class"))
+    sizes = nodes.groupBy("gid", "class").agg(F.count("*").alias("n"))
+    apart = sizes.groupBy("gid").agg(F.count("*").alias("classes"), F.max(F.struct("n", "class")).alias("main"), F.sum("n").alias("total")).where("classes > 1")
+    apart = apart.select(F.col("gid").alias("g"), F.col("main.class").alias("main"), F.ceil((F.col("total") - F.col("main.n")) / p.block).alias("outer"), F.ceil(F.col("main.n") / p.block).alias("inner"))
+    outside, h = F.col("class") != F.col("main"), F.xxhash64("id")
+    mine = F.when(outside, F.pmod(h, F.col("outer"))).otherwise(F.col("outer") + F.pmod(h, F.col("inner")))
+    met = F.when(outside, F.col("outer") + F.col("inner")).otherwise(F.col("outer"))
+    x = nodes.join(apart, F.col("gid") == F.col("g")).withColumn("mine", mine)
+    x = x.select("*", F.explode(F.sequence(F.lit(0).cast("long"), met - 1)).alias("other"))
+    return x.select("gid", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "id", F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("side"), "class")
+
+
+def compare_rest(wanted: DataFrame, classes: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """(a, b): a spanning forest of the links between the classes of each group."""
+    n = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = cells_of(wanted, classes, p).withColumnRenamed("id", "cid").join(sets, F.col("cid") == F.col("id")).drop("cid")
+    return cells.repartition(n, "gid", "bi", "bj").sortWithinPartitions("gid", "bi", "bj").mapInArrow(_links(p), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> DataFrame:
     """One row per distinct id: <id_col>, n_shingles, component_id, kept.
 
@@ -206,12 +263,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     1. One pass over whole texts gives set size, a 128-bit fingerprint of the set, and bucket keys.
     2. Equal sets collapse to their smallest id, so copies never meet again (a group-by with partial minimum).
-    3. Per bucket only its smallest id links to the others: linear in the bucket, however hot. The components of these
-       candidate links are groups that no link can leave, but for pairs that share no bucket.
-    4. Groups of two and more get their full sets, recomputed from the texts. A large group is cut into blocks and
-       each pair of blocks is a task's cell: estimates from minima, then full sets, and only a spanning forest of the
-       confirmed links comes out. No cap applies anywhere.
-    5. The components of the confirmed links, joined back to all ids.
+    3. Per bucket only its smallest id, and in a quarter of the buckets its largest, link to the others: linear in the
+       bucket, however hot. The components of these candidate links are groups that no link can leave, but for pairs that
+       share no bucket. Groups of two and more get their full sets, recomputed from the texts and written out once.
+    4. The candidate links themselves are confirmed on full sets: a pivot's star goes to up to p.spread tasks, each with the pivot's
+       set and a part of the others. The components of what is confirmed are classes.
+    5. A group of several classes is compared once more: all outside its largest class against each other and
+       against the largest class, in blocks, each pair of blocks a task's cell: estimates from minima, then full sets; pairs of
+       one class are passed over. What travels is the number outside times the group's size over p.block, which is
+       nothing for a group that its stars confirm. No cap applies anywhere.
+    6. The components of all confirmed links, joined back to all ids.
 
     Null text, empty text and white space: empty set, linked with nothing. Rows with a null id are left out; an id
     that occurs more than once counts once, with the text that is smallest. Extra columns are ignored. No rows in: no rows out.
@@ -235,25 +296,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = s.join(own, (s.id == own.rid) & (s.set_a == own.own_a)).select("id", F.explode("buckets").alias("bucket"))
     row_path = common.write(rows, "buckets")
     rows = spark.read.parquet(row_path)
-    pivots = rows.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot != top").select(F.col("bucket").alias("key"), "pivot")
-    candidates = rows.join(pivots, rows.bucket == pivots.key).where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-    groups = connected_components(candidates)
+    pivots = rows.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("top")).where("low != top").select(F.col("bucket").alias("key"), "low", "top")
+    ends = F.when(F.pmod("bucket", F.lit(4)) == 0, F.array("low", "top")).otherwise(F.array("low"))
+    stars = rows.join(pivots, rows.bucket == pivots.key).select("id", F.explode(ends).alias("pivot")).where("id != pivot").distinct()
+    stars = common.materialize(stars, "stars")
     common.drop(spark, row_path)
-    sizes = groups.groupBy("component").agg(F.count("*").alias("gsize")).withColumnRenamed("component", "gid")
-    wanted = common.materialize(groups.join(sizes, groups.component == sizes.gid).select(F.col("node").alias("wid"), "gid", "gsize").join(own, F.col("wid") == own.rid).select("wid", "gid", "gsize", F.col("own_a").alias("set_a")), "groups")
+    groups = connected_components(stars.select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+    wanted = common.materialize(groups.select(F.col("node").alias("wid"), F.col("component").alias("gid")).join(own, F.col("wid") == own.rid).select("wid", "gid", F.col("own_a").alias("set_a")), "groups")
     few = wanted.count() <= p.broadcast_ids
-    grouped = base.join(F.broadcast(wanted) if few else wanted, base.id == wanted.wid).select("gid", "gsize", "id", "set_a", "text")
-    sets = grouped.mapInArrow(_sets(p), "gid long, gsize long, id long, shingles binary")
-    blocks = F.ceil(F.col("gsize") / p.block)
-    mine = F.pmod(F.xxhash64("id"), blocks)
-    cells = (
-        sets.withColumn("blocks", blocks).withColumn("mine", mine)
-        .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-        .select("gid", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "id", F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("side"), "shingles")
-    )
-    dealt = cells.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "gid", "bi", "bj").sortWithinPartitions("gid", "bi", "bj")
-    links = dealt.mapInArrow(_links(p), "a long, b long")
-    comp = connected_components(links).select(F.col("node").alias("rep"), "component")
+    grouped = base.join(F.broadcast(wanted) if few else wanted, base.id == wanted.wid).select("id", "set_a", "text")
+    sets = grouped.mapInArrow(_sets(p), "id long, shingles binary")
+    if s.count() != members.count():  # an id's repeated rows hold the same set
+        sets = sets.groupBy("id").agg(F.first("shingles").alias("shingles"))
+    sets = common.materialize(sets, "sets")
+    confirmed = common.materialize(confirm_stars(stars, sets, p), "confirmed")
+    classes = connected_components(confirmed)
+    more = common.materialize(compare_rest(wanted, classes, sets, p), "more")
+    found = classes if more.isEmpty() else connected_components(confirmed.union(more))
+    comp = found.select(F.col("node").alias("rep"), "component")
     out = members.join(comp, "rep", "left").select("id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     # the smallest id of a component is that of its smallest representative, as each stands for its copies by the smallest
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))

@@ -69,6 +69,58 @@ def test_large_group_of_near_copies(spark):
     assert sorted(map(tuple, got.collect())) == brute(rows)
 
 
+def test_thousands_of_near_copies_do_not_meet_pairwise(spark):
+    """Copies of one text, each with a word of its own changed, and a few further off: what travels grows with the group, not with its square."""
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(3000):
+        w = list(base)
+        for _ in range(1 if i % 300 else 4):  # ten are too far from the usual copy
+            w[r.randrange(120)] = f"n{i}x{r.randrange(9)}"
+        rows.append((i, " ".join(w)))
+    p = replace(near_dup.Params(), block=100)
+    made = {}
+    stars, cells = near_dup.confirm_stars, near_dup.cells_of
+
+    def keep(name, f):
+        def call(*args):
+            if name == "stars":
+                made["stars"] = args[0].count()
+            out = f(*args)
+            if name == "cells":
+                made["cells"] = out.count()
+            return out
+
+        return call
+
+    near_dup.confirm_stars, near_dup.cells_of = keep("stars", stars), keep("cells", cells)
+    try:
+        got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(frame(spark, rows, False), p=p).collect()}
+    finally:
+        near_dup.confirm_stars, near_dup.cells_of = stars, cells
+    assert made["stars"] < 40 * len(rows)  # at most 36 + 9 pivots each; blocks of all pairs would be 3000 * 30 cells
+    assert made["cells"] <= 8 * len(rows)
+    usual = [i for i in range(3000) if i % 300]
+    sets = {i: shingles(t) for i, t in rows}
+    assert all(len(sets[usual[0]] & sets[i]) * 100 >= 60 * len(sets[usual[0]] | sets[i]) for i in usual[:50])
+    # against brute force over a sample of queries: every link found by hand joins two ids of one class
+    for i in r.sample(range(3000), 30):
+        for j in range(3000):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                assert got[i] == got[j]
+
+
+def test_hot_id_repeats(spark):
+    rows = [(5, "a b c d e f g h")] * 200 + [(6, "a b c d e f g h"), (7, "a b c d e f g h i j k l m n o p"), (8, "a b c d e f g h i j k l m n o q")]
+    got = near_dup.near_duplicates(frame(spark, rows), p=replace(near_dup.Params(), threshold=60, bands=84, rows=3))
+    want = {}
+    for i, t in rows:
+        want[i] = shingles(t)
+    assert sorted((x.doc_id, x.component_id) for x in got.collect()) == [(5, 5), (6, 5), (7, 7), (8, 7)]
+
+
 def test_empty_null_ids_and_repeated_rows(spark):
     assert near_dup.near_duplicates(frame(spark, [])).isEmpty()
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f")]
