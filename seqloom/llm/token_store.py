@@ -211,7 +211,7 @@ def write_store(docs: DataFrame, path: str, p: Params, id_col: str = "doc_id", t
     seen = packs.select("pack", "doc_id", "n_tokens", "start_in_pack", "leaf")
     # leaves, 16 bytes a document, meet by pack and are folded to its root one at a time
     roots = seen.repartition(n, "pack").sortWithinPartitions("pack", "start_in_pack").mapInArrow(_roots, "pack int, first_doc long, last_doc long, n_docs long, n_tokens long, root binary")
-    roots.coalesce(1).write.parquet(f"{path}/manifest")
+    roots.repartition(1).write.parquet(f"{path}/manifest")  # a row for each pack, after the fold
 
 
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,8 +285,10 @@ def _digest_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_store(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if asked for, ids (little-endian unsigned 32-bit).
 
-    Every chunk is checked against its digest and every document against its length. Chunks held by other documents
+    The packs' Merkle roots are computed again from the recipes and compared with the manifest first (see verify), every
+    chunk is checked against its digest and every document against its length. Chunks held by other documents
     come over a join on the digest (the library side has a digest once; adaptive execution splits a hot one)."""
+    verify(spark, path)
     packs = spark.read.parquet(f"{path}/packs")
     manifest = spark.read.parquet(f"{path}/manifest").select("pack", "n_tokens").collect()  # as many rows as packs
     before, total = {}, 0
