@@ -92,7 +92,7 @@ def n_masked(seq: Column, keep_over: int = 35) -> Column:
 def substitute_n(seq: Column, read_id: Column) -> Column:
     """Each N (any case) becomes a base chosen by the read's id and the place, the same on every run."""
     def base(c: Column, i: Column) -> Column:
-        pick = F.substring(F.lit(BASES), (F.pmod(read_id * 31 + i * 7 + F.floor(read_id / 13), F.lit(4)) + 1).cast("int"), F.lit(1))
+        pick = F.substring(F.lit(BASES), (F.pmod(read_id * 31 + i * 7 + F.call_function("div", read_id, F.lit(13)), F.lit(4)) + 1).cast("int"), F.lit(1))
         return F.when(F.upper(c) == "N", pick).otherwise(c)
 
     return F.when(F.instr(F.upper(seq), "N") == 0, seq).otherwise(F.array_join(F.transform(F.split(seq, "(?!^)"), base), ""))

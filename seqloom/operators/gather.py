@@ -14,9 +14,12 @@ def hits(cores: DataFrame, posts: DataFrame, reads: DataFrame, k: int) -> DataFr
     """cluster_id, read_id, k_end, loc, rc for each k-mer that a core (cluster_id, core) shares with a read.
 
     k_end: the k-mer's end in the core. loc: where the read's first base lies relative to the core's, after turning the
-    read if rc. Equi-joins on k-mer and read id only."""
-    probe = kmers.windows(cores.select(F.col("cluster_id").alias("read_id"), F.col("core").alias("seq")), k)
-    probe = probe.select(F.col("read_id").alias("cluster_id"), F.col("end").alias("k_end"), "kmer", F.col("forward").alias("core_forward"))
+    read if rc. A column `at`, if cores has one, is where the core's text begins, and is added to both. Equi-joins on k-mer and read id only.
+    Null and short cores have no hits; repeated cores give repeated hits; empty tables give none."""
+    keep = ("at",) if "at" in cores.columns else ()
+    probe = kmers.windows(cores.select(F.col("cluster_id").alias("read_id"), F.col("core").alias("seq"), *keep), k, keep)
+    base = F.col("at") if keep else F.lit(0)
+    probe = probe.select(F.col("read_id").alias("cluster_id"), (F.col("end") + base).alias("k_end"), "kmer", F.col("forward").alias("core_forward"))
     lengths = reads.select("read_id", F.length("seq").alias("len"))
     x = probe.join(posts, "kmer").join(lengths, "read_id")
     e = F.abs("spos") - 1

@@ -1,26 +1,68 @@
-"""k-mer spectrum, document frequency and the inverted index, as grouped explodes."""
+"""k-mer spectrum, document frequency and the inverted index, as grouped explodes over two-bit codes.
+
+A k-mer is a BIGINT, two bits a base in the order A, C, G, T, so that a smaller code is a smaller text. Null sequences and sequences
+shorter than k have no k-mer; a character other than A, C, G, T is in none. Repeated rows of a read id count once per row in
+spectrum(), and are one read in postings() and document_frequency(). Empty tables give empty tables; extra columns are ignored."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dna
 
+#: Bases of a chunk that is turned into one number; a window is then a shift and a mask.
+CHUNK = 31
+
+
+def _number(digits: Column) -> Column:
+    return F.conv(digits, 4, 10).cast("long")
+
+
+def _shift(code: Column, bits: Column) -> Column:
+    return F.call_function("shiftright", code, bits.cast("int"))
+
+
+def windows(reads: DataFrame, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each k-mer of each read (read_id, seq): read_id, end (0-based), kmer (canonical), forward, and the columns of keep.
+
+    A read is cut into overlapping chunks of 31 bases, each turned into a number once for either strand; the windows of a
+    chunk are shifts of it. A palindrome counts as forward. All expressions are generated code; the explodes multiply rows only inside the task."""
+    per, mask = CHUNK + 1 - k, (1 << 2 * k) - 1
+    s = F.col("seq")
+    odd = ~s.rlike("^[ACGT]*$")
+    digits, turned = F.translate(s, "ACGT", "0123"), F.reverse(F.translate(s, "ACGT", "3210"))
 
-def windows(reads: DataFrame, k: int) -> DataFrame:
-    """One row for each N-free k-mer of each read: read_id, end (0-based), kmer (canonical), forward.
+    def clean(x: Column) -> Column:
+        return F.when(odd, F.regexp_replace(x, "[^0-3]", "0")).otherwise(x)
 
-    The reverse complement of the read is made once; the k-mer's is a substring of it. A palindrome counts as forward.
-    All expressions are generated code; the explode multiplies rows only inside the task."""
-    r = reads.select("read_id", "seq", F.length("seq").alias("n")).where(F.col("n") >= k).withColumn("rc", dna.revcomp(F.col("seq")))
-    x = r.select("read_id", "seq", "rc", "n", F.explode(F.sequence(F.lit(1), F.col("n") - (k - 1))).alias("i"))
-    x = x.select("read_id", (F.col("i") + (k - 2)).alias("end"), F.substring("seq", F.col("i"), F.lit(k)).alias("km"), F.substring("rc", F.col("n") - F.col("i") - (k - 2), F.lit(k)).alias("rv"))
-    return x.where(~dna.has_n(F.col("km"))).select("read_id", "end", F.least("km", "rv").alias("kmer"), (F.col("km") <= F.col("rv")).alias("forward"))
+    spots = F.when(odd, F.regexp_replace(F.regexp_replace(s, "[^ACGT]", "3"), "[ACGT]", "0"))
+    r = reads.where(F.length(s) >= k).select("read_id", *keep, F.length(s).alias("n"), clean(digits).alias("f"), clean(turned).alias("t"), spots.alias("m"))
+    r = r.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - k) / per).cast("int"))).alias("j")).withColumn("a", F.col("j") * per).withColumn("l", F.least(F.lit(CHUNK), F.col("n") - F.col("a")))
+    r = r.select(
+        "read_id", *keep, "n", "a", "l", _number(F.substring("f", F.col("a") + 1, F.col("l"))).alias("f"), _number(F.substring("t", F.col("n") - F.col("a") - F.col("l") + 1, F.col("l"))).alias("t"),
+        F.coalesce(_number(F.substring("m", F.col("a") + 1, F.col("l"))), F.lit(0).cast("long")).alias("m"),
+    )
+    x = r.select("*", F.explode(F.sequence(F.lit(0), F.least(F.lit(per), F.col("l") - (k - 1)) - 1)).alias("o"))
+    back = 2 * (F.col("l") - k - F.col("o"))
+    bits = F.lit(mask).cast("long")
+    x = x.where((F.col("m") == 0) | (_shift(F.col("m"), back).bitwiseAND(bits) == 0))
+    x = x.select("read_id", *keep, (F.col("a") + F.col("o") + (k - 1)).alias("end"), _shift(F.col("f"), back).bitwiseAND(bits).alias("fw"), _shift(F.col("t"), 2 * F.col("o")).bitwiseAND(bits).alias("rv"))
+    return x.select("read_id", *keep, "end", F.least("fw", "rv").alias("kmer"), (F.col("fw") <= F.col("rv")).alias("forward"))
+
+
+def low_complexity(kmer: Column, k: int, share: float) -> Column:
+    """dna.low_complexity of a code: too many As or too many Ts, by counting bits."""
+    low = F.lit(((1 << 2 * k) - 1) // 3).cast("long")  # the lower bit of each base
+
+    def count(x: Column) -> Column:
+        return F.bit_count(x.bitwiseAND(_shift(x, F.lit(1))).bitwiseAND(low))
+
+    return (count(kmer) > share * k) | (count(F.bitwise_not(kmer)) > share * k)
 
 
 def indexed(reads: DataFrame, share: float = 0.7) -> DataFrame:
-    """The reads that take part: no N, not of low complexity."""
+    """The reads that take part: no N, not of low complexity. Null sequences take no part."""
     return reads.where(~dna.discard_read(F.col("seq"), share))
 
 
@@ -29,15 +71,24 @@ def spectrum(reads: DataFrame, k: int, min_count: int = 1) -> DataFrame:
     return windows(reads, k).groupBy("kmer").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
 
 
+def as_text(counts: DataFrame, k: int) -> DataFrame:
+    """counts with the k-mer's text in place of its code."""
+    return counts.withColumn("kmer", dna.decode(F.col("kmer"), k))
+
+
+def as_codes(counts: DataFrame) -> DataFrame:
+    """kmer, n with codes, of k-mer texts from outside; both strands of a k-mer are added up."""
+    return counts.select(dna.encode(dna.canonical(F.upper("kmer"))).alias("kmer"), "n").where("kmer is not null").groupBy("kmer").agg(F.sum("n").alias("n"))
+
+
 def postings(reads: DataFrame, k: int, counts: DataFrame | None = None, share: float = 0.9) -> DataFrame:
     """kmer, read_id, spos: the first occurrence of each k-mer in each read; |spos| - 1 is its end, the sign its strand.
 
-    With counts (kmer, n) only those k-mers are indexed that it holds and that are not of low complexity."""
+    With counts (kmer, n) only those k-mers are indexed that it holds and that are not of low complexity. The join
+    deals windows by k-mer, which the grouping by k-mer and read then needs no further shuffle for."""
     w = windows(reads, k)
     if counts is not None:
-        keep = counts.where(~dna.low_complexity(F.col("kmer"), share)).select("kmer")
-        # both sides are shuffled by k-mer anyway; hashing the kept k-mers of a partition saves sorting all occurrences
-        w = w.join(keep.hint("shuffle_hash"), "kmer", "left_semi")
+        w = w.join(counts.where(~low_complexity(F.col("kmer"), k, share)).select("kmer"), "kmer", "left_semi")
     # end and strand as one integer, so that the minimum is a hash aggregate without a sort
     first = w.groupBy("kmer", "read_id").agg(F.min(F.col("end") * 2 + (~F.col("forward")).cast("int")).alias("x"))
     end = F.floor(F.col("x") / 2)
@@ -49,9 +100,12 @@ def document_frequency(reads: DataFrame, k: int) -> DataFrame:
     return windows(reads, k).select("kmer", "read_id").distinct().groupBy("kmer").agg(F.count("*").alias("n_reads"))
 
 
-def admit(posts: DataFrame) -> DataFrame:
-    """read_id of the seeds that may run together: the smallest read on every k-mer they hold, so that no two share one.
+def admit(posts: DataFrame, order: Column | str = "read_id", slack: int = 1) -> DataFrame:
+    """read_id of the seeds that may run together: the reads whose order (a number from 1 if slack is used) is at most slack times the
+    smallest on every k-mer they hold. With slack 1 and orders unique by read, no two share a k-mer.
 
     A minimum per k-mer (partial before the shuffle, so a hot k-mer is cheap), then one join back on the k-mer."""
-    low = posts.groupBy("kmer").agg(F.min("read_id").alias("low"))
-    return posts.join(low.hint("shuffle_hash"), "kmer").groupBy("read_id").agg(F.min(F.col("read_id") == F.col("low")).alias("ok")).where("ok").select("read_id")
+    x = posts.select("kmer", "read_id", (F.col(order) if isinstance(order, str) else order).alias("o"))
+    low = x.groupBy("kmer").agg(F.min("o").alias("low"))
+    over = F.col("o") > (F.col("low") * slack if slack != 1 else F.col("low"))
+    return x.join(low, "kmer").groupBy("read_id").agg(F.max(over.cast("int")).alias("over")).where("over = 0").select("read_id")

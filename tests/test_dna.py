@@ -95,8 +95,33 @@ def test_windows_and_postings_against_python(spark):
                 c = min(km, rc(km))
                 want.append((i, e, c, km <= rc(km)))
                 first.setdefault((c, i), e + 1 if km <= rc(km) else -e - 1)
-    assert sorted(map(tuple, kmers.windows(df, k).select("read_id", "end", "kmer", "forward").collect())) == sorted(want)
-    assert {(x.kmer, x.read_id): x.spos for x in kmers.postings(df, k).collect()} == first
+    assert sorted(map(tuple, kmers.as_text(kmers.windows(df, k), k).select("read_id", "end", "kmer", "forward").collect())) == sorted(want)
+    assert {(x.kmer, x.read_id): x.spos for x in kmers.as_text(kmers.postings(df, k), k).collect()} == first
+
+
+@pytest.mark.parametrize("k", [1, 17, 30, 31])
+def test_windows_of_long_sequences_and_odd_rows(spark, k):
+    """Chunks of 31 bases overlap so that no window is lost; null and short sequences, other letters and repeated rows."""
+    r = random.Random(k)
+    rows = [(i, "".join(r.choice("ACGT") for _ in range(n))) for i, n in enumerate((0, k - 1, k, 31, 32, 62, 63, 200))] + [(50, None), (51, "ACGTacgtRYK" * 9), (52, "A" * 40), (52, "A" * 40), (53, "ACG" * 15 + "N" + "TTG" * 15)]
+    want = []
+    for i, s in rows:
+        for e in range(k - 1, len(s or "")):
+            km = s[e - k + 1 : e + 1]
+            if set(km) <= set("ACGT"):
+                want.append((i, e, min(km, rc(km)), km <= rc(km)))
+    df = spark.createDataFrame([(*x, "x") for x in rows], "read_id long, seq string, kmer string")
+    assert sorted(map(tuple, kmers.as_text(kmers.windows(df, k), k).select("read_id", "end", "kmer", "forward").collect())) == sorted(want)
+    assert kmers.windows(df.where("false"), k).isEmpty()
+
+
+def test_low_complexity_by_bits(spark):
+    texts = ["A" * 15 + "CG", "A" * 16 + "C", "T" * 16 + "C", "T" * 15 + "GC", "ACGTACGTACGTACGTA"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(dna.low_complexity(F.col("t"), 0.9).alias("a"), kmers.low_complexity(dna.encode(F.col("t")), 17, 0.9).alias("b")).collect()
+    assert [x.a for x in got] == [x.b for x in got] == [False, True, True, False, False]
+    back = kmers.as_codes(spark.createDataFrame([("ACGTACGTACGTACGTA", 3), ("TACGTACGTACGTACGT", 4), ("AXG", 9)], "kmer string, n long"))
+    assert [(x.kmer, x.n) for x in kmers.as_text(back, 17).collect()] == [("ACGTACGTACGTACGTA", 7)]
 
 
 def test_admitted_seeds_share_no_kmer(spark):
