@@ -45,3 +45,17 @@ def summary(attempts: DataFrame, claims: DataFrame, corrections: DataFrame) -> D
     one = F.lit(1).alias("one")
     joined = c.select("*", one).join(a.select("*", one), "one").join(e.select("*", one), "one").drop("one")
     return joined.select(*(F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("accepted", "corrected", "collided", "bad_collided", "n_sub", "n_del", "n_ins")))
+
+
+def summary_of(attempts: DataFrame, claims: DataFrame, reads: DataFrame, corrections: DataFrame) -> DataFrame:
+    """summary() of a run over several rounds: attempts (read_id, cluster_id, corrected, won), claims (read_id, corrected), reads
+    (read_id, seq), corrections (kind). Empty tables count as zeros."""
+    kept = claims.select("read_id", F.col("corrected").alias("kept"))
+    lost = attempts.where("not won").join(kept, "read_id")
+    a = lost.agg(F.count("*").alias("collided"), F.sum((F.col("corrected") != F.col("kept")).cast("long")).alias("bad_collided"))
+    changed = (F.col("kept") != F.col("seq")).cast("long")
+    c = kept.join(reads, "read_id").agg(F.count("*").alias("accepted"), F.sum(changed).alias("corrected"))
+    e = corrections.agg(*(F.sum((F.col("kind") == k).cast("long")).alias(n) for n, k in (("n_sub", "M"), ("n_del", "D"), ("n_ins", "I"))))
+    one = F.lit(1).alias("one")
+    joined = c.select("*", one).join(a.select("*", one), "one").join(e.select("*", one), "one")
+    return joined.select(*(F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("accepted", "corrected", "collided", "bad_collided", "n_sub", "n_del", "n_ins")))

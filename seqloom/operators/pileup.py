@@ -27,6 +27,11 @@ def subtract(c: DataFrame, gone: DataFrame) -> DataFrame:
     return out.where(sum(F.col(x) for x in cols) > 0)
 
 
+def spans(c: DataFrame) -> DataFrame:
+    """cluster_id, lo, hi: the columns from the first to the last that has a count."""
+    return c.groupBy("cluster_id").agg(F.min("pos").alias("lo"), (F.max("pos") + 1).alias("hi"))
+
+
 def profile(c: DataFrame, psi: float = 0.01) -> DataFrame:
     """counts with pA, pC, pG, pT, entropy and letter."""
     made = dna.column_profile(*(F.col(f"c{x}") for x in dna.BASES), psi=psi)

@@ -5,9 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..params import Params
+from . import pileup
 
 
 def pivoted_qr(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,44 +52,57 @@ def column_groups(shared: np.ndarray) -> list[list[int]]:
     return [sorted(g) for g in groups]
 
 
-def outliers(errors: dict[int, set[int]], rare: int = 3) -> set[int]:
-    """Reads to drop, from {column: reads that err there}."""
-    cols = sorted(c for c, r in errors.items() if len(r) > rare)
-    if len(cols) < 2:
-        return set()
-    sets = [errors[c] for c in cols]
-    shared = np.array([[len(a & b) for b in sets] for a in sets])
-    gone: set[int] = set()
-    for g in column_groups(shared):
-        if len(g) < 2:
-            continue
-        count: dict[int, int] = {}
-        for c in g:
-            for r in sets[c]:
-                count[r] = count.get(r, 0) + 1
-        limit = min(3, len(g) // 2)
-        gone |= {r for r, n in count.items() if n > limit}
-    return gone
-
-
-def filter_reads(aligned: DataFrame, cores: DataFrame, p: Params = Params()) -> DataFrame:
-    """cluster_id, read_id, reason (caps or spectral) of the reads to leave out.
-
-    aligned: cluster_id, read_id, errors. Reads over the error caps go first; their columns still count. A cluster of
-    fewer than three other reads or two error columns stays as it is. Only clusters that have error columns above the
-    rare limit are grouped, and of these only (column, read) pairs."""
-    e = aligned.select("cluster_id", "read_id", F.explode("errors").alias("pos")).distinct()
-    x = e.join(cores.select("cluster_id", "core_lo", "core_hi"), "cluster_id", "left")
-    inside = (F.col("pos") >= F.col("core_lo")) & (F.col("pos") < F.col("core_hi"))
-    caps = x.groupBy("cluster_id", "read_id").agg(F.sum(F.coalesce(inside, F.lit(False)).cast("int")).alias("n_core"), F.count("*").alias("n_all"))
-    caps = caps.where((F.col("n_core") > p.max_core_errors) | (F.col("n_all") >= p.max_pre_corrected_errors)).select("cluster_id", "read_id", F.lit("caps").alias("reason"))
-    kept = aligned.select("cluster_id", "read_id").join(caps.select("cluster_id", "read_id"), ["cluster_id", "read_id"], "left_anti").groupBy("cluster_id").agg(F.count("*").alias("n"))
-    busy = e.groupBy("cluster_id", "pos").agg(F.count("*").alias("n_reads")).where(F.col("n_reads") > p.rare_column)
-    work = e.join(busy.select("cluster_id", "pos"), ["cluster_id", "pos"]).join(kept.where((F.col("n") > 2) & (F.col("n") > p.thin_over)).select("cluster_id"), "cluster_id", "left_semi")
+def capped(aligned: DataFrame, cores: DataFrame, spans: DataFrame, p: Params = Params()) -> DataFrame:
+    """cluster_id, read_id, pos, n_core, n_all, dropped: the error steps of each read that count, with the read's totals.
+
+    aligned: cluster_id, read_id, errors (positions in the read's order, with repeats); spans (cluster_id, lo, hi): the columns that
+    reads or the core cover. A step outside the span does not count. A path is walked from the read's end; the step that
+    makes more than max_core_errors inside the core ends it, and what comes after is not looked at. dropped: that happened, or
+    max_pre_corrected_errors or more steps counted. Reads without errors, null errors and clusters without a span have no rows."""
+    steps = aligned.select("cluster_id", "read_id", F.posexplode(F.reverse("errors")).alias("step", "pos")).join(spans.select("cluster_id", "lo", "hi"), "cluster_id")
+    steps = steps.where((F.col("pos") >= F.col("lo")) & (F.col("pos") < F.col("hi"))).join(cores.select("cluster_id", "core_lo", "core_hi"), "cluster_id", "left")
+    inside = F.coalesce((F.col("pos") >= F.col("core_lo")) & (F.col("pos") < F.col("core_hi")), F.lit(False)).cast("int")
+    read = W.partitionBy("cluster_id", "read_id")
+    steps = steps.withColumn("n_core", F.sum(inside).over(read.orderBy("step")))
+    over = F.max("n_core").over(read) > p.max_core_errors
+    n_all = F.sum((F.col("n_core") <= p.max_core_errors).cast("int")).over(read)
+    x = steps.select("cluster_id", "read_id", "pos", "n_core", F.least(F.max("n_core").over(read), F.lit(p.max_core_errors + 1)).cast("int").alias("core_total"), n_all.cast("int").alias("n_all"), over.alias("over"))
+    x = x.withColumn("dropped", F.col("over") | (F.col("n_all") >= p.max_pre_corrected_errors))
+    return x.select("cluster_id", "read_id", F.when(F.col("n_core") <= p.max_core_errors, F.col("pos")).alias("pos"), F.col("core_total").alias("n_core"), "n_all", "dropped")
+
+
+def grouped_columns(similarity: DataFrame) -> DataFrame:
+    """cluster_id, pos, grp, size: the groups of two and more of each cluster's error columns. similarity: cluster_id, pos_i, pos_j, shared
+    of all its pairs, so what one task holds is bounded by the span of a cluster, not by its reads."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        gone = outliers({int(c): set(r["read_id"]) for c, r in g.groupby("pos")}, p.rare_column)
-        return pd.DataFrame({"cluster_id": g["cluster_id"].iloc[0], "read_id": sorted(gone), "reason": "spectral"}, columns=["cluster_id", "read_id", "reason"])
+        cols = np.unique(np.concatenate([g["pos_i"], g["pos_j"]]))
+        shared = np.zeros((len(cols), len(cols)))
+        i, j = np.searchsorted(cols, g["pos_i"]), np.searchsorted(cols, g["pos_j"])
+        shared[i, j] = shared[j, i] = g["shared"]
+        rows = [(int(g["cluster_id"].iloc[0]), int(cols[c]), n, len(group)) for n, group in enumerate(column_groups(shared)) if len(group) > 1 for c in group]
+        return pd.DataFrame(rows, columns=["cluster_id", "pos", "grp", "size"])
+
+    return similarity.groupBy("cluster_id").applyInPandas(run, "cluster_id long, pos long, grp int, size int")
+
+
+def filter_reads(aligned: DataFrame, cores: DataFrame, spans: DataFrame, p: Params = Params()) -> DataFrame:
+    """cluster_id, read_id, reason (caps or spectral) of the reads to leave out; see capped() for the inputs.
 
-    spectral = work.groupBy("cluster_id").applyInPandas(run, "cluster_id long, read_id long, reason string")
-    return caps.unionByName(spectral.join(caps.select("cluster_id", "read_id"), ["cluster_id", "read_id"], "left_anti"))
+    A cluster of at most thin_over reads stays as it is. Reads over the error caps go first; the columns that they err in up to there
+    still count. A cluster of fewer than three other reads or two error columns loses no more. Columns in which more than rare_column reads
+    err are grouped by the reads that they share, and a read goes if it errs in more than three columns, or more than half, of a group.
+    Counts, pairs and the last step are joins and grouped sums; only a cluster's matrix of columns goes to Python."""
+    n = aligned.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    thick = n.where(F.col("n") > p.thin_over)
+    x = capped(aligned.join(thick.select("cluster_id"), "cluster_id", "left_semi"), cores, spans, p)
+    gone = x.where("dropped").select("cluster_id", "read_id").distinct()
+    lost = gone.groupBy("cluster_id").agg(F.count("*").alias("lost"))
+    enough = thick.join(lost, "cluster_id", "left").where(F.col("n") - F.coalesce("lost", F.lit(0)) > 2).select("cluster_id")
+    e = x.where("pos is not null").select("cluster_id", "pos", "read_id").distinct().join(enough, "cluster_id", "left_semi")
+    busy = pileup.error_columns(e, p.rare_column).select("cluster_id", "pos")
+    groups = grouped_columns(pileup.column_similarity(e, busy).select("cluster_id", "pos_i", "pos_j", "shared"))
+    met = e.join(groups, ["cluster_id", "pos"]).groupBy("cluster_id", "grp", "read_id").agg(F.count("*").alias("m"), F.max("size").alias("size"))
+    out = met.where(F.col("m") > F.least(F.lit(3), F.floor(F.col("size") / 2))).select("cluster_id", "read_id").distinct()
+    spectral = out.join(gone, ["cluster_id", "read_id"], "left_anti").withColumn("reason", F.lit("spectral"))
+    return gone.withColumn("reason", F.lit("caps")).unionByName(spectral)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,36 +12,88 @@ from ..functions import dna
 from ..operators import claims as own
 from ..operators import em, gather, kmers, pileup, spectral, viterbi
 from ..params import Params
-from ..sources.sinks import materialize
-
-CLUSTERS = "cluster_id long, core_lo int, core_hi int, core string, active boolean"
+from ..sources import sinks
+
+EDITS = "array<struct<pos:int,kind:string,bases:string>>"
+#: State that a round writes anew, and state that it adds rows to.
+REPLACED = {
+    "failures": "read_id long, n int",
+    "clusters": "cluster_id long, core_lo int, core_hi int, core string, active boolean",
+    "counts": "cluster_id long, pos long, cA double, cC double, cG double, cT double",
+    "frontier": "cluster_id long, core string, at int",
+    "members": "cluster_id long, read_id long",
+}
+ADDED = {
+    "claims": f"read_id long, cluster_id long, corrected string, edits {EDITS}, rc boolean",
+    "attempts": "read_id long, cluster_id long, corrected string, won boolean",
+    "tried": "read_id long",
+    "gathered": "cluster_id long, read_id long",  # over all rounds, repeats included
+    "columns": "cluster_id long, pos long, cA long, cC long, cG long, cT long, entropy double",
+    "ended": "cluster_id long, core_lo int, core_hi int, core string",
+}
+#: Seeds are taken in the order of this number of their id, so that they lie spread over the reads.
+SPREAD = 1 << 40
+
+
+def seed_order() -> F.Column:
+    """A long from 1, by a hash of the id, then the id itself: a random order that is the same on every run."""
+    return F.pmod(F.xxhash64("read_id"), F.lit(SPREAD)) + 1
 
 
 class Correction:
     """The state tables of a run (claims, failures, tried seeds, clusters, core counts) and one round over them.
 
     Each round is one plan over all active clusters: probe the index with new seeds and with the ends that the last round added, place
-    and check the reads found, pile up, thin out, extend, align, claim. State is written to the shared folder after each
-    round, which cuts lineage and survives lost executors. Equal input gives equal output for any parallelism."""
+    and check the reads found, pile up, thin out, extend, align, claim. Steps that several others read, and the state after the round, are
+    written to the shared folder, which cuts lineage and survives lost executors; a round's steps go when it ends. Claims, attempts and the like only get the round's new rows. Equal input gives equal output for any parallelism.
+
+    Seeds come in random order. In the first round seeds share no k-mer; from round to round more reads may be seeds together, twice as
+    many on a k-mer each time, so that the number of rounds grows with the logarithm of the most frequent k-mer. Seeds that
+    meet compete for reads like clusters that touch: the lowest number wins, and a cluster that lost a read stops.
+
+    reads: read_id, seq, one row each. A null sequence passes through and is never indexed, like one with an N. No rows: no rounds."""
 
     def __init__(self, reads: DataFrame, p: Params = Params(), stop: Callable[[], bool] = lambda: False, counts: DataFrame | None = None):
         self.p, self.spark, self.stop = p, reads.sparkSession, stop
-        self.reads = materialize(reads.select("read_id", "seq"), "reads")
+        self._paths: dict[str, str] = {}
+        self.reads = sinks.materialize(reads.select("read_id", "seq"), "reads")
         self.usable = kmers.indexed(self.reads, p.read_low_complexity)
-        self.posts = materialize(kmers.postings(self.usable, p.k, counts if counts is not None else kmers.spectrum(self.reads, p.k, p.min_count), p.kmer_low_complexity), "posts")
-        self.claims = self.spark.createDataFrame([], "read_id long, cluster_id long, corrected string, edits array<struct<pos:int,kind:string,bases:string>>, rc boolean")
-        self.failures = self.spark.createDataFrame([], "read_id long, n int")
-        self.tried = self.spark.createDataFrame([], "read_id long")
-        self.clusters = self.spark.createDataFrame([], CLUSTERS)
-        self.counts = self.spark.createDataFrame([], "cluster_id long, pos long, cA long, cC long, cG long, cT long")
-        self.members = self.spark.createDataFrame([], "cluster_id long, read_id long")
-        self.frontier = self.spark.createDataFrame([], "cluster_id long, core string, at int")
-        self.gathered = self.spark.createDataFrame([], "cluster_id long, read_id long")  # over all rounds, repeats included
-        self.columns = self.spark.createDataFrame([], "cluster_id long, pos long, cA long, cC long, cG long, cT long, entropy double")
+        posts = kmers.postings(self.usable, p.k, counts if counts is not None else kmers.spectrum(self.reads, p.k, p.min_count), p.kmer_low_complexity)
+        # dealt by k-mer once: every round's minima and joins on the k-mer then need no shuffle of the index
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.posts = sinks.materialize(posts, "posts").repartition(n, "kmer").persist(StorageLevel.MEMORY_AND_DISK)
         self.rounds = 0
 
+    def __getattr__(self, name: str) -> DataFrame:
+        kinds = REPLACED | ADDED
+        if name not in kinds:
+            raise AttributeError(name)
+        if name in self._paths:
+            return self.spark.read.schema(kinds[name]).parquet(self._paths[name])
+        return self.spark.createDataFrame([], kinds[name])
+
+    def _write(self, name: str, df: DataFrame) -> None:
+        kind = (REPLACED | ADDED)[name]
+        df = df.select(*(F.col(f.name).cast(f.dataType) for f in self.spark.createDataFrame([], kind).schema.fields))
+        if name in ADDED:
+            self._paths.setdefault(name, sinks.scratch(self.spark, name))
+            df.write.mode("append").parquet(self._paths[name])
+        else:
+            path = sinks.scratch(self.spark, name)
+            df.write.parquet(path)
+            self._old.append(self._paths.get(name))
+            self._next[name] = path
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        """A step that several others read, written to the shared folder until the round ends."""
+        path = sinks.scratch(self.spark, "step")
+        df.write.parquet(path)
+        self._old.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def admitted(self) -> DataFrame:
-        """Untried free reads that are the smallest on every k-mer they hold, away from all active ends; within start and end."""
+        """read_id of untried free reads within start and end, away from all active ends, whose order on each of their k-mers is at most
+        2 ** rounds times the smallest there: the smallest alone in the first round."""
         p = self.p
         free = self.usable.select("read_id").join(self.tried, "read_id", "left_anti").join(self.claims.select("read_id"), "read_id", "left_anti")
         free = free.join(self.failures.where(F.col("n") >= p.failure_limit).select("read_id"), "read_id", "left_anti")
@@ -48,112 +101,119 @@ class Correction:
             free = free.where(F.col("read_id") >= p.start)
         if p.end is not None:
             free = free.where(F.col("read_id") < p.end)
-        posts = self.posts.join(free, "read_id", "left_semi")
+        posts = self.posts.join(free.distinct(), "read_id", "left_semi")
+        seeds = kmers.admit(posts, seed_order(), 2 ** min(self.rounds, 22))
+        if self.rounds == 0:
+            return seeds
         ends = kmers.windows(self.frontier.select(F.col("cluster_id").alias("read_id"), F.col("core").alias("seq")), p.k).select("kmer").distinct()
         near = posts.join(ends, "kmer", "left_semi").select("read_id").distinct()
-        return kmers.admit(posts).join(near, "read_id", "left_anti")
+        return seeds.join(near, "read_id", "left_anti")
 
     def round(self) -> bool:
         """One round; False if nothing was left to do."""
-        p = self.p
-        seeds = materialize(self.admitted(), "seeds")
-        probes = self.frontier.unionByName(seeds.join(self.usable, "read_id").select(F.col("read_id").alias("cluster_id"), F.col("seq").alias("core"), F.lit(0).alias("at")))
-        probes = materialize(probes, "probes")
-        if probes.isEmpty() or self.stop():
+        self._old, self._next = [], {}
+        try:
+            return self._round()
+        finally:
+            self._paths |= self._next
+            for path in filter(None, self._old):
+                sinks.drop(self.spark, path)
+
+    def _round(self) -> bool:
+        p, keep = self.p, self._keep
+        seeds = keep(self.admitted())
+        if (seeds.isEmpty() and self.frontier.isEmpty()) or self.stop():
             return False
-        live = self.clusters.where("active").select("cluster_id", "core_lo", "core_hi").unionByName(seeds.select(F.col("read_id").alias("cluster_id"), F.lit(0).alias("core_lo"), F.lit(0).alias("core_hi")))
-        # gather; each end of a cluster is a probe of its own
-        parts = probes.select(F.concat_ws(":", "cluster_id", "at").alias("key"), "cluster_id", "at", "core").withColumn("probe", F.xxhash64("key"))
-        h = gather.hits(parts.select(F.col("probe").alias("cluster_id"), "core"), self.posts, self.usable, p.k).withColumnRenamed("cluster_id", "probe")
-        h = h.join(parts.select("probe", "cluster_id", "at"), "probe").select("cluster_id", "read_id", (F.col("k_end") + F.col("at")).alias("k_end"), (F.col("loc") + F.col("at")).alias("loc"), "rc", "len")
+        probes = self.frontier.unionByName(seeds.join(self.usable, "read_id").select(F.col("read_id").alias("cluster_id"), F.col("seq").alias("core"), F.lit(0).alias("at")))
+        active = self.clusters
+        live = (active.select("cluster_id", "core_lo", "core_hi").unionByName(seeds.select(F.col("read_id").alias("cluster_id"), F.lit(0).alias("core_lo"), F.lit(0).alias("core_hi"))))
+        # gather; each end of a cluster is a probe of its own, shifted to its place
+        h = gather.hits(probes, self.posts, self.usable, p.k)
         h = h.join(live, "cluster_id").where((F.col("core_lo") == F.col("core_hi")) | (F.col("loc") < F.col("core_lo")) | (F.col("loc") + F.col("len") > F.col("core_hi"))).drop("core_lo", "core_hi")
         h = gather.usable(h, self.claims, self.failures, p.failure_limit, p.reuse_reads, p.strict_failures)
         h = h.join(self.members, ["cluster_id", "read_id"], "left_anti")
         # places before 0 are possible, so the hit order is shifted to stay positive
         h = h.withColumn("k_end", F.col("k_end") + (1 << 24))
-        placed = materialize(gather.oriented(gather.first_hits(self._near(h, live)), self.usable), "placed")
+        placed = keep(gather.oriented(gather.first_hits(self._near(h)), self.usable))
         # pile up on what the core carries over, thin out, and count again
-        hard = pileup.counts(pileup.bases(placed)).unionByName(self.counts.join(live.select("cluster_id"), "cluster_id", "left_semi")).groupBy("cluster_id", "pos").agg(*(F.sum(f"c{b}").alias(f"c{b}") for b in dna.BASES))
-        hard = materialize(hard, "hard")
-        first = materialize(viterbi.align_reads(placed, hard, p), "first")
-        gone = materialize(spectral.filter_reads(first, live, p), "gone")
+        here = pileup.counts(pileup.bases(placed)).select("cluster_id", F.col("pos").cast("long").alias("pos"), *(F.col(f"c{b}").cast("double").alias(f"c{b}") for b in dna.BASES))
+        hard = keep(here.unionByName(self.counts).groupBy("cluster_id", "pos").agg(*(F.sum(f"c{b}").alias(f"c{b}") for b in dna.BASES)))
+        gone = keep(spectral.filter_reads(viterbi.align_reads(placed, hard, p), live, pileup.spans(hard), p))
         kept = placed.join(gone.select("cluster_id", "read_id"), ["cluster_id", "read_id"], "left_anti")
-        left = materialize(pileup.subtract(hard, pileup.counts(pileup.bases(placed.join(gone.select("cluster_id", "read_id"), ["cluster_id", "read_id"], "left_semi")))), "left")
+        left = keep(pileup.subtract(hard, pileup.counts(pileup.bases(placed.join(gone.select("cluster_id", "read_id"), ["cluster_id", "read_id"], "left_semi")))))
         if p.do_em:
-            soft = em.em_profiles(kept, left, live, p).toDF("cluster_id", "pos", *(f"c{b}" for b in dna.BASES))
-            prof = pileup.profile(materialize(soft, "soft"), p.pseudocount)
-        else:
-            prof = pileup.profile(left, p.pseudocount)
+            left = keep(em.em_profiles(kept, left, live, p).toDF("cluster_id", "pos", *(f"c{b}" for b in dna.BASES)))
         # extend both ends
-        prof = materialize(prof.join(live, "cluster_id"), "profile")
+        prof = keep(pileup.profile(left, p.pseudocount).join(live, "cluster_id"))
         right = gather.core_prefix(prof, p.entropy, F.col("core_hi"), True)
         leftx = gather.core_prefix(prof, p.entropy, F.col("core_lo"), False)
-        ext = materialize(right.select("cluster_id", "pos", "letter").unionByName(leftx.select("cluster_id", "pos", "letter")), "ext")
-        grown = ext.groupBy("cluster_id").agg(F.min("pos").alias("lo"), (F.max("pos") + 1).alias("hi"))
-        cores = live.join(grown, "cluster_id", "left").select("cluster_id", F.least("core_lo", "lo").cast("int").alias("core_lo"), F.greatest("core_hi", "hi").cast("int").alias("core_hi"), F.col("core_lo").alias("old_lo"), F.col("core_hi").alias("old_hi"))
-        cores = materialize(cores.select("cluster_id", F.coalesce("core_lo", "old_lo").alias("core_lo"), F.coalesce("core_hi", "old_hi").alias("core_hi"), "old_lo", "old_hi"), "cores")
-        # align the kept reads to the thinned profile and claim
-        aligned = materialize(viterbi.accepted(viterbi.align_reads(kept, left, p), cores, p), "aligned")
+        ext = keep(right.select("cluster_id", "pos", "letter").unionByName(leftx.select("cluster_id", "pos", "letter")))
+        grown = ext.groupBy("cluster_id").agg(F.min("pos").alias("lo"), (F.max("pos") + 1).alias("hi"), F.array_sort(F.collect_list(F.struct("pos", "letter"))).alias("x"))
+        side = lambda c: F.coalesce(F.array_join(F.transform(F.filter("x", c), lambda s: s["letter"]), ""), F.lit(""))
+        full = live.join(grown, "cluster_id", "left").join(active.select("cluster_id", F.col("core").alias("old")), "cluster_id", "left")
+        text = F.concat(side(lambda s: s["pos"] < F.col("core_lo")), F.coalesce("old", F.lit("")), side(lambda s: s["pos"] >= F.col("core_hi")))
+        cores = keep(full.withColumn("made", text).select(
+            "cluster_id", F.coalesce(F.least("core_lo", "lo"), "core_lo").cast("int").alias("core_lo"), F.coalesce(F.greatest("core_hi", "hi"), "core_hi").cast("int").alias("core_hi"),
+            F.col("made").alias("core"), F.col("core_lo").alias("old_lo"), F.col("core_hi").alias("old_hi"),
+        ))
+        # align the kept reads to the thinned profile, correct them to the core, and claim
+        aligned = keep(viterbi.accepted(viterbi.align_reads(kept, left, p, cores), cores, p))
         good = aligned.where("ok").select("read_id", "cluster_id", "corrected", "edits").join(placed.select("cluster_id", "read_id", "rc"), ["cluster_id", "read_id"])
-        taken = self.claims.select("read_id", F.lit(True).alias("taken"))
-        tries = materialize(good.join(taken, "read_id", "left"), "tries")
-        wins = own.first_claim(tries.where("taken is null").select("read_id", "cluster_id", "corrected")).where("won").select("read_id", "cluster_id")
-        wins = materialize(wins, "wins")
-        lost = tries.join(wins, ["read_id", "cluster_id"], "left_anti").select("cluster_id").distinct()
-        new_claims = tries.join(wins, ["read_id", "cluster_id"]).select("read_id", "cluster_id", F.when(F.col("rc"), dna.revcomp(F.col("corrected"))).otherwise(F.col("corrected")).alias("corrected"), "edits", "rc")
+        good = good.withColumn("corrected", F.when(F.col("rc"), dna.revcomp(F.col("corrected"))).otherwise(F.col("corrected")))
+        tries = good.join(self.claims.select("read_id", F.lit(True).alias("taken")), "read_id", "left")
+        low = tries.where("taken is null").groupBy("read_id").agg(F.min("cluster_id").alias("owner"))
+        tries = keep(tries.join(low, "read_id", "left").withColumn("won", F.coalesce(F.col("taken").isNull() & (F.col("cluster_id") == F.col("owner")), F.lit(False))))
+        by = tries.groupBy("cluster_id").agg(F.sum(F.col("won").cast("int")).alias("n_won"), F.sum((~F.col("won")).cast("int")).alias("n_lost"))
+        # the clusters after this round
+        after = cores.join(by, "cluster_id", "left")
+        grew = (F.col("core_lo") < F.col("old_lo")) | (F.col("core_hi") > F.col("old_hi"))
+        after = keep(after.withColumn("active", (F.coalesce("n_won", F.lit(0)) > 0) & (F.coalesce("n_lost", F.lit(0)) == 0) & grew).drop("n_won", "n_lost"))
+        go = after.where("active")
         # failures: thinned reads, and fitted ones that are unlikely though they need few edits
         if p.restrict_failures:
             bad = gone.select("read_id").unionByName(aligned.where(~F.col("ok") & F.col("fitted") & (F.col("n_sub") + F.col("n_del") + F.col("n_ins") < p.max_corrections)).select("read_id"))
             counted = bad.groupBy("read_id").agg(F.count("*").alias("m")).unionByName(self.failures.select("read_id", F.col("n").cast("long").alias("m")))
-            self.failures = materialize(counted.groupBy("read_id").agg(F.least(F.sum("m"), F.lit(p.failure_limit)).cast("int").alias("n")), "failures")
-        # the clusters after this round
-        letters = ext.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("pos", "letter"))).alias("x"))
-        old = self.clusters.select("cluster_id", F.col("core").alias("old"))
-        full = cores.join(old, "cluster_id", "left").join(letters, "cluster_id", "left")
-        side = lambda c: F.array_join(F.transform(F.filter("x", c), lambda s: s["letter"]), "")
-        before, after = F.coalesce(side(lambda s: s["pos"] < F.col("old_lo")), F.lit("")), F.coalesce(side(lambda s: s["pos"] >= F.col("old_hi")), F.lit(""))
-        won = wins.groupBy("cluster_id").agg(F.count("*").alias("won"))
-        full = full.withColumn("core", F.concat(before, F.coalesce("old", F.lit("")), after)).join(won, "cluster_id", "left").join(lost.withColumn("lost", F.lit(True)), "cluster_id", "left")
-        full = full.withColumn("active", (F.coalesce("won", F.lit(0)) > 0) & F.col("lost").isNull() & ((F.col("core_lo") < F.col("old_lo")) | (F.col("core_hi") > F.col("old_hi"))))
-        full = materialize(full.select("cluster_id", "core_lo", "core_hi", "core", "active", "old_lo", "old_hi"), "full")
-        rest = self.clusters.where("not active")
+            self._write("failures", counted.groupBy("read_id").agg(F.least(F.sum("m"), F.lit(p.failure_limit)).cast("int").alias("n")))
         # only the new ends are probed again, with k - 1 bases of overlap
         k1 = p.k - 1
         n_left, n_right = F.col("old_lo") - F.col("core_lo"), F.col("core_hi") - F.col("old_hi")
-        go = full.where("active")
         at_left = go.where(n_left > 0).select("cluster_id", F.substring("core", F.lit(1), n_left + k1).alias("core"), F.col("core_lo").alias("at"))
         r_len = F.least(n_right + k1, F.length("core"))
         at_right = go.where((n_right > 0) & (F.col("old_lo") < F.col("old_hi"))).select("cluster_id", F.substring("core", F.length("core") - r_len + 1, r_len).alias("core"), (F.col("core_hi") - r_len).alias("at"))
         fresh = go.where((n_right > 0) & (F.col("old_lo") == F.col("old_hi")) & (n_left <= 0)).select("cluster_id", "core", F.col("core_lo").alias("at"))
-        self.frontier = materialize(at_left.unionByName(at_right).unionByName(fresh), "frontier")
-        self.counts = materialize(pileup.carry_core(left, full.where("active")), "counts")
-        self.members = materialize(self.members.join(full.where("active"), "cluster_id", "left_semi").unionByName(kept.select("cluster_id", "read_id")), "members")
-        self.tried = materialize(self.tried.unionByName(seeds), "tried")
-        self.claims = materialize(self.claims.unionByName(new_claims), "claims")
-        self.clusters = materialize(rest.unionByName(full.select("cluster_id", "core_lo", "core_hi", "core", "active")), "clusters")
-        self.gathered = materialize(self.gathered.unionByName(placed.select("cluster_id", "read_id")), "gathered")
-        shown = prof.join(ext.select("cluster_id", "pos"), ["cluster_id", "pos"]).select("cluster_id", "pos", *(F.round(f"c{b}").cast("long").alias(f"c{b}") for b in dna.BASES), "entropy")
-        self.columns = materialize(self.columns.unionByName(shown), "columns")
+        self._write("frontier", at_left.unionByName(at_right).unionByName(fresh))
+        self._write("counts", pileup.carry_core(left, go))
+        self._write("members", self.members.unionByName(kept.select("cluster_id", "read_id")).join(go.select("cluster_id"), "cluster_id", "left_semi"))
+        self._write("clusters", go)
+        self._write("ended", after.where("not active"))
+        self._write("tried", seeds)
+        self._write("attempts", tries)
+        self._write("claims", tries.where("won"))
+        self._write("gathered", placed)
+        shown = prof.join(ext.select("cluster_id", "pos"), ["cluster_id", "pos"]).select("cluster_id", "pos", *(F.round(f"c{b}").alias(f"c{b}") for b in dna.BASES), "entropy")
+        self._write("columns", shown)
         self.rounds += 1
         return True
 
-    def _near(self, h: DataFrame, live: DataFrame) -> DataFrame:
+    def _near(self, h: DataFrame) -> DataFrame:
         """Hits whose overlap with an existing core (without its outer two columns) aligns with fewer errors than the cap; all hits of new seeds."""
         p = self.p
-        old = self.clusters.where("active").select("cluster_id", F.col("core_lo").alias("lo"), F.col("core_hi").alias("hi"))
-        x = h.join(old, "cluster_id", "left")
         if self.rounds == 0:
             return h
+        old = self.clusters.select("cluster_id", F.col("core_lo").alias("lo"), F.col("core_hi").alias("hi"))
+        cols = h.columns
+        # each place of a read is checked under a number of its own, which writing makes stable
+        x = h.distinct().join(old, "cluster_id", "left").withColumn("key", F.monotonically_increasing_id())
+        path = sinks.scratch(self.spark, "near")
+        x.write.parquet(path)
+        self._old.append(path)
+        x = self.spark.read.schema(x.schema).parquet(path)
         s = gather.oriented(x.where("lo is not null"), self.usable)
         start = F.greatest(F.lit(0), F.lit(2) - (F.col("loc") - F.col("lo")))
         infix = dna.overlap_infix(F.col("oseq"), F.col("loc") - F.col("lo"), F.col("hi") - F.col("lo"))
-        # each place of a read is checked under a key of its own; an error count by key decides
-        s = s.withColumn("key", F.xxhash64("cluster_id", "read_id", "loc", "rc"))
-        part = s.select("cluster_id", F.col("key").alias("read_id"), (F.col("loc") + start).cast("int").alias("loc"), infix.alias("oseq")).distinct()
-        e = viterbi.align_reads(part.where("oseq != ''"), self.counts, p).where(F.size("errors") < p.max_core_errors).select("cluster_id", F.col("read_id").alias("key"))
-        fine = s.join(e.unionByName(part.where("oseq = ''").select("cluster_id", F.col("read_id").alias("key"))), ["cluster_id", "key"], "left_semi")
-        cols = h.columns
-        return x.where("lo is null").select(*cols).unionByName(fine.select(*cols))
+        part = s.select("cluster_id", F.col("key").alias("read_id"), (F.col("loc") + start).cast("int").alias("loc"), infix.alias("oseq"))
+        far = viterbi.align_reads(part.where("oseq != ''"), self.counts, p).where(F.size("errors") >= p.max_core_errors).select(F.col("read_id").alias("key"))
+        return x.join(far, "key", "left_anti").select(*cols)
 
     def run(self, max_rounds: int | None = None) -> Correction:
         """Rounds until no cluster is active and no seed can be admitted, or max_rounds; unclaimed reads pass through unchanged."""
@@ -166,9 +226,10 @@ class Correction:
         return own.status(self.reads, self.claims)
 
     def contigs(self) -> DataFrame:
-        """cluster_id, core, n_reads of contigs longer than k."""
-        n = self.claims.groupBy("cluster_id").agg(F.count("*").alias("n_reads"))
-        return self.clusters.where(F.length("core") > self.p.k).select("cluster_id", "core").join(n, "cluster_id", "left").select("cluster_id", "core", F.coalesce("n_reads", F.lit(0)).alias("n_reads"))
+        """cluster_id, core, n_reads of contigs longer than k; n_reads counts every accepted read, also those that another cluster had or got."""
+        n = self.attempts.groupBy("cluster_id").agg(F.count("*").alias("n_reads"))
+        all_ = self.ended.select("cluster_id", "core").unionByName(self.clusters.select("cluster_id", "core"))
+        return all_.where(F.length("core") > self.p.k).join(n, "cluster_id", "left").select("cluster_id", "core", F.coalesce("n_reads", F.lit(0)).alias("n_reads"))
 
     def contig_columns(self) -> DataFrame:
         """cluster_id, pos, cA, cC, cG, cT, entropy of each contig column, as it stood when it was added."""
@@ -178,3 +239,7 @@ class Correction:
         """read_id, pos, kind, bases: places in the read as sequenced, bases on the cluster's strand."""
         x = self.claims.join(self.reads.select("read_id", F.length("seq").alias("len")), "read_id").select("read_id", "rc", "len", F.explode("edits").alias("e"))
         return x.select("read_id", F.when(F.col("rc"), F.col("len") - 1 - F.col("e.pos")).otherwise(F.col("e.pos")).alias("pos"), F.col("e.kind").alias("kind"), F.col("e.bases").alias("bases"))
+
+    def summary(self) -> DataFrame:
+        """One row: accepted, corrected, collided, bad_collided (those that would have been corrected otherwise), n_sub, n_del, n_ins."""
+        return own.summary_of(self.attempts, self.claims, self.reads, self.corrections())

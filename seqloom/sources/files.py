@@ -27,5 +27,5 @@ def read_corrected(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """read_id, one per line."""
-    return spark.read.text(path).select(F.trim("value").cast("long").alias("read_id")).where("read_id is not null")
+    """read_id, one per line; lines that are no number are passed over."""
+    return spark.read.text(path).select(F.trim("value").try_cast("long").alias("read_id")).where("read_id is not null")

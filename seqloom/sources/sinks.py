@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,43 @@ from pyspark.sql import functions as F
 from ..functions import dna
 
 
+_mine: list[tuple[SparkSession, str]] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a local session (one machine, tests)
+    uses its warehouse folder; a cluster has to name one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/steps"
+    return found.rstrip("/")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that spark.checkpoint.dir names, or in a default where it is unset."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/seqloom-{uuid.uuid4().hex[:12]}/{name}"
+    """A fresh path in the shared folder; it goes with drop(), or when the driver ends."""
+    folder = f"{shared_dir(spark)}/seqloom-{uuid.uuid4().hex[:12]}"
+    _mine.append((spark, folder))
+    return f"{folder}/{name}"
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch path through Hadoop's file system, whichever store holds it."""
+    folder = path.rpartition("/")[0]
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if (spark, folder) in _mine:
+        _mine.remove((spark, folder))
+
+
+@atexit.register
+def _tidy() -> None:
+    for spark, folder in list(_mine):
+        try:
+            drop(spark, f"{folder}/x")
+        except Exception:  # noqa: BLE001  the session may be gone already; nothing is lost but disk
+            return
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ def read(path):
     return "".join(p.read_text() for p in sorted(path.glob("part-*")))
 
 
-def test_files_to_files_and_resume(spark, tmp_path):
+def test_files_to_files_and_resume(spark, tmp_path, capsys):
     rows, clean = planted(21, n=48)
     r = random.Random(1)
     names = [f"run.{i} length={len(s)}" for i, s in rows]
@@ -21,7 +21,11 @@ def test_files_to_files_and_resume(spark, tmp_path):
         (tmp_path / f).write_text("".join(f"@{n}\n{s}\n+\n{'@' * len(s)}\n" for n, s in body[mate::2]))
     out = tmp_path / "w"
     args = ["-t", str(out), "--max-rounds", "2", str(tmp_path / "a.fq"), str(tmp_path / "b.fq")]
-    cli.main([*args, "--contigFn", str(tmp_path / "contigs"), "--corPosFn", str(tmp_path / "pos"), "--stats_suffix", "x"], spark)
+    (tmp_path / "ids").write_text("0\n7\n 12 \n\n12\n9999\n")
+    cli.main([*args, "--contigFn", str(tmp_path / "contigs"), "--corPosFn", str(tmp_path / "pos"), "--stats_suffix", "x", "--dbReads", str(tmp_path / "ids")], spark)
+    told = capsys.readouterr()
+    accepted, corrected = map(int, told.out.split())
+    assert f"Accepted: {accepted} Corrected: {corrected}\nCollidedReads: " in told.err and "Substitutions: " in told.err
     lines = read(out / "restored.fa").splitlines()
     order = [n for pair in zip(names[0::2], names[1::2]) for n in pair]
     heads = lines[0::2]
@@ -38,6 +42,9 @@ def test_files_to_files_and_resume(spark, tmp_path):
     masked = {int(h[1:]): s for h, s in zip(text[0::2], text[1::2])}
     text = read(out / "corrected.fa").splitlines()
     done = {int(h[1:].split("<")[0]): (h.partition("<")[2], s) for h, s in zip(text[0::2], text[1::2])}
+    assert (accepted, corrected) == (sum(x[0] != "" for x in done.values()), sum(x[0] == "Corrected" for x in done.values()))
+    chosen = read(out / "reads_of_interest.fa").splitlines()[0::2]
+    assert [int(h[1:].split("<")[0]) for h in chosen] == [i for i in (0, 7, 12) if i in done]
     edits = {}
     for line in read(tmp_path / "pos").splitlines():
         rid, pos, kind, bases = line.split("\t")
@@ -55,3 +62,13 @@ def test_files_to_files_and_resume(spark, tmp_path):
     (out / "restored.fa").rename(tmp_path / "old" / "restored.fa")
     cli.main(["-s", "4", *args], spark)
     assert read(out / "restored.fa") == read(tmp_path / "old" / "restored.fa")
+    # the corrected reads under another name
+    cli.main(["-s", "4", "-o", str(out / "corrected.fa"), *_without_restored(args, out)], spark)
+    assert read(out / "restored.fa") == read(tmp_path / "old" / "restored.fa")
+
+
+def _without_restored(args, out):
+    import shutil
+
+    shutil.rmtree(out / "restored.fa")
+    return args

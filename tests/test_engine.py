@@ -60,11 +60,46 @@ def test_correct_reads_goes_on_until_nothing_is_left(spark, tmp_path):
     rows = [(i, "".join(r.choice("abcdefghijklmnopqrstuvwxy") for _ in range(360))) for i in range(2)]
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     rows_of = lambda df: sorted(map(tuple, df.collect()))
-    c = Correction(fixtures.reads(spark, str(tmp_path)), queries.P).run(max_rounds=2)
-    two = rows_of(c.status())
+    c = Correction(fixtures.reads(spark, str(tmp_path)), queries.P).run(max_rounds=1)
+    one = rows_of(c.status())
     full = rows_of(c.run().status())
-    assert c.rounds > 2 and c.frontier.isEmpty() and c.admitted().isEmpty() and full != two
+    assert c.rounds > 1 and c.frontier.isEmpty() and c.clusters.isEmpty() and c.admitted().isEmpty() and full != one
     assert rows_of(queries.correct_reads(spark, str(tmp_path))) == full
+    tried = {x.read_id for x in c.tried.collect()}
+    taken = {x.read_id for x in c.claims.collect()} | {x.read_id for x in c.failures.where("n >= 3").collect()}
+    assert {x.read_id for x in c.posts.select("read_id").distinct().collect()} <= tried | taken
+    s = c.summary().first()
+    assert s.accepted == c.claims.count() and s.corrected == sum(x[1] == "Corrected" for x in full) and s.collided == c.attempts.where("not won").count()
+    assert c.contigs().agg({"n_reads": "sum"}).first()[0] <= c.attempts.count()
+
+
+def test_replayed_corrections_give_the_corrected_reads(spark):
+    """The file of places, applied to the reads as sequenced, gives what was claimed (substitutions; bases are on the cluster's strand)."""
+    rows, _ = planted(17, n=50)
+    c = Correction(spark.createDataFrame(rows, "read_id long, seq string")).run()
+    turned = {x.read_id: x.rc for x in c.claims.collect()}
+    seqs, gaps = dict(rows), set()
+    for x in c.corrections().collect():
+        if x.kind != "M":
+            gaps.add(x.read_id)
+            continue
+        a, b = x.bases if not turned[x.read_id] else (rc(x.bases[0]), rc(x.bases[1]))
+        s = seqs[x.read_id]
+        assert dict(rows)[x.read_id][x.pos] == a
+        seqs[x.read_id] = s[: x.pos] + b + s[x.pos + 1 :]
+    assert all(x.corrected == seqs[x.read_id] for x in c.claims.collect() if x.read_id not in gaps)
+
+
+def test_steps_of_a_run_are_deleted(spark):
+    import os
+
+    rows, _ = planted(18, n=20)
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    c = Correction(spark.createDataFrame(rows, "read_id long, seq string"))
+    c.run()
+    left = set(os.listdir(folder)) - before
+    assert c.rounds >= 1 and len(left) <= len(c._paths) + 2  # the state, the reads and the index
 
 
 def test_stop_file_and_empty_input(spark):
@@ -72,6 +107,9 @@ def test_stop_file_and_empty_input(spark):
     df = spark.createDataFrame(rows, "read_id long, seq string")
     assert Correction(df, stop=lambda: True).run().rounds == 0
     assert Correction(df.where("false")).run().status().isEmpty()
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "ACG"), (4, "N" * 40), (5, "A" * 60)], "read_id long, seq string")
+    c = Correction(odd).run()
+    assert sorted((x.read_id, x.status, x.seq) for x in c.status().collect()) == [(1, "", None), (2, "", ""), (3, "", "ACG"), (4, "", "N" * 40), (5, "", "A" * 60)]
 
 
 def test_first_claim_and_saturation(spark):
