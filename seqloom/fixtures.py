@@ -1,7 +1,8 @@
-"""Reads derived from the documents table: letters become bases, whole texts are tiled into 75-base reads every 15 bases.
+"""Reads derived from the documents table: letters become bases, whole texts are tiled into 75-base reads every 15 bases,
+and one more that ends with the text, so that no letter of a text of 75 and more is left out.
 
 One read in four gets one planted substitution and odd reads are reverse-complemented; `clean` is the read without the
-planted change. raw_reads has more Ns, no planted change and one strand. A read's id is doc_id * 10,000,000 + place.
+planted change. raw_reads has more Ns, no planted change and one strand. A read's id is doc_id * 100,000,000 + place.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-READ, STEP, ID_STEP = 75, 15, 10_000_000
+READ, STEP, ID_STEP = 75, 15, 100_000_000
 #: The base of each letter from a to z.
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 READ_BASES = "ACGTACGTACGTACGTACGTACGTAN"
@@ -22,7 +23,7 @@ def _tiles(spark: SparkSession, sf_dir: str, bases: str) -> DataFrame:
     if d.rdd.getNumPartitions() < n:  # a small file is one split, and every read comes out of it
         d = d.repartition(n, "doc_id")
     t = d.select("doc_id", F.translate(F.lower(F.regexp_replace("text", "[^A-Za-z]", "")), LETTERS, bases).alias("tx")).where(F.length("tx") >= READ)
-    w = t.select("doc_id", "tx", F.explode(F.sequence(F.lit(0), F.length("tx") - READ, F.lit(STEP))).alias("pos"))
+    w = t.select("doc_id", "tx", F.explode(F.array_distinct(F.concat(F.sequence(F.lit(0), F.length("tx") - READ, F.lit(STEP)), F.array(F.length("tx") - READ)))).alias("pos"))
     return w.select((F.col("doc_id") * ID_STEP + F.col("pos")).alias("read_id"), "doc_id", "pos", F.substring("tx", F.col("pos") + 1, F.lit(READ)).alias("f"))
 
 
@@ -46,7 +47,7 @@ def raw_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _tiles_sql(name: str, bases: str) -> str:
     return f"""{name}_t AS (SELECT doc_id, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{LETTERS}', '{bases}') AS tx FROM documents),
-{name}_w AS (SELECT doc_id, tx, unnest(range(0, length(tx) - {READ - 1}, {STEP})) AS pos FROM {name}_t WHERE length(tx) >= {READ}),
+{name}_w AS (SELECT doc_id, tx, unnest(list_distinct(list_append(range(0, length(tx) - {READ - 1}, {STEP}), length(tx) - {READ}))) AS pos FROM {name}_t WHERE length(tx) >= {READ}),
 {name}_f AS (SELECT doc_id * {ID_STEP} + pos AS read_id, doc_id, CAST(pos AS INT) AS pos, substr(tx, CAST(pos + 1 AS INT), {READ}) AS f, doc_id * 31 + pos AS h FROM {name}_w)"""
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import fixtures
 from .functions import dna
-from .operators import claims, gather, kmers, mask, pileup, ungapped
+from .operators import claims, em, gather, kmers, mask, pileup, spectral, ungapped, viterbi
 from .params import Params
 from .sources import sinks
 
@@ -48,8 +50,12 @@ class Flow:
         return kmers.indexed(self.reads.select("read_id", "seq"), P.read_low_complexity)
 
     def counts(self) -> DataFrame:
+        """k-mers as codes."""
         return kmers.spectrum(self.made.get("reads", self.lazy), K, P.min_count)
 
+    def texts(self) -> DataFrame:
+        return kmers.as_text(self.counts(), K)
+
     @once
     def postings(self) -> DataFrame:
         return kmers.postings(self.usable, K, self.counts(), P.kmer_low_complexity)
@@ -100,6 +106,10 @@ class Flow:
     def attempts(self) -> DataFrame:
         return ungapped.attempts(self.compared(), P.max_corrections, P.cluster_llh)
 
+    @once
+    def aligned(self) -> DataFrame:
+        return viterbi.align_reads(self.oriented(), self.counted(), P)
+
     def won(self) -> DataFrame:
         return claims.first_claim(self.attempts())
 
@@ -121,21 +131,73 @@ class Flow:
         return mask.mask(self.reads.select("read_id", "seq"))
 
 
+#: The log transition probabilities in billionths, from the first letter's state to the second's.
+_T = {"MM": round(math.log(0.94) * 1e9), "MD": round(math.log(0.03) * 1e9), "MI": round(math.log(0.03) * 1e9), "DM": round(math.log(0.95) * 1e9), "DD": round(math.log(0.05) * 1e9), "IM": round(math.log(0.95) * 1e9), "II": round(math.log(0.05) * 1e9)}
+_T |= {"DI": -(10**15), "ID": -(10**15)}
+_EVEN = round(math.log(0.25) * 1e9)
+
+
+def _viterbi_chain(p: str, source: str) -> list[tuple[str, str]]:
+    """Banded alignment as recursive steps over (cluster_id, read_id, loc, oseq): {p}f fills one base of all reads at a time, a row with
+    the 15 scores and a list of choices; {p}t walks back; {p}o has the results."""
+    best = lambda m, d, i: f"greatest({m}, {d}, {i})"
+    code = lambda m, d, i: f"CASE WHEN {m} > {d} AND {m} > {i} THEN 0 WHEN {d} > {i} THEN 1 ELSE 2 END"
+    cols, picks = [], []
+    for o in range(5):
+        x = [f"{s}{o} + {_T[t]}" for s, t in (("m", "MM"), ("d", "DM"), ("x", "IM"))]
+        cols.append(f"e[i + {1 + o}] + {best(*x)} AS nm{o}")
+        picks.append((3 * o, code(*x)))
+        if o < 4:
+            x = [f"{s}{o + 1} + {_T[t]}" for s, t in (("m", "MI"), ("d", "DI"), ("x", "II"))]
+            cols.append(f"{_EVEN} + {best(*x)} AS nx{o}")
+            picks.append((3 * o + 2, code(*x)))
+        else:
+            cols.append(f"CAST({-10**15} AS BIGINT) AS nx{o}")
+    cols.insert(0, f"CAST({-10**15} AS BIGINT) AS nd0")
+    later = []
+    for o in range(1, 5):
+        x = [f"n{s}{o - 1} + {_T[t]}" for s, t in (("m", "MD"), ("d", "DD"), ("x", "ID"))]
+        later.append(f"{best(*x)} AS nd{o}")
+        picks.append((3 * o + 1, code(*x)))
+    packed = " + ".join(f"(({c}) << {2 * k})" for k, c in picks)
+    low = f"CAST({-10**15} AS BIGINT)"
+    start = ", ".join([f"CAST({v} AS BIGINT) AS m{o}" for o, v in enumerate((2 * _T["MD"], _T["MD"], 0, _T["MI"], 2 * _T["MI"]))] + [f"{low} AS {s}{o}" for s in "dx" for o in range(5)])
+    scores = ", ".join(f"n{s}{o} AS {s}{o}" for s in "mdx" for o in range(5))
+    all15 = "[" + ", ".join(f"{s}{o}" for o in range(5) for s in "mdx") + "]"
+    lists = ", ".join(f"list(coalesce(CAST(round(ln(p{b}) * 1e9) AS BIGINT), {_EVEN}) ORDER BY j) AS e{b}, list(p{b} ORDER BY j) AS p{b}" for b in "ACGT")
+    of = lambda x, c: f"CASE {c} WHEN 'A' THEN {x}A WHEN 'C' THEN {x}C WHEN 'G' THEN {x}G ELSE {x}T END"
+    return [
+        (f"{p}l", f"SELECT s.cluster_id, s.read_id, any_value(s.loc) AS loc, any_value(s.oseq) AS oseq, CAST(any_value(length(s.oseq)) AS INT) AS n, list(q.letter ORDER BY j) AS lt, {lists} FROM ({source}) s JOIN (SELECT CAST(unnest(range(0, {fixtures.READ + 4})) AS INT) AS j) ON j < length(s.oseq) + 4 LEFT JOIN pro q ON q.cluster_id = s.cluster_id AND q.pos = s.loc - 2 + j GROUP BY s.cluster_id, s.read_id"),
+        (f"{p}f", f"""SELECT cluster_id, read_id, 0 AS i, {start}, CAST([] AS BIGINT[]) AS tr FROM {p}l
+      UNION ALL SELECT cluster_id, read_id, i + 1 AS i, {scores}, list_append(tr, CAST({packed} AS BIGINT)) AS tr FROM (SELECT *, {', '.join(later)} FROM (SELECT *, {', '.join(cols)} FROM (
+        SELECT f.*, {of('l.e', 'substr(l.oseq, f.i + 1, 1)')} AS e FROM {p}f f JOIN {p}l l ON l.cluster_id = f.cluster_id AND l.read_id = f.read_id WHERE f.i < l.n)))"""),
+        (f"{p}t", f"""SELECT cluster_id, read_id, i, o, s, tr, llh, i AS n_left, CAST(loc + i - 1 + o - 2 AS INT) AS last, CAST(NULL AS INT) AS first, 0 AS n_sub, 0 AS n_del, 0 AS n_ins, '' AS corrected, CAST([] AS INT[]) AS errs FROM (
+        SELECT *, k // 3 AS o, k % 3 AS s FROM (SELECT f.cluster_id, f.read_id, f.i, f.tr, l.loc, list_max({all15}) / 1e9 / l.n AS llh, list_position({all15}, list_max({all15})) - 1 AS k FROM {p}f f JOIN {p}l l ON l.cluster_id = f.cluster_id AND l.read_id = f.read_id WHERE f.i = l.n))
+      UNION ALL SELECT cluster_id, read_id, CASE WHEN s = 1 THEN i ELSE i - 1 END AS i, CASE s WHEN 0 THEN o WHEN 1 THEN o - 1 ELSE o + 1 END AS o, (tr[i] >> (2 * (3 * o + s))) & 3 AS s, tr, llh, n_left, last, here AS first, n_sub + CAST(s = 0 AND change AS INT) AS n_sub, n_del + CAST(s = 1 AS INT) AS n_del, n_ins + CAST(s = 2 AS INT) AS n_ins,
+        CASE s WHEN 0 THEN CASE WHEN change THEN letter ELSE b END WHEN 1 THEN coalesce(letter, '') ELSE '' END || corrected AS corrected, CASE WHEN s > 0 OR coalesce(b <> letter, false) THEN list_append(errs, here) ELSE errs END AS errs FROM (
+        SELECT *, coalesce(b <> letter AND pb <= pl - {P.emission_delta}::DOUBLE, false) AS change FROM (SELECT *, {of('q', 'b')} AS pb, {of('q', 'letter')} AS pl FROM (
+          SELECT t.*, CAST(l.loc + t.i - 1 + t.o - 2 AS INT) AS here, substr(l.oseq, t.i, 1) AS b, l.lt[t.i + t.o] AS letter, {', '.join(f'l.p{b}[t.i + t.o] AS q{b}' for b in 'ACGT')}
+          FROM {p}t t JOIN {p}l l ON l.cluster_id = t.cluster_id AND l.read_id = t.read_id WHERE t.i > 0)))"""),
+        (f"{p}o", f"SELECT * FROM {p}t WHERE i = 0"),
+    ]
+
+
 # The same steps as common table expressions, in order.
 _CHAIN = [
     ("idx", f"SELECT read_id, seq FROM reads WHERE instr(seq, 'N') = 0 AND length(seq) - length(replace(seq, 'A', '')) <= 0.7 * length(seq) AND length(seq) - length(replace(seq, 'T', '')) <= 0.7 * length(seq)"),
-    ("aw", f"SELECT read_id, seq, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc, length(seq) AS n, unnest(range(1, length(seq) - {K - 2})) AS i FROM reads WHERE length(seq) >= {K}"),
-    ("ak", f"SELECT read_id, CAST(i + {K - 2} AS INT) AS \"end\", substr(seq, i, {K}) AS km, substr(rc, n - i - {K - 2}, {K}) AS rv FROM aw WHERE instr(substr(seq, i, {K}), 'N') = 0"),
+    # k-mers are numbers of as many digits as bases (A, C, G, T are 1, 2, 3, 4), so that order is that of the text
+    ("aw", f"SELECT * FROM (SELECT read_id, translate(seq, 'ACGTN', '12340') AS ds, reverse(translate(seq, 'ACGTN', '43210')) AS rc, instr(seq, 'N') > 0 AS odd, CAST(length(seq) AS INT) AS n FROM reads WHERE length(seq) >= {K}), (SELECT CAST(unnest(range(1, {fixtures.READ - K + 2})) AS INT) AS i) WHERE i <= n - {K - 1}"),
+    ("ak", f"SELECT read_id, CAST(i + {K - 2} AS INT) AS \"end\", CAST(substr(ds, i, {K}) AS BIGINT) AS km, CAST(substr(rc, n - i - {K - 2}, {K}) AS BIGINT) AS rv FROM aw WHERE NOT odd OR NOT contains(substr(ds, i, {K}), '0')"),
     ("win", "SELECT read_id, \"end\", least(km, rv) AS kmer, km <= rv AS forward FROM ak"),
     ("cnt", f"SELECT kmer, count(*) AS n FROM win GROUP BY kmer HAVING count(*) >= {P.min_count}"),
-    ("good", f"SELECT kmer FROM cnt WHERE {K} - length(replace(kmer, 'A', '')) <= 0.9 * {K} AND {K} - length(replace(kmer, 'T', '')) <= 0.9 * {K}"),
-    ("post", "SELECT kmer, read_id, CAST(CASE WHEN f THEN e + 1 ELSE -e - 1 END AS INT) AS spos FROM (SELECT kmer, read_id, min(\"end\") AS e, arg_min(forward, \"end\") AS f FROM win WHERE read_id IN (SELECT read_id FROM idx) AND kmer IN (SELECT kmer FROM good) GROUP BY kmer, read_id)"),
+    ("good", f"SELECT kmer, n FROM (SELECT kmer, n, CAST(kmer AS VARCHAR) AS t FROM cnt) WHERE {K} - length(replace(t, '1', '')) <= 0.9 * {K} AND {K} - length(replace(t, '4', '')) <= 0.9 * {K}"),
+    ("post", "SELECT kmer, read_id, CAST(CASE WHEN x % 2 = 0 THEN x // 2 + 1 ELSE -(x // 2) - 1 END AS INT) AS spos FROM (SELECT kmer, read_id, min(\"end\" * 2 + CAST(NOT forward AS INT)) AS x FROM win WHERE read_id IN (SELECT read_id FROM idx) AND kmer IN (SELECT kmer FROM good) GROUP BY kmer, read_id)"),
     ("seeds", "SELECT read_id FROM post JOIN (SELECT kmer, min(read_id) AS low FROM post GROUP BY kmer) USING (kmer) GROUP BY read_id HAVING bool_and(read_id = low)"),
     ("hits", f"""SELECT p.read_id AS cluster_id, q.read_id, p."end" AS k_end, CAST(CASE WHEN p.forward = (q.spos > 0) THEN p."end" - (abs(q.spos) - 1) ELSE p."end" - {K - 1} - (length(r.seq) - abs(q.spos)) END AS INT) AS loc, p.forward <> (q.spos > 0) AS rc, length(r.seq) AS len
       FROM win p JOIN seeds s ON s.read_id = p.read_id JOIN post q ON q.kmer = p.kmer JOIN idx r ON r.read_id = q.read_id"""),
     ("gat", "SELECT cluster_id, read_id, arg_min(loc, k_end) AS loc, arg_min(rc, k_end) AS rc, CAST(count(*) AS INT) AS multi FROM hits GROUP BY cluster_id, read_id"),
     ("ori", "SELECT cluster_id, read_id, loc, rc, multi, CASE WHEN rc THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS oseq FROM gat JOIN idx USING (read_id)"),
-    ("bas", "SELECT cluster_id, read_id, CAST(loc + j - 1 AS INT) AS pos, substr(oseq, j, 1) AS base FROM (SELECT *, unnest(range(1, length(oseq) + 1)) AS j FROM ori)"),
+    ("bas", f"SELECT cluster_id, read_id, loc + j - 1 AS pos, substr(oseq, j, 1) AS base FROM ori, (SELECT CAST(unnest(range(1, {fixtures.READ + 1})) AS INT) AS j) WHERE j <= length(oseq)"),
     ("pil", "SELECT cluster_id, pos, " + ", ".join(f"CAST(sum(CAST(base = '{b}' AS INT)) AS BIGINT) AS c{b}" for b in "ACGT") + " FROM bas GROUP BY cluster_id, pos"),
     ("pro", "SELECT *, -(pA * ln(pA) + pC * ln(pC) + pG * ln(pG) + pT * ln(pT)) AS entropy, CASE greatest(cA, cC, cG, cT) WHEN cA THEN 'A' WHEN cC THEN 'C' WHEN cG THEN 'G' ELSE 'T' END AS letter FROM (SELECT *, "
       + ", ".join(f"(c{b} + {P.pseudocount}::DOUBLE) / (cA + cC + cG + cT + 4 * {P.pseudocount}::DOUBLE) AS p{b}" for b in "ACGT") + " FROM pil)"),
@@ -156,26 +218,32 @@ _CHAIN = [
     ("mch", "SELECT read_id, seq, length(regexp_extract(upper(seq), '^(.*?N[^N]{0,3}N[^N]{0,3}N[^N]{0,3}N)', 1)) - 1 AS cut_at FROM reads"),
     ("msk", "SELECT read_id, array_to_string(list_transform(range(0, length(m)), lambda i: CASE WHEN upper(substr(m, i + 1, 1)) = 'N' THEN substr('ACGT', CAST((read_id * 31 + i * 7 + read_id // 13) % 4 + 1 AS INT), 1) ELSE substr(m, i + 1, 1) END), '') AS seq FROM (SELECT read_id, CASE WHEN cut_at < 0 THEN seq WHEN cut_at > 35 THEN substr(seq, 1, cut_at) END AS m FROM mch) WHERE m IS NOT NULL"),
     ("sta", "SELECT r.read_id, CASE WHEN c.corrected IS NULL THEN '' WHEN c.corrected <> r.seq THEN 'Corrected' ELSE 'Assigned' END AS status, coalesce(c.corrected, r.seq) AS seq FROM reads r LEFT JOIN clm c ON c.read_id = r.read_id"),
+    ("inf", "SELECT o.cluster_id, o.read_id, o.loc, o.oseq, greatest(0, 2 - (o.loc - c.core_lo)) AS a, least(length(o.oseq), c.core_hi - o.loc - 2) AS b FROM ori o JOIN cor c ON c.cluster_id = o.cluster_id"),
     ("ecs", f"SELECT cluster_id, pos, count(DISTINCT read_id) AS n_reads FROM err GROUP BY cluster_id, pos HAVING count(DISTINCT read_id) > {P.rare_column}"),
     ("sim", """SELECT p.cluster_id, p.pos_i, p.pos_j, coalesce(b.shared, 0) AS shared FROM (SELECT c.cluster_id, c.pos AS pos_i, d.pos AS pos_j FROM ecs c JOIN ecs d ON c.cluster_id = d.cluster_id AND c.pos < d.pos) p LEFT JOIN (
       SELECT a.cluster_id, a.pos AS pos_i, b.pos AS pos_j, count(*) AS shared FROM err a JOIN err b ON a.cluster_id = b.cluster_id AND a.read_id = b.read_id AND a.pos < b.pos GROUP BY 1, 2, 3) b USING (cluster_id, pos_i, pos_j)"""),
+    *_viterbi_chain("v", "SELECT cluster_id, read_id, loc, oseq FROM ori"),
+    *_viterbi_chain("w", "SELECT cluster_id, read_id, loc + a AS loc, substr(oseq, a + 1, b - a) AS oseq FROM inf WHERE b > a"),
     ("siv", "SELECT *, 1.0::DOUBLE / (1.0::DOUBLE + exp(3.0::DOUBLE - shared)) AS v FROM sim"),
 ]
 #: Steps that several others read.
-_OFTEN = {"win", "post", "gat", "ori", "bas", "pro", "att", "ext"}
+_OFTEN = {"win", "post", "gat", "ori", "bas", "pro", "att", "ext", "vl", "wl"}
 
 
 def _sql(last: str, raw: bool = False) -> str:
     """A query over the chain, with the steps that it uses."""
-    import re
-
     text, used = last, []
     for name, body in reversed(_CHAIN):
         if re.search(rf"\b{name}\b", text):
             used.append(f"{name} AS {'MATERIALIZED ' if name in _OFTEN else ''}({body})")
             text += " " + body
     views = [v for v, on in ((fixtures.READS_SQL, re.search(r"\breads\b", text)), (fixtures.RAW_SQL, raw)) if on]
-    return "WITH " + ",\n".join([*views, *reversed(used)]) + "\n" + last
+    return "WITH RECURSIVE " + ",\n".join([*views, *reversed(used)]) + "\n" + last
+
+
+def _text(x: str) -> str:
+    """The text of a k-mer in the chain's numbers."""
+    return f"translate(CAST({x} AS VARCHAR), '1234', 'ACGT')"
 
 
 def _r(x: str, digits: int = 9) -> F.Column:
@@ -228,11 +296,11 @@ _SQL["mask_substitute"] = _raw_sql(f"SELECT read_id, {_CHOICE} AS seq FROM rm WH
 def mask_pair_filter(spark, d):
     """Neighbouring tiles of a document are mates."""
     r = fixtures.raw_reads(spark, d)
-    pair = F.col("doc_id") * 1_000_000 + F.floor(F.col("pos") / (2 * fixtures.STEP))
+    pair = F.col("doc_id") * 10_000_000 + F.floor(F.col("pos") / (2 * fixtures.STEP))
     return mask.mask_pairs(r.select("read_id", "seq", pair.alias("pair")))
 
 
-_SQL["mask_pair_filter"] = _raw_sql(f"SELECT read_id, pair, {_CHOICE} AS seq FROM (SELECT *, bool_and(m IS NOT NULL) OVER (PARTITION BY pair) AS ok FROM (SELECT *, doc_id * 1000000 + pos // 30 AS pair FROM rm)) WHERE ok")
+_SQL["mask_pair_filter"] = _raw_sql(f"SELECT read_id, pair, {_CHOICE} AS seq FROM (SELECT *, bool_and(m IS NOT NULL) OVER (PARTITION BY pair) AS ok FROM (SELECT *, doc_id * 10000000 + pos // 30 AS pair FROM rm)) WHERE ok")
 
 
 @query("SELECT read_id, translate(seq, 'ACGT', 'TGCA') AS comp, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM reads")
@@ -245,34 +313,34 @@ def discard_reads(spark, d):
     return Flow(spark, d).usable
 
 
-@query("SELECT kmer, n FROM cnt JOIN good USING (kmer)")
+@query(f"SELECT {_text('kmer')} AS kmer, n FROM good")
 def discard_kmers(spark, d):
-    return Flow(spark, d).counts().where(~dna.low_complexity(F.col("kmer"), P.kmer_low_complexity))
+    return kmers.as_text(Flow(spark, d).counts().where(~kmers.low_complexity(F.col("kmer"), K, P.kmer_low_complexity)), K)
 
 
-@query("SELECT kmer, n FROM cnt")
+@query(f"SELECT {_text('kmer')} AS kmer, n FROM cnt")
 def kmer_spectrum(spark, d):
-    return Flow(spark, d).counts()
+    return Flow(spark, d).texts()
 
 
-@query(f"SELECT kmer, CAST(list_sum(list_transform(range(1, {K + 1}), lambda i: CAST(strpos('ACGT', substr(kmer, i, 1)) - 1 AS BIGINT) << (2 * ({K} - i)))) AS BIGINT) AS code FROM cnt")
+@query(f"SELECT {_text('kmer')} AS kmer, CAST(list_sum(list_transform(range(1, {K + 1}), lambda i: CAST(substr(CAST(kmer AS VARCHAR), i, 1) AS BIGINT) - 1 << (2 * ({K} - i)))) AS BIGINT) AS code FROM cnt")
 def kmer_encode(spark, d):
-    return Flow(spark, d).counts().select("kmer", dna.encode(F.col("kmer")).alias("code"))
+    return Flow(spark, d).texts().select("kmer", dna.encode(F.col("kmer")).alias("code"))
 
 
-@query("SELECT kmer AS text, n FROM cnt")
+@query(f"SELECT {_text('kmer')} AS text, n FROM cnt")
 def kmer_decode(spark, d):
-    return Flow(spark, d).counts().select(dna.decode(dna.encode(F.col("kmer")), K).alias("text"), "n")
+    return Flow(spark, d).texts().select(dna.decode(dna.encode(F.col("kmer")), K).alias("text"), "n")
 
 
-@query("SELECT kmer, count(DISTINCT read_id) AS n_reads FROM win GROUP BY kmer")
+@query(f"SELECT {_text('kmer')} AS kmer, n_reads FROM (SELECT kmer, count(*) AS n_reads FROM (SELECT DISTINCT kmer, read_id FROM win) GROUP BY kmer)")
 def kmer_doc_freq(spark, d):
-    return kmers.document_frequency(Flow(spark, d).reads, K)
+    return kmers.as_text(kmers.document_frequency(Flow(spark, d).reads, K), K)
 
 
-@query("SELECT kmer, read_id, spos FROM post")
+@query(f"SELECT {_text('kmer')} AS kmer, read_id, spos FROM post")
 def postings(spark, d):
-    return Flow(spark, d).postings()
+    return kmers.as_text(Flow(spark, d).postings(), K)
 
 
 @query("SELECT CAST(max(length(seq)) AS INT) AS max_len FROM idx")
@@ -429,13 +497,13 @@ def summary_counters(spark, d):
     return claims.summary(f.attempts(), f.claims().join(f.reads.select("read_id", "seq"), "read_id"), f.substitutions())
 
 
-@query("SELECT kmer, n FROM cnt")
+@query(f"SELECT {_text('kmer')} AS kmer, n FROM cnt")
 def kmer_counts_file(spark, d):
     """The spectrum written as a count file and read back."""
     from .sources import files
 
     path = sinks.scratch(spark, "kmers.txt")
-    sinks.write_kmer_counts(Flow(spark, d).counts(), path)
+    sinks.write_kmer_counts(Flow(spark, d).texts(), path)
     return files.read_kmer_counts(spark, path)
 
 
@@ -468,41 +536,49 @@ def fastx_roundtrip(spark, d):
     return back.select(F.regexp_extract("name", r"^read(-?\d+)$", 1).cast("long").alias("read_id"), "name", "seq")
 
 
-@query()
+@query(f"SELECT o.cluster_id, o.read_id, round(o.llh, 9) AS llh, o.corrected, o.n_sub, o.n_del, o.n_ins, o.first >= c.core_lo AND o.last < c.core_hi AS fitted, o.first >= c.core_lo AND o.last < c.core_hi AND o.llh > {P.cluster_llh} AND o.n_sub + o.n_del + o.n_ins < {P.max_corrections} AS ok FROM vo o JOIN cor c ON c.cluster_id = o.cluster_id")
 def viterbi_correct(spark, d):
     """Gapped correction of the first round's gathered reads: banded alignment, then the caps."""
-    from .operators import viterbi
-
     f = Flow(spark, d)
-    out = viterbi.accepted(viterbi.align_reads(f.oriented(), f.counted(), P), f.cores(), P)
-    return out.select("cluster_id", "read_id", F.round("llh", 9).alias("llh"), "corrected", "n_sub", "n_del", "n_ins", "fitted", "ok")
+    out = viterbi.accepted(f.aligned(), f.cores(), P)
+    return out.select("cluster_id", "read_id", _r("llh"), "corrected", "n_sub", "n_del", "n_ins", "fitted", "ok")
 
 
-@query()
+@query(f"SELECT i.cluster_id, i.read_id, CAST(coalesce(len(o.errs), 0) AS INT) AS n_errors, coalesce(len(o.errs), 0) < {P.max_core_errors} AS near FROM inf i LEFT JOIN wo o ON o.cluster_id = i.cluster_id AND o.read_id = i.read_id")
 def estimate_errors(spark, d):
-    """How many columns of its profile each gathered read disagrees with, gaps included, and whether that is under the cap."""
-    from .operators import viterbi
-
+    """How many errors, gaps included, the part of each gathered read over its cluster's core has (without the core's outer two
+    columns; none if nothing is left), and whether that is under the cap."""
     f = Flow(spark, d)
-    out = viterbi.align_reads(f.oriented(), f.counted(), P)
-    return out.select("cluster_id", "read_id", F.size("errors").alias("n_errors"), (F.size("errors") < P.max_core_errors).alias("near"))
+    x = f.oriented().join(f.cores(), "cluster_id")
+    loc, size = F.col("loc") - F.col("core_lo"), F.col("core_hi") - F.col("core_lo")
+    start = F.greatest(F.lit(0), 2 - loc)
+    part = x.select("cluster_id", "read_id", (F.col("loc") + start).cast("int").alias("loc"), dna.overlap_infix(F.col("oseq"), loc, size).alias("oseq"))
+    part = sinks.materialize(part, "infix")
+    out = viterbi.align_reads(part.where("oseq != ''"), f.counted(), P).select("cluster_id", "read_id", F.size("errors").alias("n_errors"))
+    out = out.unionByName(part.where("oseq = ''").select("cluster_id", "read_id", F.lit(0).alias("n_errors")))
+    return out.withColumn("near", F.col("n_errors") < P.max_core_errors)
+
+
+@query(f"""SELECT cluster_id, read_id, CAST(least(max(n_core), {P.max_core_errors + 1}) AS INT) AS n_core, CAST(sum(CAST(n_core <= {P.max_core_errors} AS INT)) AS INT) AS n_all, max(n_core) > {P.max_core_errors} OR sum(CAST(n_core <= {P.max_core_errors} AS INT)) >= {P.max_pre_corrected_errors} AS dropped FROM (
+  SELECT e.cluster_id, e.read_id, sum(CAST(coalesce(e.pos >= c.core_lo AND e.pos < c.core_hi, false) AS INT)) OVER (PARTITION BY e.cluster_id, e.read_id ORDER BY e.step) AS n_core
+  FROM (SELECT cluster_id, read_id, generate_subscripts(errs, 1) AS step, unnest(errs) AS pos FROM vo) e JOIN (SELECT cluster_id, min(pos) AS lo, max(pos) + 1 AS hi FROM pil GROUP BY cluster_id) s ON s.cluster_id = e.cluster_id AND e.pos >= s.lo AND e.pos < s.hi LEFT JOIN cor c ON c.cluster_id = e.cluster_id) GROUP BY cluster_id, read_id""")
+def gapped_error_caps(spark, d):
+    """The error caps over gapped alignments: errors inside the core up to one more than the cap, errors that count, and whether the read goes."""
+    f = Flow(spark, d)
+    x = spectral.capped(f.aligned(), f.cores(), pileup.spans(f.counted()), P)
+    return x.select("cluster_id", "read_id", "n_core", "n_all", "dropped").distinct()
 
 
 @query()
 def spectral_filter(spark, d):
     """Reads that the error caps or the spectral clustering of error columns leave out."""
-    from .operators import spectral, viterbi
-
     f = Flow(spark, d)
-    aligned = sinks.materialize(viterbi.align_reads(f.oriented(), f.counted(), P).select("cluster_id", "read_id", "errors"), "aligned")
-    return spectral.filter_reads(aligned, f.cores(), P)
+    return spectral.filter_reads(f.aligned(), f.cores(), pileup.spans(f.counted()), P)
 
 
 @query()
 def em_profile(spark, d):
     """Soft counts of each column after stepwise EM."""
-    from .operators import em
-
     f = Flow(spark, d)
     out = em.em_profiles(f.oriented(), f.counted(), f.cores(), P)
     return out.select("cluster_id", "pos", *(F.round(f"v{b}", 6).alias(f"v{b}") for b in dna.BASES))
