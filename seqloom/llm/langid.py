@@ -275,6 +275,7 @@ def fit(sample: list[tuple[str, str]], p: Params) -> Model:
                 lattice.long_expected(code, size, weight[w], q, p.floor, total)
             q = total / total.sum()
         prob[:, k] = q
+    words.give_back()
     return Model(langs, vocab, prob, p.floor)
 
 
