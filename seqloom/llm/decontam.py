@@ -31,7 +31,8 @@ class Index:
     """Items by size: partition i holds items of 2 ** (i - 1) < size <= 2 ** i = u shingles, and is searched with windows of
     2u document shingles that begin every u, so that any passage of u shingles lies inside one. Window and item then
     differ in size by a factor of 4 at most, which bounds their Jaccard similarity from below by the containment:
-    J >= 0.8 q / (q + 4 q - 0.8 q) = 0.19, however long the document is."""
+    J >= 0.8 q / (q + 4 q - 0.8 q) = 0.19, however long the document is. That holds for a passage inside one window; an item
+    whose shingles are spread further has a weaker bound."""
 
     def __init__(self, items: list[tuple[int, str]], p: Params):
         items = sorted(set(items))
@@ -148,7 +149,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Params = Params(), id
 
 
 def stage(docs: DataFrame, benchmark: DataFrame, p: Params = Params(), text_col: str = "text") -> DataFrame:
-    """The rows of docs that hold no benchmark item; all columns stay, none are added."""
+    """The rows of docs that hold no benchmark item; all columns stay, none are added.
+
+    Null, empty and white-space texts hold none and stay; repeated rows stay or go alike; no items, no row goes; no rows: no rows."""
     name = common.free_name("__found", docs.columns)
     for items in _parts(benchmark, p, "item_id", "text"):
         docs = with_matches(docs, items, p, text_col, name).where(F.size(name) == 0).drop(name)

@@ -241,3 +241,24 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     assert kept[3] == {i for i in kept[2] if 100 * len(want & shingles(texts[i])) < 80 * len(want)} and kept[3] != kept[2]
     assert kept[4] == kept[3]
     assert {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == kept[4]
+
+
+def test_pipeline_of_empty_tables_and_clashing_names(spark, tmp_path):
+    """No rows go through all stages; of rows with odd columns, nulls and repeats nothing crashes and columns stay."""
+    import corpus_pipeline
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long, score string, __lang string, __found string, found string"
+    for name, rows in (("none", []), ("odd", [(i, t, None, "s", 1, "a", "b", "c", "d") for i, t in AWKWARD] + [(None, "one two", None, "s", 1, "a", "b", "c", "d")] * 2)):
+        d = tmp_path / name
+        spark.createDataFrame(rows, kind).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        df = spark.read.parquet(f"{d}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, df, str(d)).columns == df.columns
+        assert corpus_pipeline.run(spark, str(d)).isEmpty()  # no language is learned, so no document stays
+        kept = df
+        for _, stage in corpus_pipeline.STAGES[1:-1]:
+            kept = stage(spark, kept, str(d))
+        assert kept.columns == df.columns and kept.count() <= df.count()
+        assert corpus_pipeline.STAGES[-1][1](spark, kept, str(d)).count() == kept.count()
