@@ -96,7 +96,8 @@ def pack(docs: DataFrame, p: Params, id_col: str = "doc_id", text_col: str = "te
 
     Texts are read once; ids and lengths are written out. The histogram (a row for each distinct
     length) is grouped and its DP runs on the driver. Rows of a bucket are numbered in segments by hash, of about p.segment rows, and the
-    segments' offsets come from their counts, so that a bucket with a third of all rows is no task of its own.
+    segments' offsets come from their counts, so that a bucket with a third of all rows is no task of its own. Rows of one id (or of
+    none) and one length are one row with a count there, however many they are.
     """
     spark = docs.sparkSession
     common.bound_batches(spark)
@@ -113,10 +114,14 @@ def pack(docs: DataFrame, p: Params, id_col: str = "doc_id", text_col: str = "te
         here = F.col("n_tokens") > (bounds[i - 1] if i else -1)
         bucket, bound, segments, rows, first = (F.when(here, v).otherwise(x) for v, x in ((i, bucket), (b, bound), (-(-held[i] // p.segment), segments), (each, rows), (batches, first)))
         batches += -(-held[i] // each)
-    x = lengths.select("id", "n_tokens", bucket.cast("int").alias("bucket"), bound.cast("long").alias("padded_len"), segments.cast("long").alias("segments"), rows.cast("long").alias("each"), first.cast("long").alias("first"))
+    # equal rows are interchangeable: one row with a count stands for them until places are known
+    x = lengths.groupBy("id", "n_tokens").agg(F.count("*").alias("copies"))
+    x = x.select("id", "n_tokens", "copies", bucket.cast("int").alias("bucket"), bound.cast("long").alias("padded_len"), segments.cast("long").alias("segments"), rows.cast("long").alias("each"), first.cast("long").alias("first"))
     x = x.withColumn("segment", F.pmod(F.xxhash64("id", "n_tokens"), F.col("segments")))
-    before = x.groupBy("bucket", "segment").count()
-    before = before.select(F.col("bucket").alias("b"), F.col("segment").alias("s"), (F.sum("count").over(W.partitionBy("bucket").orderBy("segment")) - F.col("count")).alias("before"))
-    x = x.withColumn("n", F.row_number().over(W.partitionBy("bucket", "segment").orderBy("id", "n_tokens")) - 1)
-    x = x.join(before, (x.bucket == before.b) & (x.segment == before.s)).withColumn("n", F.col("n") + F.col("before"))
+    before = x.groupBy("bucket", "segment").agg(F.sum("copies").alias("rows"))
+    before = before.select(F.col("bucket").alias("b"), F.col("segment").alias("s"), (F.sum("rows").over(W.partitionBy("bucket").orderBy("segment")) - F.col("rows")).alias("before"))
+    own = W.partitionBy("bucket", "segment").orderBy("id", "n_tokens").rowsBetween(W.unboundedPreceding, W.currentRow)
+    x = x.withColumn("n", F.sum("copies").over(own) - F.col("copies"))
+    x = x.join(before, (x.bucket == before.b) & (x.segment == before.s))
+    x = x.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")).withColumn("n", F.col("n") + F.col("before") + F.col("copy"))
     return x.select(F.col("id").alias(id_col), "n_tokens", "bucket", "padded_len", (F.col("first") + F.floor(F.col("n") / F.col("each"))).cast("long").alias("batch_id"), (F.col("n") % F.col("each")).cast("int").alias("slot"))

@@ -115,6 +115,22 @@ def test_long_texts_are_packed_optimally(spark):
     assert all(max(x.n_tokens for x in got if x.bucket == y.bucket) == y.padded_len for y in got)
 
 
+def test_packing_of_hot_and_null_ids(spark):
+    """Most rows are one id or none, of one length: each row has a place of its own, and batches are full but for a bucket's last."""
+    rows = [(7, "a b c")] * 400 + [(None, "a b c")] * 300 + [(i, "x " * (i % 9)) for i in range(100, 160)]
+    p = packing.Params(tokens.public("word_bpe_49k.json"), buckets=3, budget=64, segment=50)
+    got = packing.pack(frame(spark, rows).repartition(5), p).collect()
+    assert sorted((x.doc_id is None, x.doc_id or 0) for x in got) == sorted((i is None, i or 0) for i, _ in rows)
+    assert len({(x.batch_id, x.slot) for x in got}) == len(rows)
+    by = {}
+    for x in got:
+        by.setdefault((x.bucket, x.padded_len), {}).setdefault(x.batch_id, []).append(x.slot)
+    for (_, bound), batches in by.items():
+        each = max(1, p.budget // bound)
+        assert [len(batches[b]) for b in sorted(batches)][:-1] == [each] * (len(batches) - 1)
+        assert all(sorted(v) == list(range(len(v))) for v in batches.values())
+
+
 def urls(seed, n=400):
     r = random.Random(seed)
     out = [None, "", "no scheme/x", "http://", "http://org", "https://a.b.org?x", "HTTP://Www.Example.ORG/es/1#y", "x://example.org/en/1", "x://notexample.org/en/1", "a://b.com/fr/://c.org/", "q://com/de/\nz", "t://sub.spam-farm.example.com:80/x", "t://sub.spam-farm.example.com/x"]
