@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common
@@ -83,6 +85,35 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(pages, extraction.fit())
 
 
+def op11_exact_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import exact_fit, tokens
+
+    return exact_fit.pack(common.table(spark, sf_dir, "documents"), exact_fit.Params(tokens.public("word_bpe_49k.json")))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resample import resample
+
+    return resample(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+def _planted(doc_id: object, n: int):
+    """The words of one document in ten repeat from some place on; which, where and how often depends on its number and length."""
+    h = zlib.crc32(("" if doc_id is None else str(doc_id)).encode())
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    i = np.arange(n)
+    return np.where(i < a, i, a + (i - a) % (1 + (n - a) // (3 + g % 8)))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import runs
+
+    return runs.digests(runs.detect(common.table(spark, sf_dir, "documents"), places=_planted))
+
+
 _WORDS = r"""
 w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w)"""
@@ -138,9 +169,31 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+_RESAMPLED = """
+  SELECT {id}list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM {table}"""
+# crc32 byte by byte over a table of 256 entries, for each distinct word
+OP12_SQL = f"""
+WITH tb AS (SELECT list(list_reduce(list_prepend(CAST(i AS BIGINT), [CAST(x AS BIGINT) for x in range(8)]), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) ORDER BY i) AS t FROM range(256) r(i)),
+d AS ({_RESAMPLED.format(id="doc_id, ", table="documents")}),
+b AS ({_RESAMPLED.format(id="", table="benchmark")}),
+u AS (SELECT DISTINCT unnest(w) AS f FROM (SELECT w FROM d UNION ALL SELECT w FROM b)),
+k AS (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(x) // 2), lambda i: CAST(('0x' || substr(x, 2 * i + 1, 2)) AS BIGINT))), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS g FROM (SELECT f, hex(encode(f)) AS x FROM u), tb),
+n AS (SELECT row_number() OVER () AS r, doc_id, w FROM d),
+e AS (SELECT r, unnest(w) AS f FROM n),
+s AS (SELECT g, count(*) AS s FROM e JOIN k USING (f) GROUP BY g),
+t AS (SELECT g, count(*) AS t FROM (SELECT unnest(w) AS f FROM b) JOIN k USING (f) GROUP BY g),
+v AS (SELECT range AS g, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(s), 0) FROM s) + 10000.0::DOUBLE) / ((coalesce(s, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(t), 0) FROM t) + 10000.0::DOUBLE)))) AS BIGINT) AS gain FROM range(10000) LEFT JOIN s ON s.g = range LEFT JOIN t ON t.g = range),
+m AS (SELECT r, sum(gain) AS m FROM e JOIN k USING (f) JOIN v USING (g) GROUP BY r),
+c AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(m, 0) AS BIGINT) AS weight, CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM n LEFT JOIN m USING (r)),
+z AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM c),
+o AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM z WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) FROM o) * 10 // 100 THEN rank END AS rank FROM z LEFT JOIN o USING (r)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_near_dedup": OP3_SQL, "op4_decontamination": OP4_SQL, "op7_url_filters": OP7_SQL, "op5_exact_top_k": OP5_SQL}
+    return {"op3_minhash_near_dedup": OP3_SQL, "op4_decontamination": OP4_SQL, "op7_url_filters": OP7_SQL, "op5_exact_top_k": OP5_SQL, "op12_importance_resampling": OP12_SQL}
