@@ -19,6 +19,8 @@ LONG = 40
 RESCALE = 8
 #: Characters of long words side by side.
 CELLS = 200_000
+#: Long words are passed in blocks of so many characters, and about so many blocks side by side.
+BLOCK, SIDE_BY_SIDE = 256, 1024
 TRIM = "0123456789.,;:!?%*&$#@~^_+=|/\\<>()[]{}'\"`-"
 
 
@@ -132,63 +134,162 @@ class Lattice:
                     w, p = found
                     np.add.at(total, p, alpha[i][w] * prob[p] * beta[i + j + 1][w] * scale[w])
 
-    def long_forward(self, code: np.ndarray, size: np.ndarray, prob: np.ndarray, floor: float, keep: bool = False):
-        """(words, languages) logarithms of the sums over all segmentations of words of any lengths (size; code has 0 after a word's end).
-
-        Only the sums of the last places are held, as many as the longest piece has characters, divided by those of
-        the place every RESCALE characters. keep: instead (sums (n + 1, words), their log scales) of one language."""
-        m, n = code.shape
-        width, k = self.longest + 1, prob.shape[1]
-        ring = np.zeros((width, m, k))
-        ring[0] = 1
-        scale = np.zeros((m, k))
-        out = np.zeros((m, k))
-        all_, scales = (np.zeros((n + 1, m)), np.zeros((n + 1, m))) if keep else (None, None)
-        for i in range(n + 1):
-            now = ring[i % width]
+    def _cut(self, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first block of each word, sizes of the blocks): words are cut into blocks of BLOCK characters and a last one of what is left."""
+        n = -(-size // BLOCK)
+        first = np.cumsum(n) - n
+        number = np.arange(int(n.sum())) - np.repeat(first, n)
+        return np.append(first, n.sum()), np.minimum(np.repeat(size, n) - number * BLOCK, BLOCK)
+
+    def _codes(self, code: np.ndarray, first: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """The characters of blocks, and as many that follow as the longest piece has; 0 after a word's end."""
+        owner = np.searchsorted(first, which, "right") - 1
+        at = ((which - first[owner]) * BLOCK)[:, None] + np.arange(BLOCK + self.longest)
+        return np.where(at < code.shape[1], code[owner[:, None], np.minimum(at, code.shape[1] - 1)], 0)
+
+    def _through(self, code: np.ndarray, size: np.ndarray, states: int, prob: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """(sums (blocks, longest, states, languages), log scales (blocks, states, languages)): what arrives at the places from each block's
+        end on, by pieces that begin in it, if 1 arrives at its place `state` by pieces from before."""
+        m, k, width = len(code), prob.shape[1], self.longest + 1
+        ring = np.zeros((width, m, states, k))
+        for s in range(states):
+            ring[s, :, s] = 1
+        scale, out, told = np.zeros((m, states, k)), np.zeros((m, self.longest, states, k)), np.zeros((m, states, k))
+        for i in range(int(size.max()) + 1):
             if i and i % RESCALE == 0:
-                on = np.flatnonzero(size >= i)
-                top = now[on].copy()
-                ring[:, on] /= top
-                scale[on] += np.log(top)
-            if keep:
-                all_[i], scales[i] = now[:, 0], scale[:, 0]
+                top = ring.max(0)
+                ring /= top
+                scale += np.log(top)
             done = np.flatnonzero(size == i)
-            out[done] = np.log(now[done]) + scale[done]
-            if i == n:
-                break
-            here = now.copy()
-            now[:] = 0
+            if len(done):
+                out[done] = ring[(i + np.arange(self.longest)) % width][:, done].transpose(1, 0, 2, 3)
+                told[done] = scale[done]
+            here = ring[i % width].copy()
+            ring[i % width] = 0
             ring[(i + 1) % width] += floor * here
-            for j, found in enumerate(self.starting(code, i)):
+            for j, found in enumerate(self.starting(code, i)) if i < BLOCK else ():
                 if found is not None and len(found[0]):
                     w, p = found
-                    ring[(i + j + 1) % width, w] += here[w] * prob[p]
-        return (all_, scales, out[:, 0]) if keep else out
+                    ring[(i + j + 1) % width, w] += here[w] * prob[p][:, None, :]
+        return out, told
+
+    def _transfers(self, code: np.ndarray, size: np.ndarray, prob: np.ndarray, floor: float) -> Iterator[tuple[np.ndarray, ...]]:
+        """(words, blocks, sums, log scales) in rounds: the next blocks of all words that have some left, a bounded number at a time.
+
+        A word's first block has one state, as nothing comes from before it."""
+        first, sizes = self._cut(size)
+        many = np.diff(first)
+        at, held = 0, max(1, SIDE_BY_SIDE // max(1, len(size)))
+        while (on := np.flatnonzero(many > at)).size:
+            step = 1 if at == 0 else held
+            which = np.concatenate([np.arange(first[w] + at, min(first[w] + at + step, first[w + 1])) for w in on.tolist()])
+            yield on, which, *self._through(self._codes(code, first, which), sizes[which], 1 if at == 0 else self.longest, prob, floor)
+            at += step
+
+    def long_forward(self, code: np.ndarray, size: np.ndarray, prob: np.ndarray, floor: float):
+        """(words, languages) logarithms of the sums over all segmentations of words of any lengths (size; code has 0 after a word's end).
+
+        Blocks of words are worked on side by side: a piece crosses a block's end only into the next `longest` places, so a block is a
+        matrix from the sums that arrive there to those that leave; a word's matrices are multiplied in order. Work is linear in a word's length."""
+        first, _ = self._cut(size)
+        state = np.zeros((len(size), self.longest, prob.shape[1]))
+        state[:, 0] = 1
+        logs = np.zeros((len(size), prob.shape[1]))
+        for _, which, sums, scale in self._transfers(code, size, prob, floor):
+            owner = np.searchsorted(first, which, "right") - 1
+            turn = which - which[np.searchsorted(owner, owner)]
+            for t in range(int(turn.max()) + 1):
+                b = np.flatnonzero(turn == t)
+                state[owner[b]], more = _applied(sums[b], scale[b], state[owner[b]])
+                logs[owner[b]] += more
+        with np.errstate(divide="ignore"):
+            return np.log(state[:, 0]) + logs
 
     def long_expected(self, code: np.ndarray, size: np.ndarray, weight: np.ndarray, prob: np.ndarray, floor: float, total: np.ndarray) -> None:
-        """expected() for words of any lengths."""
-        m, n = code.shape
-        alpha, scales, whole = self.long_forward(code, size, prob[:, None], floor, True)
-        width = self.longest + 1
+        """expected() for words of any lengths: what arrives at each block from the left and what each of its end's places is worth to the
+        right come from products of the blocks' matrices; then all blocks are passed side by side in both directions."""
+        first, sizes = self._cut(size)
+        n, k = len(sizes), self.longest
+        matrix, scale = np.zeros((n, k, k)), np.zeros((n, k))
+        for _, which, sums, s in self._transfers(code, size, prob[:, None], floor):
+            matrix[which[:, None], np.arange(k), :] = 0
+            matrix[which, :, : sums.shape[2]] = sums[..., 0]
+            scale[which, : s.shape[1]] = s[..., 0]
+        many = np.diff(first)
+        left, left_log, right, right_log = np.zeros((n, k)), np.zeros(n), np.zeros((n, k)), np.zeros(n)
+        left[first[:-1], 0] = 1
+        right[first[1:] - 1, 0] = 1
+        whole = np.zeros(len(size))
+        for t in range(int(many.max(initial=0))):
+            w = np.flatnonzero(many > t)
+            b = first[w] + t
+            after, more = _applied(matrix[b][..., None], scale[b][..., None], left[b][..., None])
+            go = many[w] > t + 1
+            left[b[go] + 1], left_log[b[go] + 1] = after[go, :, 0], left_log[b[go]] + more[go, 0]
+            whole[w[~go]] = np.log(after[~go, 0, 0]) + left_log[b[~go]] + more[~go, 0]
+            w = np.flatnonzero(many > t + 1)
+            b = first[w + 1] - 1 - t
+            with np.errstate(divide="ignore"):
+                worth = np.log(np.einsum("bj,bjs->bs", right[b], matrix[b])) + scale[b]
+            top = worth.max(1)
+            right[b - 1], right_log[b - 1] = np.exp(worth - top[:, None]), right_log[b] + top
+        owner = np.repeat(np.arange(len(size)), many)
+        for a in range(0, n, 4096):
+            which = np.arange(a, min(a + 4096, n))
+            base = left_log[which] + right_log[which] - whole[owner[which]]
+            self._count(self._codes(code, first, which), sizes[which], left[which], right[which], base, weight[owner[which]], prob, floor, total)
+
+    def _count(self, code, size, left, right, base, weight, prob, floor, total) -> None:
+        """Adds the expected uses of pieces that begin in blocks. left, right: sums at the first places from before, worth of those from the end on; base: their log scales less the word's."""
+        m, width = len(code), self.longest + 1
         ring, scale = np.zeros((width, m)), np.zeros(m)
-        for i in range(n, -1, -1):
-            now = np.where(size == i, 1.0, 0.0)
-            if i < n:
-                now += floor * ring[(i + 1) % width]
-                share = weight * np.exp(np.minimum(scales[i] + scale - whole, 700)) * alpha[i]
-                for j, found in enumerate(self.starting(code, i)):
-                    if found is not None and len(found[0]):
-                        w, p = found
-                        step = prob[p] * ring[(i + j + 1) % width, w]
-                        now[w] += step
-                        np.add.at(total, p, share[w] * step)
-            ring[i % width] = now
+        ring[: self.longest] = left.T
+        alpha, scales = np.zeros((BLOCK, m)), np.zeros((BLOCK, m))
+        arcs = []
+        for i in range(BLOCK):
+            if i and i % RESCALE == 0:
+                top = ring.max(0)
+                ring /= top
+                scale += np.log(top)
+            here = ring[i % width].copy()
+            alpha[i], scales[i] = here, scale
+            ring[i % width] = 0
+            ring[(i + 1) % width] += floor * here
+            arcs.append(self.starting(code, i))
+            for j, found in enumerate(arcs[i]):
+                if found is not None and len(found[0]):
+                    w, p = found
+                    ring[(i + j + 1) % width, w] += here[w] * prob[p]
+        ring, scale = np.zeros((width, m)), np.zeros(m)
+        for i in range(BLOCK, -1, -1):
+            at = np.flatnonzero(size == i)
+            ring[(i + np.arange(self.longest)[:, None]) % width, at] = right[at].T
+            if i == BLOCK:
+                continue
+            now = floor * ring[(i + 1) % width]
+            share = weight * np.exp(np.minimum(scales[i] + scale + base, 700)) * alpha[i]
+            for j, found in enumerate(arcs[i]):
+                if found is not None and len(found[0]):
+                    w, p = found
+                    step = prob[p] * ring[(i + j + 1) % width, w]
+                    now[w] += step
+                    np.add.at(total, p, np.where(size[w] > i, share[w] * step, 0))
+            on = size > i
+            ring[i % width, on] = now[on]
             if i % RESCALE == 0:
-                on = np.flatnonzero(size > i)
-                top = now[on].copy()
-                ring[:, on] /= top
-                scale[on] += np.log(top)
+                top = np.where(on, ring.max(0), 1)
+                ring /= top
+                scale += np.log(top)
+
+
+def _applied(sums: np.ndarray, scale: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(states after blocks (blocks, longest, languages), with 1 as the largest; the logarithms of what they were divided by)."""
+    with np.errstate(divide="ignore"):
+        x = np.log(state[:, : sums.shape[2]]) + scale
+    top = x.max(1)
+    out = np.einsum("bjsk,bsk->bjk", sums, np.exp(x - top[:, None]))
+    most = out.max(1)
+    return out / most[:, None], top + np.log(most)
 
 
 def code_points(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
