@@ -18,15 +18,15 @@ from . import common, tokens, words
 @dataclass(frozen=True)
 class Params:
     """tokenizer: the file whose ids count as a text's length, plus `extra` (an end id). buckets: at most so many.
-    budget: padded tokens of a batch; a single longer row is a batch of its own. exact: changes nothing any more,
-    as longer lengths are counted one by one too; the histogram has a row for each distinct length. segment: about so many rows are numbered together."""
+    budget: padded tokens of a batch; a single longer row is a batch of its own. segment: about so many rows are numbered together. stretch: at
+    most so many rows of one id and length are written out by one task."""
 
     tokenizer: str
     buckets: int = 16
     budget: int = 65_536
     extra: int = 1
-    exact: int = 8192
     segment: int = 100_000
+    stretch: int = 10_000
 
 
 def optimal_bounds(histogram: list[tuple[int, int]], k: int) -> list[int]:
@@ -123,5 +123,8 @@ def pack(docs: DataFrame, p: Params, id_col: str = "doc_id", text_col: str = "te
     own = W.partitionBy("bucket", "segment").orderBy("id", "n_tokens").rowsBetween(W.unboundedPreceding, W.currentRow)
     x = x.withColumn("n", F.sum("copies").over(own) - F.col("copies"))
     x = x.join(before, (x.bucket == before.b) & (x.segment == before.s))
-    x = x.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")).withColumn("n", F.col("n") + F.col("before") + F.col("copy"))
+    # in two steps, dealt anew between them: no task makes more than `stretch` rows out of one
+    x = x.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(p.stretch).cast("long"))).alias("at"))
+    x = x.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id", "n_tokens", "at")
+    x = x.select("*", F.explode(F.sequence(F.col("at"), F.least(F.col("copies"), F.col("at") + p.stretch) - 1)).alias("copy")).withColumn("n", F.col("n") + F.col("before") + F.col("copy"))
     return x.select(F.col("id").alias(id_col), "n_tokens", "bucket", "padded_len", (F.col("first") + F.floor(F.col("n") / F.col("each"))).cast("long").alias("batch_id"), (F.col("n") % F.col("each")).cast("int").alias("slot"))

@@ -43,10 +43,15 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def domains(host: Column) -> Column:
-    """The host and all its parent domains; none for an empty host."""
-    parts = F.split(host, r"\.")
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")))
+def domains(host: Column, labels: int) -> Column:
+    """The host and its parent domains that have at most so many labels; none for an empty host. What is cut out of the host is its end, so that
+    the work is labels times what they hold, however long the host is."""
+    def last(x: Column, count: Column) -> Column:
+        return F.call_function("substring_index", x, F.lit("."), -count)
+
+    end = last(host, F.lit(labels))
+    n = F.length(end) - F.length(F.replace(end, F.lit("."), F.lit(""))) + 1
+    return F.when((host == "") | F.lit(labels < 1), F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), n), lambda i: last(end, n + 1 - i)))
 
 
 def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
@@ -168,15 +173,17 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule], url_col: str =
     of the longest fitting rule, else block if listed, else allow. Null urls, urls without :// and empty hosts fit no
     rule, are not listed and so allowed. Repeated rows and repeated or null listed keys change nothing; empty tables are fine.
 
-    The universe is every domain of every host of pages: hosts are made distinct first (partial aggregation, so a hot
+    The universe is every domain of every host of pages that has at most as many labels as the longest listed one (a longer one cannot be listed): hosts are made distinct first (partial aggregation, so a hot
     host is one row), and the list meets them by union and group-by. The filters of the cascade answer for every key of it. Up to
     p.constant_bytes they are constants of the plan, and pages themselves are neither shuffled nor joined. Larger filters, of
     which there may be any number, stay tables: the distinct hosts' domains meet their segments, and pages the listed hosts."""
     spark = pages.sparkSession
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
-    hosts = pages.select(host.alias("host")).distinct().select("host", F.explode(domains(F.col("host"))).alias("key"))
+    entry = F.col(listed.columns[0]).cast("string")
+    labels = listed.agg(F.max(F.length(entry) - F.length(F.replace(entry, F.lit("."), F.lit(""))) + 1)).first()[0] or 0
+    hosts = pages.select(host.alias("host")).distinct().select("host", F.explode(domains(F.col("host"), labels)).alias("key"))
     seen = hosts.select("key", F.lit(True).alias("seen"), F.lit(False).alias("listed"))
-    entries = listed.select(F.col(listed.columns[0]).cast("string").alias("key"), F.lit(False).alias("seen"), F.lit(True).alias("listed"))
+    entries = listed.select(entry.alias("key"), F.lit(False).alias("seen"), F.lit(True).alias("listed"))
     universe = seen.union(entries).where("key is not null").groupBy("key").agg(F.max("seen").alias("seen"), F.max("listed").alias("listed")).where("seen").select("key", "listed")
     universe = common.materialize(universe, "universe")
     names: list[str] = []
@@ -186,7 +193,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule], url_col: str =
     out = pages.withColumn(h, host).withColumn(w, path)
     levels = cascade(universe, p)
     if all(x.whole is not None for x in levels):
-        out = out.withColumn(m, F.exists(domains(F.col(h)), lambda d: member(d, levels, p.hashes)) if levels else F.lit(False))
+        out = out.withColumn(m, F.exists(domains(F.col(h), labels), lambda d: member(d, levels, p.hashes)) if levels else F.lit(False))
     else:
         bad = common.free_name("listed_host", out.columns)
         out = out.join(members(hosts, levels, p.hashes).select(F.col("host").alias(bad)).distinct(), F.col(h) == F.col(bad), "left").withColumn(m, F.col(bad).isNotNull()).drop(bad)
