@@ -28,6 +28,14 @@ def status(reads: DataFrame, claims: DataFrame) -> DataFrame:
     return x.select("read_id", s.alias("status"), F.coalesce("corrected", "seq").alias("seq"))
 
 
+def positions(claims: DataFrame, reads: DataFrame) -> DataFrame:
+    """read_id, pos, kind, bases of each edit of each claim (read_id, rc, edits): the place in the read as sequenced, bases on the cluster's strand.
+
+    Kinds are M, D and I. Claims without edits and claims of reads that are not in reads have no rows; repeated claims have theirs each."""
+    x = claims.join(reads.select("read_id", F.length("seq").alias("len")), "read_id").select("read_id", "rc", "len", F.explode("edits").alias("e"))
+    return x.select("read_id", F.when(F.col("rc"), F.col("len") - 1 - F.col("e.pos")).otherwise(F.col("e.pos")).alias("pos"), F.col("e.kind").alias("kind"), F.col("e.bases").alias("bases"))
+
+
 def restore(originals: DataFrame, masked: DataFrame, corrected: DataFrame) -> DataFrame:
     """name, status, seq for each original read (read_id, name, seq): the corrected read if there is one; a read that masking
     dropped comes back as it was, with a null status; one that is in the masked set but unclaimed keeps the masked sequence."""

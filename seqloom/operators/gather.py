@@ -42,6 +42,47 @@ def first_hits(h: DataFrame) -> DataFrame:
     return g.select("cluster_id", "read_id", (F.floor(rest / 2) - (1 << 31)).cast("int").alias("loc"), (rest % 2 == 1).alias("rc"), "multi")
 
 
+def first_places(places: DataFrame) -> DataFrame:
+    """first_hits() of places: rows cluster_id, read_id, loc, rc with k_end, the first hit there, and n, the number of hits there."""
+    code = F.col("k_end").cast("long") * (1 << 33) + (F.col("loc").cast("long") + (1 << 31)) * 2 + F.col("rc").cast("long")
+    g = places.groupBy("cluster_id", "read_id").agg(F.min(code).alias("x"), F.sum("n").cast("int").alias("multi"))
+    rest = F.pmod(F.col("x"), F.lit(1 << 33))
+    return g.select("cluster_id", "read_id", (F.floor(rest / 2) - (1 << 31)).cast("int").alias("loc"), (rest % 2 == 1).alias("rc"), "multi")
+
+
+def anchors(kept: DataFrame, gone: DataFrame) -> DataFrame:
+    """cluster_id, anchor of each cluster that lost reads (gone: cluster_id, read_id) and has others left (kept: cluster_id, read_id, loc): the largest start of those."""
+    thinned = gone.select("cluster_id").distinct()
+    return kept.join(thinned, "cluster_id", "left_semi").groupBy("cluster_id").agg(F.max("loc").alias("anchor"))
+
+
+def anchored(live: DataFrame, kept: DataFrame, gone: DataFrame) -> DataFrame:
+    """live (cluster_id, core_lo, core_hi and more) where a cluster without a core that lost reads begins at its anchor. Places stay as they
+    are: taking the anchor for 0 and moving them all would give the same columns."""
+    x = live.join(anchors(kept, gone), "cluster_id", "left")
+    at = F.when(F.col("core_lo") == F.col("core_hi"), F.coalesce("anchor", "core_lo"))
+    return x.withColumns({"core_lo": F.coalesce(at, "core_lo"), "core_hi": F.coalesce(at, "core_hi")}).drop("anchor")
+
+
+def moved(rows: DataFrame, anchors: DataFrame, column: str) -> DataFrame:
+    """rows (cluster_id and a column of places) with their clusters' anchors taken for 0; clusters without one stay as they are."""
+    x = rows.join(anchors, "cluster_id", "left")
+    return x.withColumn(column, (F.col(column) - F.coalesce("anchor", F.lit(0))).cast(rows.schema[column].dataType)).drop("anchor")
+
+
+def spliced(live: DataFrame, columns: DataFrame) -> DataFrame:
+    """cluster_id, core_lo, core_hi, core, old_lo, old_hi: each core (live: cluster_id, core_lo, core_hi, core) with the letters of the columns (cluster_id, pos, letter)
+    that were added before and after it. A cluster without new columns stays as it is."""
+    new = columns.groupBy("cluster_id").agg(F.min("pos").alias("lo"), (F.max("pos") + 1).alias("hi"), F.array_sort(F.collect_list(F.struct("pos", "letter"))).alias("x"))
+    side = lambda c: F.coalesce(F.array_join(F.transform(F.filter("x", c), lambda s: s["letter"]), ""), F.lit(""))
+    text = F.concat(side(lambda s: s["pos"] < F.col("core_lo")), F.coalesce("core", F.lit("")), side(lambda s: s["pos"] >= F.col("core_hi")))
+    # the text first: beside the new core_lo, a lambda's core_lo would be that one
+    return live.join(new, "cluster_id", "left").withColumn("text", text).select(
+        "cluster_id", F.coalesce(F.least("core_lo", "lo"), "core_lo").cast("int").alias("core_lo"), F.coalesce(F.greatest("core_hi", "hi"), "core_hi").cast("int").alias("core_hi"),
+        F.col("text").alias("core"), F.col("core_lo").alias("old_lo"), F.col("core_hi").alias("old_hi"),
+    )
+
+
 def usable(h: DataFrame, claims: DataFrame, failures: DataFrame, failure_limit: int = 3, reuse: bool = True, strict: bool = False) -> DataFrame:
     """Hits of reads that a cluster may use. With reuse, a read below the failure limit may be used unless this very
     cluster owns it; any other read only while nobody owns it (strict also turns down reads past the limit)."""
@@ -72,3 +113,13 @@ def core_prefix(profile: DataFrame, limit: float, start: F.Column, right: bool)
     w = W.partitionBy("cluster_id").orderBy("step")
     x = side.withColumn("step", step).withColumn("bad", F.max((F.col("entropy") > limit).cast("int")).over(w)).withColumn("nth", F.row_number().over(w))
     return x.where((F.col("bad") == 0) & (F.col("nth") == F.col("step") + 1)).drop("bad", "nth", "step")
+
+
+def extension(profile: DataFrame, limit: float) -> DataFrame:
+    """core_prefix() to both sides of [core_lo, core_hi) at once, which profile has in each row: one window over a cluster's sides."""
+    right = F.col("pos") >= F.col("core_hi")
+    x = profile.where(right | (F.col("pos") < F.col("core_lo"))).withColumn("right", right)
+    x = x.withColumn("step", F.when(F.col("right"), F.col("pos") - F.col("core_hi")).otherwise(F.col("core_lo") - 1 - F.col("pos")))
+    w = W.partitionBy("cluster_id", "right").orderBy("step")
+    x = x.withColumn("bad", F.max((F.col("entropy") > limit).cast("int")).over(w)).withColumn("nth", F.row_number().over(w))
+    return x.where((F.col("bad") == 0) & (F.col("nth") == F.col("step") + 1)).drop("bad", "nth", "step", "right")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..params import Params
-from . import pileup
 
 
 def pivoted_qr(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,18 +73,51 @@ def capped(aligned: DataFrame, cores: DataFrame, spans: DataFrame, p: Params = P
 
 
 def grouped_columns(similarity: DataFrame) -> DataFrame:
-    """cluster_id, pos, grp, size: the groups of two and more of each cluster's error columns. similarity: cluster_id, pos_i, pos_j, shared
-    of all its pairs, so what one task holds is bounded by the span of a cluster, not by its reads."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        cols = np.unique(np.concatenate([g["pos_i"], g["pos_j"]]))
-        shared = np.zeros((len(cols), len(cols)))
-        i, j = np.searchsorted(cols, g["pos_i"]), np.searchsorted(cols, g["pos_j"])
-        shared[i, j] = shared[j, i] = g["shared"]
-        rows = [(int(g["cluster_id"].iloc[0]), int(cols[c]), n, len(group)) for n, group in enumerate(column_groups(shared)) if len(group) > 1 for c in group]
-        return pd.DataFrame(rows, columns=["cluster_id", "pos", "grp", "size"])
-
-    return similarity.groupBy("cluster_id").applyInPandas(run, "cluster_id long, pos long, grp int, size int")
+    """cluster_id, pos, grp, size: the groups of two and more of each cluster's error columns. similarity: cluster_id, pos_i, pos_j, shared: how
+    many reads err in both; pairs that share none may be missing, each column has a row with itself. What one task holds at a time is one
+    cluster's columns, bounded by its span, not by its reads. Repeated pairs count once; no rows, no rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        rows: list[tuple[int, int, int, int]] = []
+
+        def group(c: int, pos_i: np.ndarray, pos_j: np.ndarray, n: np.ndarray) -> None:
+            cols = np.unique(np.concatenate([pos_i, pos_j]))
+            if len(cols) < 2:
+                return
+            shared = np.zeros((len(cols), len(cols)))
+            i, j = np.searchsorted(cols, pos_i), np.searchsorted(cols, pos_j)
+            shared[i, j] = shared[j, i] = n
+            for k, members in enumerate(column_groups(shared)):
+                if len(members) > 1:
+                    rows.extend((c, int(cols[m]), k, len(members)) for m in members)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            names = ["cluster_id", "pos", "grp", "size"]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(4)], names)
+            rows.clear()
+
+        def solve(last: bool) -> None:
+            c, i, j, n = (np.concatenate(x) for x in zip(*held))
+            cut = np.flatnonzero(np.diff(c)) + 1
+            ends = [*cut.tolist(), *([len(c)] if last else [])]
+            a = 0
+            for b in ends:
+                group(int(c[a]), i[a:b], j[a:b], n[a:b])
+                a = b
+            held[:] = [(c[a:], i[a:], j[a:], n[a:])] if a < len(c) else []
+
+        for b in batches:
+            held.append(tuple(b.column(x).to_numpy() for x in ("cluster_id", "pos_i", "pos_j", "shared")))
+            solve(False)
+            yield from flush()
+        if held:
+            solve(True)
+            yield from flush()
+
+    x = similarity.select("cluster_id", F.col("pos_i").cast("long"), F.col("pos_j").cast("long"), F.col("shared").cast("long")).repartition("cluster_id").sortWithinPartitions("cluster_id")
+    return x.mapInArrow(run, "cluster_id long, pos long, grp int, size int")
 
 
 def filter_reads(aligned: DataFrame, cores: DataFrame, spans: DataFrame, p: Params = Params()) -> DataFrame:
@@ -94,15 +128,24 @@ def filter_reads(aligned: DataFrame, cores: DataFrame, spans: DataFrame, p: Para
     err are grouped by the reads that they share, and a read goes if it errs in more than three columns, or more than half, of a group.
     Counts, pairs and the last step are joins and grouped sums; only a cluster's matrix of columns goes to Python."""
     n = aligned.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    return outliers(capped(aligned, cores, spans, p), n, p)
+
+
+def outliers(x: DataFrame, n: DataFrame, p: Params = Params()) -> DataFrame:
+    """filter_reads() from capped()'s rows and the number of reads of each cluster (cluster_id, n)."""
     thick = n.where(F.col("n") > p.thin_over)
-    x = capped(aligned.join(thick.select("cluster_id"), "cluster_id", "left_semi"), cores, spans, p)
+    if p.thin_over > 0:
+        x = x.join(thick.select("cluster_id"), "cluster_id", "left_semi")
     gone = x.where("dropped").select("cluster_id", "read_id").distinct()
     lost = gone.groupBy("cluster_id").agg(F.count("*").alias("lost"))
     enough = thick.join(lost, "cluster_id", "left").where(F.col("n") - F.coalesce("lost", F.lit(0)) > 2).select("cluster_id")
     e = x.where("pos is not null").select("cluster_id", "pos", "read_id").distinct().join(enough, "cluster_id", "left_semi")
-    busy = pileup.error_columns(e, p.rare_column).select("cluster_id", "pos")
-    groups = grouped_columns(pileup.column_similarity(e, busy).select("cluster_id", "pos_i", "pos_j", "shared"))
-    met = e.join(groups, ["cluster_id", "pos"]).groupBy("cluster_id", "grp", "read_id").agg(F.count("*").alias("m"), F.max("size").alias("size"))
+    busy = e.withColumn("reads", F.count("*").over(W.partitionBy("cluster_id", "pos"))).where(F.col("reads") > p.rare_column).drop("reads")
+    # a read's pairs of its own few error columns, each column with itself too
+    own = busy.groupBy("cluster_id", "read_id").agg(F.collect_list("pos").alias("own"))
+    pairs = own.select("cluster_id", "own", F.explode("own").alias("pos_i")).select("cluster_id", "pos_i", F.explode("own").alias("pos_j")).where("pos_i <= pos_j")
+    groups = grouped_columns(pairs.groupBy("cluster_id", "pos_i", "pos_j").agg(F.count("*").alias("shared")))
+    met = busy.join(groups, ["cluster_id", "pos"]).groupBy("cluster_id", "grp", "read_id").agg(F.count("*").alias("m"), F.max("size").alias("size"))
     out = met.where(F.col("m") > F.least(F.lit(3), F.floor(F.col("size") / 2))).select("cluster_id", "read_id").distinct()
     spectral = out.join(gone, ["cluster_id", "read_id"], "left_anti").withColumn("reason", F.lit("spectral"))
     return gone.withColumn("reason", F.lit("caps")).unionByName(spectral)

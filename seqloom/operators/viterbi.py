@@ -268,33 +268,33 @@ SHARE = 5000
 HELD = 4096
 
 
-def align_reads(placed: DataFrame, counts: DataFrame, p: Params = Params(), cores: DataFrame | None = None) -> DataFrame:
-    """Aligns each placed read (cluster_id, read_id, loc, oseq) to its cluster's profile; rows as in ALIGNED.
+def align_reads(placed: DataFrame, counts: DataFrame, p: Params = Params(), cores: DataFrame | None = None, carry: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
+    """Aligns each placed read (cluster_id, read_id, loc, oseq) to its cluster's profile; rows as in ALIGNED, then the columns of placed named in carry.
 
     cores (cluster_id, core_lo, core): reads are corrected to the core's bases, else to the columns' letters; errors are against the
     letters. Reads of clusters without counts meet columns without reads. Null sequences are left out; repeated rows are aligned each; no
     rows, no rows. Extra columns are ignored.
 
     Reads and profiles are dealt by cluster (a cluster of more than SHARE reads by parts, each with the profile) and sorted, so a profile
-    travels once for each part and is held while that part's reads stream by; reads of many clusters are aligned side by side."""
+    travels once for each part and is held while that part's reads stream by; reads of many clusters are aligned side by side. parts: into
+    how many tasks they are dealt, by default as many as Spark has shuffle partitions."""
     spark = placed.sparkSession
-    reads = placed.select("cluster_id", "read_id", "loc", "oseq").where("oseq is not null")
-    hot = reads.groupBy("cluster_id").agg(F.count("*").alias("n")).where(F.col("n") > SHARE).select(F.col("cluster_id").alias("hot"), F.ceil(F.col("n") / SHARE).alias("parts"))
+    reads = placed.select("cluster_id", "read_id", "loc", "oseq", *carry).where("oseq is not null")
     prof = profile_arrays(counts)
     if cores is not None:
         prof = prof.join(cores.select("cluster_id", F.col("core_lo").cast("long").alias("core_lo"), "core"), "cluster_id", "left")
     else:
         prof = prof.select("*", F.lit(None).cast("long").alias("core_lo"), F.lit(None).cast("string").alias("core"))
-    if hot.isEmpty():
-        reads, prof = reads.withColumn("part", F.lit(0).cast("long")), prof.withColumn("part", F.lit(0).cast("long"))
-    else:
-        reads = reads.join(hot, F.col("cluster_id") == F.col("hot"), "left").withColumn("part", F.pmod(F.xxhash64("read_id"), F.coalesce("parts", F.lit(1))))
-        prof = prof.join(hot, F.col("cluster_id") == F.col("hot"), "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)))
+    # a cluster's number of parts is known on both sides from the same grouped count
+    many = reads.groupBy("cluster_id").agg(F.ceil(F.count("*") / SHARE).cast("long").alias("parts"))
+    reads = reads.join(many, "cluster_id").withColumn("part", F.pmod(F.xxhash64("read_id"), F.col("parts"))).drop("parts")
+    prof = prof.join(many, "cluster_id").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
     flat = [F.col(f"columns.{x}").cast("array<double>").alias(f"x{x}") for x in ("pos", "cA", "cC", "cG", "cT")]
     nothing = [F.lit(None).cast("array<double>").alias(f"x{x}") for x in ("pos", "cA", "cC", "cG", "cT")]
-    both = prof.select("cluster_id", "part", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("read_id"), F.col("core_lo").alias("loc"), F.col("core").alias("oseq"), *flat)
-    both = both.union(reads.select("cluster_id", "part", F.lit(1).alias("kind"), "read_id", F.col("loc").cast("long").alias("loc"), "oseq", *nothing))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kinds = {c: reads.schema[c].dataType for c in carry}
+    both = prof.select("cluster_id", "part", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("read_id"), F.col("core_lo").alias("loc"), F.col("core").alias("oseq"), *flat, *(F.lit(None).cast(k).alias(f"y{c}") for c, k in kinds.items()))
+    both = both.union(reads.select("cluster_id", "part", F.lit(1).alias("kind"), "read_id", F.col("loc").cast("long").alias("loc"), "oseq", *nothing, *(F.col(c).alias(f"y{c}") for c in carry)))
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = both.repartition(n, "cluster_id", "part").sortWithinPartitions("cluster_id", "part", "kind", "read_id")
     psi, delta = p.pseudocount, p.emission_delta
     none = make_profile(0, np.zeros((0, 4)), psi)
@@ -302,18 +302,22 @@ def align_reads(placed: DataFrame, counts: DataFrame, p: Params = Params(), core
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, profiles = None, [none]
         held: tuple[list, ...] = ([], [], [], [], [])
+        rest: list[pa.RecordBatch] = []
 
         def solve() -> Iterator[pa.RecordBatch]:
-            nonlocal held, profiles
+            nonlocal held, profiles, rest
             cids, rids, which, seqs, locs = held
             if rids:
                 order, rows = align_many(profiles, which, seqs, locs, delta)
                 ids = [pa.array(np.array(x, np.int64)[order]) for x in (cids, rids)]
-                yield from pa.table([*ids, *rows.columns], ["cluster_id", "read_id", *rows.column_names]).combine_chunks().to_batches()
-            held, profiles = ([], [], [], [], []), [none, profiles[-1]]
+                more = pa.Table.from_batches(rest).take(pa.array(order)) if carry else None
+                yield from pa.table([*ids, *rows.columns, *(more.columns if carry else [])], ["cluster_id", "read_id", *rows.column_names, *carry]).combine_chunks().to_batches()
+            held, profiles, rest = ([], [], [], [], []), [none, profiles[-1]], []
 
         for b in batches:
             lists = [b.column(f"x{x}") for x in ("pos", "cA", "cC", "cG", "cT")]
+            extra = b.select([f"y{c}" for c in carry]) if carry else None
+            fresh = 0  # the batch's rows before this one are held already
             for row, (cid, part, kind, rid, loc, seq) in enumerate(zip(*(b.column(c).to_pylist() for c in ("cluster_id", "part", "kind", "read_id", "loc", "oseq")))):
                 if kind == 0:
                     pos, *c = (x[row].values.to_numpy(zero_copy_only=False) for x in lists)
@@ -325,14 +329,22 @@ def align_reads(placed: DataFrame, counts: DataFrame, p: Params = Params(), core
                         made.core_lo, made.core = loc, _LUT[np.frombuffer(seq.encode(), np.uint8)]
                     profiles.append(made)
                     now = (cid, part)
+                    if carry:
+                        rest.append(extra.slice(fresh, row - fresh))
+                        fresh = row + 1
                     continue
                 for x, v in zip(held, (cid, rid, len(profiles) - 1 if now == (cid, part) else 0, seq, loc)):
                     x.append(v)
                 if len(held[0]) >= HELD:
+                    if carry:
+                        rest.append(extra.slice(fresh, row + 1 - fresh))
+                        fresh = row + 1
                     yield from solve()
+            if carry:
+                rest.append(extra.slice(fresh))
         yield from solve()
 
-    return dealt.mapInArrow(run, ALIGNED)
+    return dealt.mapInArrow(run, ", ".join([ALIGNED, *(f"{c} {k.simpleString()}" for c, k in kinds.items())]))
 
 
 def accepted(aligned: DataFrame, cores: DataFrame, p: Params = Params()) -> DataFrame:

@@ -127,6 +127,52 @@ class Flow:
     def substitutions(self) -> DataFrame:
         return ungapped.positions(self.compared(), self.won(), self.oriented())
 
+    @once
+    def thinned(self) -> DataFrame:
+        """The reads that the error caps leave while there is no core."""
+        none = self.oriented().select("cluster_id").distinct().select("cluster_id", F.lit(0).alias("core_lo"), F.lit(0).alias("core_hi"))
+        gone = spectral.capped(self.aligned(), none, pileup.spans(self.counted()), P).where("dropped").select("cluster_id", "read_id").distinct()
+        return self.oriented().join(gone.withColumn("gone", F.lit(True)), ["cluster_id", "read_id"], "left").withColumn("gone", F.col("gone").isNotNull())
+
+    def kept(self) -> DataFrame:
+        return self.thinned().where("not gone").drop("gone")
+
+    def anchors(self) -> DataFrame:
+        return gather.anchors(self.kept(), self.thinned().where("gone"))
+
+    @once
+    def fitted(self) -> DataFrame:
+        """Gapped alignments of the first round's reads within the caps, whether they are accepted, and the strand."""
+        return viterbi.accepted(self.aligned(), self.cores(), P).join(self.kept().select("cluster_id", "read_id", "rc"), ["cluster_id", "read_id"])
+
+    @once
+    def gapped_claims(self) -> DataFrame:
+        ok = self.fitted().where("ok")
+        x = claims.first_claim(ok).where("won").join(ok.select("cluster_id", "read_id", "rc", "corrected", "edits"), ["cluster_id", "read_id"])
+        return x.withColumn("corrected", F.when(F.col("rc"), dna.revcomp(F.col("corrected"))).otherwise(F.col("corrected"))).select("read_id", "cluster_id", "corrected", "edits", "rc")
+
+    @once
+    def going(self) -> DataFrame:
+        """The clusters of the first round that go on: those that lost no read. As gather.spliced() gives them."""
+        new = self.extension(True).unionByName(self.extension(False))
+        live = self.cores().select("cluster_id", F.lit(0).alias("core_lo"), F.lit(0).alias("core_hi"), F.lit("").alias("core"))
+        lost = self.won().where("not won").select("cluster_id")
+        return gather.spliced(live, new).join(self.won().select("cluster_id").distinct(), "cluster_id", "left_semi").join(lost, "cluster_id", "left_anti")
+
+    @once
+    def regathered(self) -> DataFrame:
+        """The reads that the second round gathers."""
+        from .plans import correct
+
+        go = self.going()
+        counts = pileup.carry_core(self.counted(), go).select("cluster_id", "pos", *(F.col(f"c{b}").cast("double") for b in dna.BASES))
+        return correct.regather(correct.probes_of(go, K), go, self.postings(), self.usable, P, self.claims(), self.failures(), self.gathered(), counts, lambda x: sinks.materialize(x, "places"))
+
+    def second_profile(self) -> DataFrame:
+        """The second round's counts over what the cores carry, as a profile."""
+        both = pileup.carry_core(self.counted(), self.going()).unionByName(pileup.counts(pileup.bases(self.regathered())))
+        return pileup.profile(both.groupBy("cluster_id", "pos").agg(*(F.sum(f"c{b}").alias(f"c{b}") for b in dna.BASES)), P.pseudocount)
+
     def masked(self) -> DataFrame:
         return mask.mask(self.reads.select("read_id", "seq"))
 
@@ -137,8 +183,8 @@ _T |= {"DI": -(10**15), "ID": -(10**15)}
 _EVEN = round(math.log(0.25) * 1e9)
 
 
-def _viterbi_chain(p: str, source: str) -> list[tuple[str, str]]:
-    """Banded alignment as recursive steps over (cluster_id, read_id, loc, oseq): {p}f fills one base of all reads at a time, a row with
+def _viterbi_chain(p: str, source: str, pro: str = "pro") -> list[tuple[str, str]]:
+    """Banded alignment of (cluster_id, read_id, loc, oseq) to the profile pro as recursive steps: {p}f fills one base of all reads at a time, a row with
     the 15 scores and a list of choices; {p}t walks back; {p}o has the results."""
     best = lambda m, d, i: f"greatest({m}, {d}, {i})"
     code = lambda m, d, i: f"CASE WHEN {m} > {d} AND {m} > {i} THEN 0 WHEN {d} > {i} THEN 1 ELSE 2 END"
@@ -167,14 +213,15 @@ def _viterbi_chain(p: str, source: str) -> list[tuple[str, str]]:
     lists = ", ".join(f"list(coalesce(CAST(round(ln(p{b}) * 1e9) AS BIGINT), {_EVEN}) ORDER BY j) AS e{b}, list(p{b} ORDER BY j) AS p{b}" for b in "ACGT")
     of = lambda x, c: f"CASE {c} WHEN 'A' THEN {x}A WHEN 'C' THEN {x}C WHEN 'G' THEN {x}G ELSE {x}T END"
     return [
-        (f"{p}l", f"SELECT s.cluster_id, s.read_id, any_value(s.loc) AS loc, any_value(s.oseq) AS oseq, CAST(any_value(length(s.oseq)) AS INT) AS n, list(q.letter ORDER BY j) AS lt, {lists} FROM ({source}) s JOIN (SELECT CAST(unnest(range(0, {fixtures.READ + 4})) AS INT) AS j) ON j < length(s.oseq) + 4 LEFT JOIN pro q ON q.cluster_id = s.cluster_id AND q.pos = s.loc - 2 + j GROUP BY s.cluster_id, s.read_id"),
+        (f"{p}l", f"SELECT s.cluster_id, s.read_id, any_value(s.loc) AS loc, any_value(s.oseq) AS oseq, CAST(any_value(length(s.oseq)) AS INT) AS n, list(q.letter ORDER BY j) AS lt, {lists} FROM ({source}) s JOIN (SELECT CAST(unnest(range(0, {fixtures.READ + 4})) AS INT) AS j) ON j < length(s.oseq) + 4 LEFT JOIN {pro} q ON q.cluster_id = s.cluster_id AND q.pos = s.loc - 2 + j GROUP BY s.cluster_id, s.read_id"),
         (f"{p}f", f"""SELECT cluster_id, read_id, 0 AS i, {start}, CAST([] AS BIGINT[]) AS tr FROM {p}l
       UNION ALL SELECT cluster_id, read_id, i + 1 AS i, {scores}, list_append(tr, CAST({packed} AS BIGINT)) AS tr FROM (SELECT *, {', '.join(later)} FROM (SELECT *, {', '.join(cols)} FROM (
         SELECT f.*, {of('l.e', 'substr(l.oseq, f.i + 1, 1)')} AS e FROM {p}f f JOIN {p}l l ON l.cluster_id = f.cluster_id AND l.read_id = f.read_id WHERE f.i < l.n)))"""),
-        (f"{p}t", f"""SELECT cluster_id, read_id, i, o, s, tr, llh, i AS n_left, CAST(loc + i - 1 + o - 2 AS INT) AS last, CAST(NULL AS INT) AS first, 0 AS n_sub, 0 AS n_del, 0 AS n_ins, '' AS corrected, CAST([] AS INT[]) AS errs FROM (
+        (f"{p}t", f"""SELECT cluster_id, read_id, i, o, s, tr, llh, i AS n_left, CAST(loc + i - 1 + o - 2 AS INT) AS last, CAST(NULL AS INT) AS first, 0 AS n_sub, 0 AS n_del, 0 AS n_ins, '' AS corrected, CAST([] AS INT[]) AS errs, CAST([] AS STRUCT(pos INT, kind VARCHAR, bases VARCHAR)[]) AS eds FROM (
         SELECT *, k // 3 AS o, k % 3 AS s FROM (SELECT f.cluster_id, f.read_id, f.i, f.tr, l.loc, list_max({all15}) / 1e9 / l.n AS llh, list_position({all15}, list_max({all15})) - 1 AS k FROM {p}f f JOIN {p}l l ON l.cluster_id = f.cluster_id AND l.read_id = f.read_id WHERE f.i = l.n))
       UNION ALL SELECT cluster_id, read_id, CASE WHEN s = 1 THEN i ELSE i - 1 END AS i, CASE s WHEN 0 THEN o WHEN 1 THEN o - 1 ELSE o + 1 END AS o, (tr[i] >> (2 * (3 * o + s))) & 3 AS s, tr, llh, n_left, last, here AS first, n_sub + CAST(s = 0 AND change AS INT) AS n_sub, n_del + CAST(s = 1 AS INT) AS n_del, n_ins + CAST(s = 2 AS INT) AS n_ins,
-        CASE s WHEN 0 THEN CASE WHEN change THEN letter ELSE b END WHEN 1 THEN coalesce(letter, '') ELSE '' END || corrected AS corrected, CASE WHEN s > 0 OR coalesce(b <> letter, false) THEN list_append(errs, here) ELSE errs END AS errs FROM (
+        CASE s WHEN 0 THEN CASE WHEN change THEN letter ELSE b END WHEN 1 THEN coalesce(letter, '') ELSE '' END || corrected AS corrected, CASE WHEN s > 0 OR coalesce(b <> letter, false) THEN list_append(errs, here) ELSE errs END AS errs,
+        CASE WHEN s > 0 OR change THEN list_append(eds, struct_pack(pos := CAST(i - 1 AS INT), kind := CASE s WHEN 0 THEN 'M' WHEN 1 THEN 'D' ELSE 'I' END, bases := CASE s WHEN 0 THEN b || letter WHEN 1 THEN coalesce(letter, 'N') ELSE b END)) ELSE eds END AS eds FROM (
         SELECT *, coalesce(b <> letter AND pb <= pl - {P.emission_delta}::DOUBLE, false) AS change FROM (SELECT *, {of('q', 'b')} AS pb, {of('q', 'letter')} AS pl FROM (
           SELECT t.*, CAST(l.loc + t.i - 1 + t.o - 2 AS INT) AS here, substr(l.oseq, t.i, 1) AS b, l.lt[t.i + t.o] AS letter, {', '.join(f'l.p{b}[t.i + t.o] AS q{b}' for b in 'ACGT')}
           FROM {p}t t JOIN {p}l l ON l.cluster_id = t.cluster_id AND l.read_id = t.read_id WHERE t.i > 0)))"""),
@@ -182,6 +229,21 @@ def _viterbi_chain(p: str, source: str) -> list[tuple[str, str]]:
     ]
 
 
+_COUNTED = ", ".join(f"CAST(sum(CAST(base = '{b}' AS INT)) AS BIGINT) AS c{b}" for b in "ACGT")
+
+
+def _profile_sql(counts: str) -> str:
+    """Counts with probabilities, entropy and letter."""
+    prob = ", ".join(f"(c{b} + {P.pseudocount}::DOUBLE) / (cA + cC + cG + cT + 4 * {P.pseudocount}::DOUBLE) AS p{b}" for b in "ACGT")
+    return f"SELECT *, -(pA * ln(pA) + pC * ln(pC) + pG * ln(pG) + pT * ln(pT)) AS entropy, CASE greatest(cA, cC, cG, cT) WHEN cA THEN 'A' WHEN cC THEN 'C' WHEN cG THEN 'G' ELSE 'T' END AS letter FROM (SELECT *, {prob} FROM ({counts}))"
+
+
+def _extension_sql(p: str, columns: str) -> list[tuple[str, str]]:
+    """{p}e: the columns that extend a core to both sides. columns: profile rows with rel, their distance from the core: from 0 on to the right, from -1 on to the left."""
+    side = lambda where, order, nth: f"SELECT * FROM (SELECT *, max(CAST(entropy > {P.entropy} AS INT)) OVER w AS bad, row_number() OVER w AS nth FROM {p}c WHERE {where} WINDOW w AS (PARTITION BY cluster_id ORDER BY {order})) WHERE bad = 0 AND nth = {nth}"
+    return [(f"{p}c", columns), (f"{p}e", f"{side('rel >= 0', 'rel', 'rel + 1')} UNION ALL {side('rel < 0', 'rel DESC', '-rel')}")]
+
+
 # The same steps as common table expressions, in order.
 _CHAIN = [
     ("idx", f"SELECT read_id, seq FROM reads WHERE instr(seq, 'N') = 0 AND length(seq) - length(replace(seq, 'A', '')) <= 0.7 * length(seq) AND length(seq) - length(replace(seq, 'T', '')) <= 0.7 * length(seq)"),
@@ -224,10 +286,37 @@ _CHAIN = [
       SELECT a.cluster_id, a.pos AS pos_i, b.pos AS pos_j, count(*) AS shared FROM err a JOIN err b ON a.cluster_id = b.cluster_id AND a.read_id = b.read_id AND a.pos < b.pos GROUP BY 1, 2, 3) b USING (cluster_id, pos_i, pos_j)"""),
     *_viterbi_chain("v", "SELECT cluster_id, read_id, loc, oseq FROM ori"),
     *_viterbi_chain("w", "SELECT cluster_id, read_id, loc + a AS loc, substr(oseq, a + 1, b - a) AS oseq FROM inf WHERE b > a"),
+    # the reads over the caps while there is no core, what is left without them, and where a thinned cluster's extension begins
+    ("gon", f"SELECT e.cluster_id, e.read_id FROM (SELECT cluster_id, read_id, unnest(errs) AS pos FROM vo) e JOIN (SELECT cluster_id, min(pos) AS lo, max(pos) + 1 AS hi FROM pil GROUP BY cluster_id) s ON s.cluster_id = e.cluster_id AND e.pos >= s.lo AND e.pos < s.hi GROUP BY e.cluster_id, e.read_id HAVING count(*) >= {P.max_pre_corrected_errors}"),
+    ("kpt", "SELECT o.* FROM ori o ANTI JOIN gon g ON g.cluster_id = o.cluster_id AND g.read_id = o.read_id"),
+    ("anc", "SELECT cluster_id, max(loc) AS anchor FROM kpt WHERE cluster_id IN (SELECT cluster_id FROM gon) GROUP BY cluster_id"),
+    ("kpr", _profile_sql("SELECT cluster_id, pos, " + _COUNTED + " FROM bas b WHERE NOT EXISTS (SELECT 1 FROM gon g WHERE g.cluster_id = b.cluster_id AND g.read_id = b.read_id) GROUP BY cluster_id, pos")),
+    *_extension_sql("ka", "SELECT q.*, q.pos - coalesce(a.anchor, 0) AS rel FROM kpr q LEFT JOIN anc a ON a.cluster_id = q.cluster_id"),
+    # gapped claims: what is accepted, who gets it, what was changed where
+    ("gat2", f"SELECT o.cluster_id, o.read_id, o.corrected, o.eds, o.n_sub + o.n_del + o.n_ins < {P.max_corrections} AS few, o.first >= c.core_lo AND o.last < c.core_hi AS fitted, o.llh > {P.cluster_llh} AS likely FROM vo o JOIN cor c ON c.cluster_id = o.cluster_id JOIN kpt k ON k.cluster_id = o.cluster_id AND k.read_id = o.read_id"),
+    ("gatt", "SELECT cluster_id, read_id, corrected, eds FROM gat2 WHERE few AND fitted AND likely"),
+    ("gclm", "SELECT a.read_id, a.cluster_id, g.rc, a.eds, CASE WHEN g.rc THEN reverse(translate(a.corrected, 'ACGT', 'TGCA')) ELSE a.corrected END AS corrected FROM gatt a JOIN (SELECT read_id, min(cluster_id) AS owner FROM gatt GROUP BY read_id) o ON o.read_id = a.read_id AND o.owner = a.cluster_id JOIN gat g ON g.read_id = a.read_id AND g.cluster_id = a.cluster_id"),
+    ("gpos", "SELECT c.read_id, CAST(CASE WHEN c.rc THEN length(r.seq) - 1 - c.e.pos ELSE c.e.pos END AS INT) AS pos, c.e.kind AS kind, c.e.bases AS bases FROM (SELECT read_id, rc, unnest(eds) AS e FROM gclm) c JOIN reads r ON r.read_id = c.read_id"),
+    # the second round: clusters that lost no read probe their cores' ends
+    ("go", "SELECT c.cluster_id, c.core_lo, c.core_hi, string_agg(x.letter, '' ORDER BY x.pos) AS core, greatest(0, -c.core_lo - 16) AS r0, least(16 - c.core_lo, c.core_hi - c.core_lo) AS l1 FROM cor c JOIN ext x ON x.cluster_id = c.cluster_id WHERE c.cluster_id IN (SELECT cluster_id FROM won GROUP BY cluster_id HAVING bool_and(won)) GROUP BY c.cluster_id, c.core_lo, c.core_hi".replace("16", str(K - 1))),
+    ("prb", "SELECT cluster_id, core_lo, core_hi, 0 AS a, CASE WHEN r0 <= l1 THEN core ELSE substr(core, 1, l1) END AS x FROM go UNION ALL SELECT cluster_id, core_lo, core_hi, r0 AS a, substr(core, r0 + 1) AS x FROM go WHERE r0 > l1"),
+    ("prw", f"SELECT cluster_id, core_lo, core_hi, CAST(core_lo + a + i + {K - 2} AS INT) AS k_end, CAST(substr(translate(x, 'ACGT', '1234'), i, {K}) AS BIGINT) AS km, CAST(substr(reverse(translate(x, 'ACGT', '4321')), length(x) - i - {K - 2}, {K}) AS BIGINT) AS rv FROM (SELECT *, unnest(range(1, length(x) - {K - 2})) AS i FROM prb WHERE length(x) >= {K})"),
+    ("rht", f"""SELECT * FROM (SELECT w.cluster_id, w.core_lo, w.core_hi, q.read_id, w.k_end, CAST(CASE WHEN (km <= rv) = (q.spos > 0) THEN k_end - (abs(q.spos) - 1) ELSE k_end - {K - 1} - (length(r.seq) - abs(q.spos)) END AS INT) AS loc, (km <= rv) <> (q.spos > 0) AS rc, length(r.seq) AS len
+      FROM prw w JOIN post q ON q.kmer = least(km, rv) JOIN idx r ON r.read_id = q.read_id) WHERE loc < core_lo OR loc + len > core_hi"""),
+    ("rpl", f"""SELECT row_number() OVER () AS pid, * FROM (SELECT h.cluster_id, h.read_id, h.core_lo, h.core_hi, h.loc, h.rc, min(h.k_end) AS k_end, count(*) AS n FROM rht h LEFT JOIN clm c ON c.read_id = h.read_id LEFT JOIN fai f ON f.read_id = h.read_id
+      WHERE CASE WHEN coalesce(f.n, 0) < {P.failure_limit} THEN c.cluster_id IS NULL OR c.cluster_id <> h.cluster_id ELSE c.cluster_id IS NULL END AND NOT EXISTS (SELECT 1 FROM gat g WHERE g.cluster_id = h.cluster_id AND g.read_id = h.read_id) GROUP BY 1, 2, 3, 4, 5, 6)"""),
+    ("rin", "SELECT p.cluster_id, p.pid, p.loc, CASE WHEN p.rc THEN reverse(translate(r.seq, 'ACGT', 'TGCA')) ELSE r.seq END AS oseq, greatest(0, 2 - (p.loc - p.core_lo)) AS a, least(length(r.seq), p.core_hi - p.loc - 2) AS b FROM rpl p JOIN idx r ON r.read_id = p.read_id"),
+    ("prc", "SELECT q.* FROM pro q JOIN cor c ON c.cluster_id = q.cluster_id WHERE q.pos >= c.core_lo AND q.pos < c.core_hi"),
+    *_viterbi_chain("y", "SELECT cluster_id, pid AS read_id, loc + a AS loc, substr(oseq, a + 1, b - a) AS oseq FROM rin WHERE b > a", "prc"),
+    ("rga", f"SELECT p.cluster_id, p.read_id, arg_min(p.loc, p.k_end * 2 + CAST(p.rc AS INT)) AS loc, arg_min(p.rc, p.k_end * 2 + CAST(p.rc AS INT)) AS rc, CAST(sum(p.n) AS INT) AS multi FROM rpl p LEFT JOIN yo o ON o.read_id = p.pid WHERE coalesce(len(o.errs), 0) < {P.max_core_errors} GROUP BY p.cluster_id, p.read_id"),
+    ("rba", f"SELECT g.cluster_id, g.loc + j - 1 AS pos, substr(CASE WHEN g.rc THEN reverse(translate(r.seq, 'ACGT', 'TGCA')) ELSE r.seq END, j, 1) AS base FROM rga g JOIN idx r ON r.read_id = g.read_id, (SELECT CAST(unnest(range(1, {fixtures.READ + 1})) AS INT) AS j) WHERE j <= length(r.seq)"),
+    ("rpr", _profile_sql("SELECT cluster_id, pos, " + ", ".join(f"CAST(sum(c{b}) AS BIGINT) AS c{b}" for b in "ACGT") + " FROM (SELECT cluster_id, pos, cA, cC, cG, cT FROM prc WHERE cluster_id IN (SELECT cluster_id FROM go) UNION ALL SELECT cluster_id, pos, " + _COUNTED + " FROM rba GROUP BY cluster_id, pos) GROUP BY cluster_id, pos")),
+    *_extension_sql("ra", "SELECT q.*, CASE WHEN q.pos >= g.core_hi THEN q.pos - g.core_hi ELSE q.pos - g.core_lo END AS rel FROM rpr q JOIN go g ON g.cluster_id = q.cluster_id WHERE q.pos >= g.core_hi OR q.pos < g.core_lo"),
+    ("rco", "SELECT g.cluster_id, CAST(coalesce(least(g.core_lo, min(x.pos)), g.core_lo) AS INT) AS core_lo, CAST(coalesce(greatest(g.core_hi, max(x.pos) + 1), g.core_hi) AS INT) AS core_hi, concat(coalesce(string_agg(x.letter, '' ORDER BY x.pos) FILTER (x.pos < g.core_lo), ''), g.core, coalesce(string_agg(x.letter, '' ORDER BY x.pos) FILTER (x.pos >= g.core_hi), '')) AS core FROM go g LEFT JOIN rae x ON x.cluster_id = g.cluster_id GROUP BY g.cluster_id, g.core_lo, g.core_hi, g.core"),
     ("siv", "SELECT *, 1.0::DOUBLE / (1.0::DOUBLE + exp(3.0::DOUBLE - shared)) AS v FROM sim"),
 ]
 #: Steps that several others read.
-_OFTEN = {"win", "post", "gat", "ori", "bas", "pro", "att", "ext", "vl", "wl"}
+_OFTEN = {"reads", "idx", "win", "post", "gat", "ori", "bas", "pil", "pro", "cmp", "att", "ext", "vl", "wl", "yl", "vo", "gon", "kpr", "gat2", "gclm", "gpos", "go", "rpl", "rpr", "clm", "fai"}
 
 
 def _sql(last: str, raw: bool = False) -> str:
@@ -569,6 +658,80 @@ def gapped_error_caps(spark, d):
     return x.select("cluster_id", "read_id", "n_core", "n_all", "dropped").distinct()
 
 
+@query("SELECT k.cluster_id, k.read_id, CAST(k.loc - coalesce(a.anchor, 0) AS INT) AS loc, k.rc, k.multi FROM kpt k LEFT JOIN anc a ON a.cluster_id = k.cluster_id")
+def reanchored_placements(spark, d):
+    """The reads that the caps leave, each thinned cluster moved so that its largest start is 0."""
+    f = Flow(spark, d)
+    return gather.moved(f.kept().drop("oseq"), f.anchors(), "loc")
+
+
+@query("SELECT cluster_id, CAST(rel AS INT) AS pos, cA, cC, cG, cT, round(entropy, 9) AS entropy, letter FROM kac")
+def reanchored_profile(spark, d):
+    """The profile of what the caps leave, moved with the placements."""
+    f = Flow(spark, d)
+    prof = pileup.profile(pileup.subtract(f.counted(), pileup.counts(pileup.bases(f.thinned().where("gone")))), P.pseudocount)
+    return gather.moved(prof, f.anchors(), "pos").select("cluster_id", "pos", *(f"c{b}" for b in dna.BASES), _r("entropy"), "letter")
+
+
+@query(f"SELECT cluster_id, CAST(min(rel) AS INT) AS core_lo, CAST(max(rel) + 1 AS INT) AS core_hi, string_agg(letter, '' ORDER BY pos) AS core FROM kae GROUP BY cluster_id HAVING count(*) > {K}")
+def reanchored_contig(spark, d):
+    """First-round contigs after thinning: extended from the anchor, places counted from it."""
+    f = Flow(spark, d)
+    ids = f.oriented().select("cluster_id").distinct()
+    live = gather.anchored(ids.select("cluster_id", F.lit(0).alias("core_lo"), F.lit(0).alias("core_hi"), F.lit("").alias("core")), f.kept(), f.thinned().where("gone"))
+    left = pileup.subtract(f.counted(), pileup.counts(pileup.bases(f.thinned().where("gone"))))
+    prof = pileup.profile(left, P.pseudocount).join(live.select("cluster_id", "core_lo", "core_hi"), "cluster_id")
+    new = gather.extension(prof, P.entropy)
+    x = gather.spliced(live, new).where(F.length("core") > K)
+    return x.select("cluster_id", (F.col("core_lo") - F.col("old_lo")).cast("int").alias("core_lo"), (F.col("core_hi") - F.col("old_lo")).cast("int").alias("core_hi"), "core")
+
+
+@query("SELECT read_id, cluster_id, corrected, CAST(len(eds) AS INT) AS n_edits FROM gclm")
+def assign_gapped(spark, d):
+    """Reads with the cluster that gets them, after gapped alignment, on their own strand."""
+    return Flow(spark, d).gapped_claims().select("read_id", "cluster_id", "corrected", F.size("edits").alias("n_edits"))
+
+
+@query("SELECT read_id, pos, kind, bases FROM gpos")
+def correction_positions_gapped(spark, d):
+    """Substitutions, deletions and insertions of the reads that a cluster got, at places of the read as sequenced."""
+    f = Flow(spark, d)
+    return claims.positions(f.gapped_claims(), f.reads)
+
+
+@query(f"SELECT read_id, CAST(least(count(*), {P.failure_limit}) AS INT) AS n FROM (SELECT read_id FROM gon UNION ALL SELECT read_id FROM gat2 WHERE few AND fitted AND NOT likely) GROUP BY read_id")
+def failures_gapped(spark, d):
+    """Failure reports of the first round: reads over the caps, and fitted ones with few edits that are unlikely."""
+    f = Flow(spark, d)
+    few = F.col("n_sub") + F.col("n_del") + F.col("n_ins") < P.max_corrections
+    bad = f.fitted().where(~F.col("ok") & F.col("fitted") & few).select("read_id")
+    return claims.saturate(f.thinned().where("gone").select("read_id").unionByName(bad), P.failure_limit)
+
+
+@query("""SELECT (SELECT count(*) FROM gclm) AS accepted, (SELECT count(*) FROM gclm c JOIN reads r ON r.read_id = c.read_id WHERE c.corrected <> r.seq) AS corrected, (SELECT count(*) FROM gatt) - (SELECT count(*) FROM gclm) AS collided,
+  (SELECT count(*) FROM gatt a JOIN gclm c ON c.read_id = a.read_id JOIN gatt b ON b.read_id = c.read_id AND b.cluster_id = c.cluster_id WHERE a.cluster_id <> c.cluster_id AND a.corrected <> b.corrected) AS bad_collided,
+  (SELECT count(*) FROM gpos WHERE kind = 'M') AS n_sub, (SELECT count(*) FROM gpos WHERE kind = 'D') AS n_del, (SELECT count(*) FROM gpos WHERE kind = 'I') AS n_ins""")
+def summary_gapped(spark, d):
+    f = Flow(spark, d)
+    return claims.summary(f.fitted().where("ok").select("read_id", "cluster_id", "corrected"), f.gapped_claims().join(f.reads.select("read_id", "seq"), "read_id"), claims.positions(f.gapped_claims(), f.reads))
+
+
+@query("SELECT cluster_id, read_id, loc, rc, multi FROM rga")
+def regather_reads(spark, d):
+    """The second round's reads: found by the ends of grown cores, free to be used, sticking out, and near the core where they overlap it."""
+    return Flow(spark, d).regathered().select("cluster_id", "read_id", "loc", "rc", "multi")
+
+
+@query("SELECT cluster_id, core_lo, core_hi, core FROM rco")
+def regather_contig(spark, d):
+    """Round two's clusters: carried counts and the new reads' bases, extended from the first round's cores, which stay as they are."""
+    f = Flow(spark, d)
+    go = f.going().select("cluster_id", "core_lo", "core_hi", "core")
+    prof = f.second_profile().join(go.select("cluster_id", "core_lo", "core_hi"), "cluster_id")
+    new = gather.extension(prof, P.entropy)
+    return gather.spliced(go, new).select("cluster_id", "core_lo", "core_hi", "core")
+
+
 @query()
 def spectral_filter(spark, d):
     """Reads that the error caps or the spectral clustering of error columns leave out."""
