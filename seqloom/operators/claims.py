@@ -1,4 +1,7 @@
-"""Ownership of reads, failures and counters."""
+"""Ownership of reads, failures and counters.
+
+Attempts with a null read or cluster get nothing and are left out of the counts; a null correction never counts as equal to another. Repeated
+attempts of a cluster that wins all win. Empty tables give empty tables, and counters of 0; extra columns are ignored."""
 
 from __future__ import annotations
 
@@ -10,15 +13,16 @@ def first_claim(attempts: DataFrame) -> DataFrame:
     """attempts (read_id, cluster_id, corrected) with won and, for the rest, matched: whether they would have corrected alike.
 
     The lowest cluster wins, whatever order attempts come in: a grouped minimum and a join back on the read."""
+    attempts = attempts.where("read_id is not null and cluster_id is not null")
     low = attempts.groupBy("read_id").agg(F.min("cluster_id").alias("owner"))
     x = attempts.join(low, "read_id").withColumn("won", F.col("cluster_id") == F.col("owner"))
-    winner = x.where("won").select("read_id", F.col("corrected").alias("kept"))
-    return x.join(winner, "read_id").select("read_id", "cluster_id", "won", (F.col("corrected") == F.col("kept")).alias("matched"))
+    winner = x.where("won").groupBy("read_id").agg(F.max("corrected").alias("kept"))
+    return x.join(winner, "read_id").select("read_id", "cluster_id", "won", F.coalesce(F.col("corrected") == F.col("kept"), F.lit(False)).alias("matched"))
 
 
 def saturate(reports: DataFrame, limit: int = 3) -> DataFrame:
     """read_id, n: failures of each read, at most limit."""
-    return reports.groupBy("read_id").agg(F.least(F.count("*"), F.lit(limit)).cast("int").alias("n"))
+    return reports.where("read_id is not null").groupBy("read_id").agg(F.least(F.count("*"), F.lit(limit)).cast("int").alias("n"))
 
 
 def status(reads: DataFrame, claims: DataFrame) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Step 1: masking of unknown bases, and the filter on pairs."""
+"""Step 1: masking of unknown bases, and the filter on pairs.
+
+A null sequence is rejected like one with too many Ns, an empty one stays empty. Repeated rows go alike; rows with a null pair are one pair.
+Empty tables give empty tables."""
 
 from __future__ import annotations
 

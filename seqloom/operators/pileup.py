@@ -1,4 +1,8 @@
-"""Per-position base counts of clusters, their profiles, error columns, and what is derived from them."""
+"""Per-position base counts of clusters, their profiles, error columns, and what is derived from them.
+
+Reads with a null place or sequence have no bases, an empty sequence none either; a base other than A, C, G, T is in no count, so a column of
+such bases alone has counts of 0. Repeated rows of a read are counted each, but err in a column once. Rows with a null cluster are
+grouped by themselves and lost in joins. Empty tables give empty tables; extra columns are ignored."""
 
 from __future__ import annotations
 
@@ -10,7 +14,7 @@ from ..functions import dna
 
 def bases(placed: DataFrame) -> DataFrame:
     """cluster_id, read_id, pos, base for each base of each placed read (cluster_id, read_id, loc, oseq)."""
-    x = placed.select("cluster_id", "read_id", "loc", "oseq", F.explode(F.sequence(F.lit(1), F.length("oseq"))).alias("j"))
+    x = placed.where("length(oseq) > 0 and loc is not null").select("cluster_id", "read_id", "loc", "oseq", F.explode(F.sequence(F.lit(1), F.length("oseq"))).alias("j"))
     return x.select("cluster_id", "read_id", (F.col("loc") + F.col("j") - 1).alias("pos"), F.substring("oseq", F.col("j"), F.lit(1)).alias("base"))
 
 

@@ -1,4 +1,7 @@
-"""Correction without gaps: reads against their columns' letters, as joins and grouped sums."""
+"""Correction without gaps: reads against their columns' letters, as joins and grouped sums.
+
+Bases whose column the profile lacks, and rows with a null cluster, are left out; a base other than A, C, G, T has no probability and stays as it
+is. Rows of a read that repeat are one read of that many more bases. Empty tables give empty tables; extra columns are ignored."""
 
 from __future__ import annotations
 

@@ -26,7 +26,7 @@ STATE = {
 #: Seeds are taken in the order of this number of their id, so that they lie spread over the reads.
 SPREAD = 1 << 40
 #: By so much the reads that may be seeds together on a k-mer grow from round to round.
-FASTER = 4
+FASTER = 2
 #: Bases, about, that one task aligns.
 TASK_BASES = 3_000_000
 #: Index rows, about, of one partition.
@@ -87,7 +87,7 @@ class Correction:
     written, to the shared folder, which cuts lineage and survives lost executors. Claims, failures, members, carried
     counts and the ends to probe are derived from what rounds have written; the index of possible seeds shrinks with each round. Equal input gives equal output for any parallelism.
 
-    Seeds come in random order. In the first round seeds share no k-mer; from round to round more reads may be seeds together, four times as
+    Seeds come in random order. In the first round seeds share no k-mer; from round to round more reads may be seeds together, twice as
     many on a k-mer each time, so that the number of rounds grows with the logarithm of the most frequent k-mer. Seeds that
     meet compete for reads like clusters that touch: the lowest number wins, and a cluster that lost a read stops.
 
@@ -202,7 +202,7 @@ class Correction:
             posts = posts.where(F.col("read_id") >= p.start)
         if p.end is not None:
             posts = posts.where(F.col("read_id") < p.end)
-        seeds = kmers.admit(posts, seed_order(), FASTER ** min(self.rounds, 11))
+        seeds = kmers.admit(posts, seed_order(), FASTER ** min(self.rounds, 22))
         if self.rounds == 0:
             return seeds
         ends = kmers.windows(self.frontier.select(F.col("cluster_id").alias("read_id"), F.col("core").alias("seq")), p.k).select("kmer").distinct()

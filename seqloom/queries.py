@@ -229,6 +229,38 @@ def _viterbi_chain(p: str, source: str, pro: str = "pro") -> list[tuple[str, str
     ]
 
 
+def _posterior_chain(p: str, v: str) -> list[tuple[str, str]]:
+    """Forward ({p}f) and backward ({p}b) sums over the band for the reads of {v}l, scaled to 1 at each base with the logarithm of what was
+    divided (ls), and {p}q: the probability that base i is matched at offset o."""
+    emit = [f"coalesce(CASE substr(l.oseq, i, 1) WHEN 'A' THEN l.pA[i + {o}] WHEN 'C' THEN l.pC[i + {o}] WHEN 'G' THEN l.pG[i + {o}] ELSE l.pT[i + {o}] END, 0.25::DOUBLE)" for o in range(5)]
+    num = lambda x: f"{x!r}::DOUBLE"
+    mm, md, sm, ss, q = num(0.94), num(0.03), num(0.95), num(0.05), num(0.25)
+    names = [f"{s}{o}" for s in "mdx" for o in range(5)]
+    scaled = ", ".join(f"n{x} / s AS {x}" for x in names)
+    every = " + ".join(f"n{x}" for x in names)
+    # forward: row i has the sums after i bases
+    fwd = ", ".join([f"e{o} * (m{o} * {mm} + (d{o} + x{o}) * {sm}) AS nm{o}" for o in range(5)] + [f"{q} * (m{o + 1} * {md} + x{o + 1} * {ss}) AS nx{o}" for o in range(4)] + ["0.0::DOUBLE AS nx4", "0.0::DOUBLE AS nd0"])
+    dels = [f"nm{o - 1} * {md} + nd{o - 1} * {ss} AS nd{o}" for o in range(1, 5)]
+    at_zero = ", ".join([f"{num(0.03 ** abs(o - 2))} AS m{o}" for o in range(5)] + [f"0.0::DOUBLE AS {s}{o}" for s in "dx" for o in range(5)])
+    # backward: row i has the sums after i bases, to the read's end; deletions may follow at any base but before the first
+    back = ", ".join([f"e{o} * m{o} AS t{o}" for o in range(5)] + ["0.0::DOUBLE AS u0"] + [f"{q} * x{o - 1} AS u{o}" for o in range(1, 5)])
+    raw = ", ".join([f"t{o} * {mm} + u{o} * {md} AS rm{o}, t{o} * {sm} AS rd{o}, t{o} * {sm} + u{o} * {ss} AS nx{o}" for o in range(5)])
+    close = "rm4 AS nm4, rd4 AS nd4"
+    down = [f"CASE WHEN i > 0 THEN rm{o} + nd{o + 1} * {md} ELSE rm{o} END AS nm{o}, CASE WHEN i > 0 THEN rd{o} + nd{o + 1} * {ss} ELSE rd{o} END AS nd{o}" for o in (3, 2, 1, 0)]
+    ones = ", ".join(f"1.0::DOUBLE AS rm{o}, 1.0::DOUBLE AS rd{o}, 1.0::DOUBLE AS nx{o}" for o in range(5))
+    return [
+        (f"{p}f", f"""SELECT cluster_id, read_id, 0 AS i, {at_zero}, 0.0::DOUBLE AS ls FROM {v}l
+      UNION ALL SELECT cluster_id, read_id, i, {scaled}, ls + ln(s) AS ls FROM (SELECT *, {every} AS s FROM (SELECT *, {', '.join(dels)} FROM (SELECT *, {fwd} FROM (
+        SELECT l.oseq, {', '.join(f'{e} AS e{o}' for o, e in enumerate(emit))}, z.* FROM (SELECT f.* REPLACE (f.i + 1 AS i) FROM {p}f f) z JOIN {v}l l ON l.cluster_id = z.cluster_id AND l.read_id = z.read_id WHERE z.i <= l.n))))"""),
+        (f"{p}b", f"""SELECT cluster_id, read_id, n AS i, {scaled}, ln(s) AS ls FROM (SELECT *, {every} AS s FROM (SELECT *, {', '.join(down)} FROM (SELECT *, {close} FROM (SELECT cluster_id, read_id, n, n AS i, {ones} FROM {v}l))))
+      UNION ALL SELECT cluster_id, read_id, i, {scaled}, ls + ln(s) AS ls FROM (SELECT *, {every} AS s FROM (SELECT *, {', '.join(down)} FROM (SELECT *, {close} FROM (SELECT cluster_id, read_id, i - 1 AS i, ls, {raw} FROM (SELECT *, {back} FROM (
+        SELECT z.*, {', '.join(f"{e.replace('i, 1', 'z.i, 1').replace('[i +', '[z.i +')} AS e{o}" for o, e in enumerate(emit))} FROM {p}b z JOIN {v}l l ON l.cluster_id = z.cluster_id AND l.read_id = z.read_id WHERE z.i > 0))))))"""),
+        (f"{p}s", f"SELECT f.cluster_id, f.read_id, f.ls + ln({' + '.join(f'f.{x}' for x in names)}) AS llh FROM {p}f f JOIN {v}l l ON l.cluster_id = f.cluster_id AND l.read_id = f.read_id WHERE f.i = l.n"),
+        (f"{p}q", f"""SELECT cluster_id, read_id, i, CAST(unnest(range(0, 5)) AS INT) AS o, unnest([{', '.join(f'fm{o} * bm{o} * exp(fs + bs - llh)' for o in range(5))}]) AS post FROM (
+        SELECT f.cluster_id, f.read_id, f.i, f.ls AS fs, b.ls AS bs, s.llh, {', '.join(f'f.m{o} AS fm{o}, b.m{o} AS bm{o}' for o in range(5))} FROM {p}f f JOIN {p}b b ON b.cluster_id = f.cluster_id AND b.read_id = f.read_id AND b.i = f.i JOIN {p}s s ON s.cluster_id = f.cluster_id AND s.read_id = f.read_id WHERE f.i > 0)"""),
+    ]
+
+
 _COUNTED = ", ".join(f"CAST(sum(CAST(base = '{b}' AS INT)) AS BIGINT) AS c{b}" for b in "ACGT")
 
 
@@ -286,6 +318,7 @@ _CHAIN = [
       SELECT a.cluster_id, a.pos AS pos_i, b.pos AS pos_j, count(*) AS shared FROM err a JOIN err b ON a.cluster_id = b.cluster_id AND a.read_id = b.read_id AND a.pos < b.pos GROUP BY 1, 2, 3) b USING (cluster_id, pos_i, pos_j)"""),
     *_viterbi_chain("v", "SELECT cluster_id, read_id, loc, oseq FROM ori"),
     *_viterbi_chain("w", "SELECT cluster_id, read_id, loc + a AS loc, substr(oseq, a + 1, b - a) AS oseq FROM inf WHERE b > a"),
+    *_posterior_chain("z", "v"),
     # the reads over the caps while there is no core, what is left without them, and where a thinned cluster's extension begins
     ("gon", f"SELECT e.cluster_id, e.read_id FROM (SELECT cluster_id, read_id, unnest(errs) AS pos FROM vo) e JOIN (SELECT cluster_id, min(pos) AS lo, max(pos) + 1 AS hi FROM pil GROUP BY cluster_id) s ON s.cluster_id = e.cluster_id AND e.pos >= s.lo AND e.pos < s.hi GROUP BY e.cluster_id, e.read_id HAVING count(*) >= {P.max_pre_corrected_errors}"),
     ("kpt", "SELECT o.* FROM ori o ANTI JOIN gon g ON g.cluster_id = o.cluster_id AND g.read_id = o.read_id"),
@@ -625,6 +658,35 @@ def fastx_roundtrip(spark, d):
     return back.select(F.regexp_extract("name", r"^read(-?\d+)$", 1).cast("long").alias("read_id"), "name", "seq")
 
 
+@query()
+def paired_store(spark, d):
+    """Mates written as FASTQ, two folders for each, read back as one paired store, masked in pairs, written with their numbers and read back: dropped
+    pairs leave gaps. A read's mate is the read backwards."""
+    from .sources import fastx, files
+
+    r = fixtures.raw_reads(spark, d).select("read_id", (F.col("doc_id") % 2).alias("half"), F.concat(F.lit("p"), "read_id").alias("name"), "seq")
+    r = sinks.materialize(r, "mates")
+    lists = []
+    for mate in (0, 1):
+        paths = [sinks.scratch(spark, f"mate{mate}_{half}.fq") for half in (0, 1)]
+        for half, path in enumerate(paths):
+            x = r.where(F.col("half") == half).select("read_id", F.concat("name", F.lit(f"/{mate + 1}")).alias("name"), F.reverse("seq").alias("seq") if mate else "seq")
+            sinks.write_fastq(x, path, "read_id")
+        lists.append(",".join(paths))
+    store = sinks.materialize(fastx.read_store(spark, *lists), "store")
+    path = sinks.scratch(spark, "masked.fa")
+    sinks.write_masked(mask.mask_pairs(store.select("read_id", "seq", F.floor(F.col("read_id") / 2).alias("pair"))), path)
+    return files.read_masked(spark, path).join(store.select("read_id", "mate", "name"), "read_id").select("read_id", "mate", "name", "seq")
+
+
+_SQL["paired_store"] = f"""WITH {fixtures.RAW_SQL},
+num AS (SELECT *, row_number() OVER (ORDER BY doc_id % 2, read_id) - 1 AS pair FROM raw_reads),
+sto AS (SELECT 2 * pair AS read_id, 0 AS mate, 'p' || read_id || '/1' AS name, seq FROM num UNION ALL SELECT 2 * pair + 1, 1, 'p' || read_id || '/2', reverse(seq) FROM num),
+cuts AS (SELECT *, length(regexp_extract(upper(seq), '^(.*?N[^N]{{0,3}}N[^N]{{0,3}}N[^N]{{0,3}}N)', 1)) - 1 AS cut_at FROM sto),
+mas AS (SELECT read_id, mate, name, CASE WHEN cut_at < 0 THEN seq WHEN cut_at > 35 THEN substr(seq, 1, cut_at) END AS m FROM cuts)
+SELECT read_id, mate, name, {_CHOICE} AS seq FROM (SELECT *, bool_and(m IS NOT NULL) OVER (PARTITION BY read_id // 2) AS ok FROM mas) WHERE ok"""
+
+
 @query(f"SELECT o.cluster_id, o.read_id, round(o.llh, 9) AS llh, o.corrected, o.n_sub, o.n_del, o.n_ins, o.first >= c.core_lo AND o.last < c.core_hi AS fitted, o.first >= c.core_lo AND o.last < c.core_hi AND o.llh > {P.cluster_llh} AND o.n_sub + o.n_del + o.n_ins < {P.max_corrections} AS ok FROM vo o JOIN cor c ON c.cluster_id = o.cluster_id")
 def viterbi_correct(spark, d):
     """Gapped correction of the first round's gathered reads: banded alignment, then the caps."""
@@ -739,6 +801,15 @@ def spectral_filter(spark, d):
     return spectral.filter_reads(f.aligned(), f.cores(), pileup.spans(f.counted()), P)
 
 
+@query("SELECT p.cluster_id, p.pos, " + ", ".join(f"round(coalesce(sum(z.post) FILTER (z.base = '{b}'), 0), 6) AS v{b}" for b in "ACGT") + """ FROM (SELECT cluster_id, unnest(range(min(pos), max(pos) + 1)) AS pos FROM pil GROUP BY cluster_id) p
+  LEFT JOIN (SELECT q.cluster_id, l.loc + q.i - 1 + q.o - 2 AS pos, substr(l.oseq, CAST(q.i AS INT), 1) AS base, q.post FROM zq q JOIN vl l ON l.cluster_id = q.cluster_id AND l.read_id = q.read_id) z ON z.cluster_id = p.cluster_id AND z.pos = p.pos GROUP BY p.cluster_id, p.pos""")
+def expected_counts(spark, d):
+    """Posteriors over all alignments in the band, added up: the expected bases of each column (the E step of the learning)."""
+    f = Flow(spark, d)
+    out = em.expected_counts(f.oriented(), f.counted(), P)
+    return out.select("cluster_id", "pos", *(F.round(f"v{b}", 6).alias(f"v{b}") for b in dna.BASES))
+
+
 @query()
 def em_profile(spark, d):
     """Soft counts of each column after stepwise EM."""

@@ -32,9 +32,19 @@ def read_fastx(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return g.where("name != '' or seq is not null").select("file", "record", F.regexp_replace("name", "^[@>]", "").alias("name"), F.coalesce("seq", F.lit("")).alias("seq"))
 
 
+def in_one(records: DataFrame) -> DataFrame:
+    """records of read_fastx() with record counted over all files, by the order of their names: a folder that Spark wrote reads as one file.
+
+    Only each file's count is gathered and added up (a row for each file). An empty file has no records; no files, no rows."""
+    n = records.groupBy("file").agg((F.max("record") + 1).alias("n"))
+    before = n.select(F.col("file").alias("f"), (F.sum("n").over(W.orderBy("file")) - F.col("n")).alias("before"))
+    return records.join(before, F.col("file") == F.col("f")).withColumn("record", F.col("record") + F.col("before")).drop("f", "before")
+
+
 def read_store(spark: SparkSession, first: str, second: str | None = None) -> DataFrame:
     """read_id, mate, name, seq of comma-separated lists of files. File i of the second list pairs with file i of the first:
-    read_id = 2 * pair + mate; without a second list it is the record's number. Pairs are numbered over the lists in order."""
+    read_id = 2 * pair + mate; without a second list it is the record's number. Pairs are numbered over the lists in order. A folder
+    on a list counts as one file of all its parts."""
     lists = [x for x in (first, second) if x]
     files = [[f for f in x.split(",") if f] for x in lists]
     if len({len(x) for x in files}) != 1:
@@ -43,7 +53,7 @@ def read_store(spark: SparkSession, first: str, second: str | None = None) -> Da
     for group in zip(*files):
         counts = []
         for mate, f in enumerate(group):
-            r = read_fastx(spark, f)
+            r = in_one(read_fastx(spark, f))
             counts.append(r.count())
             r = r.select(((F.col("record") + base) * len(lists) + mate).alias("read_id"), F.lit(mate).alias("mate"), "name", "seq")
             out = r if out is None else out.unionByName(r)

@@ -62,6 +62,12 @@ def write_fasta(df: DataFrame, path: str) -> None:
     df.select(F.concat(F.lit(">"), "name", F.lit("\n"), "seq")).write.text(path)
 
 
+def write_fastq(df: DataFrame, path: str, key: str) -> None:
+    """name, seq in the order of key (which is not written), each base of quality I. A null sequence is written as an empty one."""
+    seq = F.coalesce("seq", F.lit(""))
+    df.orderBy(key).select(F.concat(F.lit("@"), "name", F.lit("\n"), seq, F.lit("\n+\n"), F.repeat(F.lit("I"), F.length(seq)))).write.text(path)
+
+
 def write_masked(df: DataFrame, path: str) -> None:
     """read_id, seq in id order."""
     write_fasta(df.orderBy("read_id").select(F.col("read_id").cast("string").alias("name"), "seq"), path)

@@ -392,3 +392,55 @@ def test_em_sharpens_a_column():
     soft = em.learn(0, counts, seqs, [0] * 10, (0, 0), 0.01)
     assert "".join("ACGT"[i] for i in soft.argmax(1)) == core
     assert np.array_equal(soft, em.learn(0, counts, seqs, [0] * 10, (0, 0), 0.01))
+
+
+def test_groups_over_many_small_batches(spark):
+    """Clusters that lie in several Arrow batches, pairs that share none left out, one column alone."""
+    r = np.random.default_rng(6)
+    want, rows = set(), []
+    for c in range(40):
+        n = int(r.integers(1, 7))
+        cols = sorted(r.choice(90, n, replace=False).tolist())
+        shared = np.triu(r.integers(0, 9, (n, n)), 1)
+        shared = shared + shared.T
+        rows += [(c, cols[i], cols[j], int(shared[i, j]) if i != j else 5) for i in range(n) for j in range(i, n) if i == j or shared[i, j]]
+        if n > 1:
+            want |= {(c, cols[m], len(g)) for g in spectral.column_groups(shared) if len(g) > 1 for m in g}
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = spectral.grouped_columns(spark.createDataFrame(rows, "cluster_id long, pos_i long, pos_j long, shared long")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert {(x.cluster_id, x.pos, x.size) for x in got} == want and len(got) == len(want)
+    assert spectral.grouped_columns(spark.createDataFrame([], "cluster_id long, pos_i long, pos_j long, shared long")).isEmpty()
+
+
+def test_em_of_many_clusters_equals_one_by_one(monkeypatch):
+    """Clusters of different spans, numbers and lengths of reads, with and without a core, that end after different numbers of sweeps."""
+    r = np.random.default_rng(9)
+    made, want = [], []
+    for c in range(12):
+        width, start = int(r.integers(20, 60)), int(r.integers(-30, 5))
+        truth = r.integers(0, 4, width)
+        seqs, est = [], []
+        for _ in range(int(r.integers(0 if c == 5 else 1, 70))):
+            size = int(r.choice([6, 9, 12]))
+            at = int(r.integers(0, width - size))
+            s = truth[at : at + size].copy()
+            if r.random() < 0.4:
+                s[r.integers(size)] = r.integers(4)
+            seqs.append(s)
+            est.append(start + at)
+        if c == 5:
+            seqs, est = [], []
+        counts = np.zeros((width, 4))
+        for s, e in zip(seqs, est):
+            counts[e - start + np.arange(len(s)), s] += 1
+        core = [(0, 0), (start, start + width), (start + 4, start + width - 6)][c % 3]
+        made.append(em.Cluster(start, counts, seqs, est, core))
+        want.append(em.learn(start, counts, seqs, est, core, 0.01, sweeps=30))
+    monkeypatch.setattr(em, "READS_AT_ONCE", 50)
+    for got in (em.learn_many(made, 0.01, sweeps=30), [em.learn_many([x], 0.01, sweeps=30)[0] for x in made]):
+        assert all(np.allclose(a, b, atol=1e-9) for a, b in zip(got, want))
+    assert em.learn_many([], 0.01) == []

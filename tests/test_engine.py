@@ -185,3 +185,85 @@ def test_parameters_are_checked():
     for bad in ({"k": 32}, {"k": 0}, {"failure_limit": 256}):
         with pytest.raises(ValueError):
             Params(**bad)
+
+
+def test_places_and_hits_give_the_same_first_hit(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(4)
+    h = spark.createDataFrame([(r.randrange(3), r.randrange(4), r.randrange(50), r.randrange(-9, 9), r.random() < 0.5) for _ in range(200)], "cluster_id long, read_id long, k_end int, loc int, rc boolean")
+    places = h.groupBy("cluster_id", "read_id", "loc", "rc").agg(F.min("k_end").alias("k_end"), F.count("*").alias("n"))
+    assert sorted(map(tuple, gather.first_places(places).collect())) == sorted(map(tuple, gather.first_hits(h).collect()))
+
+
+def test_thinned_clusters_begin_at_their_largest_start(spark):
+    kept = spark.createDataFrame([(1, 10, 0), (1, 11, 7), (1, 12, -3), (2, 20, 9), (3, 30, 5)], "cluster_id long, read_id long, loc int")
+    gone = spark.createDataFrame([(1, 13), (1, 14), (3, 31), (4, 40)], "cluster_id long, read_id long")
+    live = spark.createDataFrame([(1, 0, 0, ""), (2, 0, 0, ""), (3, -5, 40, "A" * 45), (4, 0, 0, "")], "cluster_id long, core_lo int, core_hi int, core string")
+    assert sorted(map(tuple, gather.anchors(kept, gone).collect())) == [(1, 7), (3, 5)]
+    assert sorted(map(tuple, gather.anchored(live, kept, gone).drop("core").collect())) == [(1, 7, 7), (2, 0, 0), (3, -5, 40), (4, 0, 0)]
+    assert sorted(map(tuple, gather.moved(kept, gather.anchors(kept, gone), "loc").collect())) == [(1, 10, -7), (1, 11, 0), (1, 12, -10), (2, 20, 9), (3, 30, 0)]
+    none = kept.where("false")
+    assert sorted(map(tuple, gather.anchored(live, none, gone).collect())) == sorted(map(tuple, live.collect())) and gather.anchors(none, gone).isEmpty()
+
+
+def test_cores_grow_on_both_sides_and_only_their_ends_are_probed(spark):
+    from seqloom.plans.correct import probes_of
+
+    live = spark.createDataFrame([(1, 0, 30, "C" * 30), (2, 4, 4, ""), (3, 0, 5, "GGGGG")], "cluster_id long, core_lo int, core_hi int, core string")
+    new = spark.createDataFrame([(1, -1, "A"), (1, -2, "T"), (1, 30, "G"), (2, 3, "A"), (2, 4, "C"), (2, 5, "G")], "cluster_id long, pos int, letter string")
+    grown = gather.spliced(live, new)
+    assert sorted(map(tuple, grown.collect())) == [(1, -2, 31, "TA" + "C" * 30 + "G", 0, 30), (2, 3, 6, "ACG", 4, 4), (3, 0, 5, "GGGGG", 0, 5)]
+    got = sorted((x.cluster_id, x.at, x.core) for x in probes_of(grown, 4).collect())
+    assert got == [(1, -2, "TACCC"), (1, 27, "CCCG"), (3, 0, "GGGGG")]  # the ends of the last one meet
+    assert sorted((x.cluster_id, x.at, x.core) for x in probes_of(grown, 3).collect()) == [(1, -2, "TACC"), (1, 28, "CCG"), (2, 3, "ACG")]
+
+
+def test_extension_of_both_sides_at_once(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(7)
+    rows = [(c, i, r.choice([0.1, 0.1, 0.1, 0.7]), a, a + n) for c in range(30) for a, n in [(r.randrange(-3, 3), r.randrange(4))] for i in range(-9, 12) if r.random() < 0.95]
+    p = spark.createDataFrame(rows, "cluster_id long, pos int, entropy double, core_lo int, core_hi int")
+    want = gather.core_prefix(p, 0.6, F.col("core_hi"), True).unionByName(gather.core_prefix(p, 0.6, F.col("core_lo"), False))
+    assert sorted(map(tuple, gather.extension(p, 0.6).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_positions_of_all_kinds(spark):
+    edits = "read_id long, rc boolean, edits array<struct<pos:int,kind:string,bases:string>>"
+    c = spark.createDataFrame([(1, False, [(3, "M", "AC"), (5, "D", "G")]), (2, True, [(0, "I", "T")]), (3, False, []), (4, False, None), (9, True, [(1, "M", "AC")])], edits)
+    reads = spark.createDataFrame([(1, "ACGTACGT"), (2, "ACGT"), (3, "A"), (4, "A")], "read_id long, seq string")
+    assert sorted(map(tuple, claims.positions(c, reads).collect())) == [(1, 3, "M", "AC"), (1, 5, "D", "G"), (2, 3, "I", "T")]
+
+
+def test_odd_rows_of_relational_steps(spark):
+    from seqloom.operators import ungapped
+
+    kind = "cluster_id long, read_id long, loc int, oseq string"
+    placed = spark.createDataFrame([(1, 1, 0, "AC"), (1, 1, 0, "AC"), (1, 2, 0, None), (1, 3, None, "AC"), (1, 4, 5, ""), (None, 5, 0, "A"), (1, 6, 1, "N")], kind)
+    b = pileup.bases(placed)
+    assert sorted(map(tuple, pileup.counts(b.where("cluster_id = 1")).collect())) == [(1, 0, 2, 0, 0, 0), (1, 1, 0, 2, 0, 0)]
+    none = placed.where("false")
+    assert pileup.counts(pileup.bases(none)).isEmpty() and pileup.spans(pileup.counts(b)).count() == 2
+    prof = pileup.profile(pileup.counts(b))
+    cmp = ungapped.compared(b, prof)
+    assert {x.cluster_id for x in cmp.collect()} == {1} and ungapped.attempts(cmp.where("false")).isEmpty()
+    assert ungapped.positions(cmp, spark.createDataFrame([], "read_id long, cluster_id long, won boolean"), placed).isEmpty()
+    tries = spark.createDataFrame([(1, 2, "A"), (1, 2, "A"), (1, 3, None), (None, 1, "A"), (2, None, "A")], "read_id long, cluster_id long, corrected string")
+    assert sorted(map(tuple, claims.first_claim(tries).collect())) == [(1, 2, True, True), (1, 2, True, True), (1, 3, False, False)]
+    assert claims.first_claim(tries.where("false")).isEmpty()
+    assert sorted(map(tuple, claims.saturate(spark.createDataFrame([(None,), (1,)], "read_id long")).collect())) == [(1, 1)]
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, "NNNNN"), (4, "ACN"), (4, "ACN")], "read_id long, seq string")
+    assert sorted((x.read_id, len(x.seq)) for x in mask.mask(rows).collect()) == [(2, 0), (4, 3), (4, 3)]
+
+
+def test_store_of_folders_is_numbered_over_their_parts(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"r{i}", "ACGT" * (i % 3)) for i in range(40)], "n long, name string, seq string").repartition(5)
+    paths = []
+    for k, where in enumerate(("n < 25", "n >= 25")):
+        sinks.write_fastq(rows.where(where), str(tmp_path / f"{k}.fq"), "n")
+        paths.append(str(tmp_path / f"{k}.fq"))
+    got = fastx.read_store(spark, ",".join(paths)).orderBy("read_id").collect()
+    assert [(x.read_id, x.name, x.seq) for x in got] == [(i, f"r{i}", "ACGT" * (i % 3)) for i in range(40)]
+    both = fastx.read_store(spark, ",".join(paths), ",".join(paths)).orderBy("read_id").collect()
+    assert [(x.read_id, x.mate, x.name) for x in both] == [(2 * i + m, m, f"r{i}") for i in range(40) for m in (0, 1)]
