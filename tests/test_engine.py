@@ -237,6 +237,8 @@ def test_positions_of_all_kinds(spark):
 
 
 def test_odd_rows_of_relational_steps(spark):
+    from pyspark.sql import functions as F
+
     from seqloom.operators import ungapped
 
     kind = "cluster_id long, read_id long, loc int, oseq string"
@@ -248,7 +250,7 @@ def test_odd_rows_of_relational_steps(spark):
     prof = pileup.profile(pileup.counts(b))
     cmp = ungapped.compared(b, prof)
     assert {x.cluster_id for x in cmp.collect()} == {1} and ungapped.attempts(cmp.where("false")).isEmpty()
-    assert ungapped.positions(cmp, spark.createDataFrame([], "read_id long, cluster_id long, won boolean"), placed).isEmpty()
+    assert ungapped.positions(cmp, spark.createDataFrame([], "read_id long, cluster_id long, won boolean"), placed.withColumn("rc", F.lit(False))).isEmpty()
     tries = spark.createDataFrame([(1, 2, "A"), (1, 2, "A"), (1, 3, None), (None, 1, "A"), (2, None, "A")], "read_id long, cluster_id long, corrected string")
     assert sorted(map(tuple, claims.first_claim(tries).collect())) == [(1, 2, True, True), (1, 2, True, True), (1, 3, False, False)]
     assert claims.first_claim(tries.where("false")).isEmpty()
