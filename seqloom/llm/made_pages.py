@@ -117,6 +117,22 @@ class _Maker:
         out.append(f"</{tag}>")
         return "".join(out)
 
+    def thread(self, depth: int = 0) -> str:
+        """Reader comments as elements of their own, named like an article's or not at all, with headers, paragraphs and replies inside; only the
+        thread's name says what they are."""
+        made = []
+        for _ in range(int(self.r.integers(1, 6 - 2 * depth))):
+            tag = self.pick(["article", "article", "div", "li", "section"])
+            head = self.pick([f"<header>{OTHER}{self.words(1, 3)}</header>", f"<h4>{OTHER}{self.words(1, 3)}</h4>", f"<cite>{OTHER}{self.words(1, 2)}</cite>", ""])
+            text = "".join(f"<p>{OTHER}{self.words(3, 90)}</p>" for _ in range(int(self.r.integers(1, 4)))) if self.chance(0.8) else OTHER + self.words(3, 60)
+            if self.chance(0.3):
+                text = f"<div{self.attrs(_MAIN_CLASSES + ['comment-body'], 1.0)}>{text}</div>"
+            replies = self.thread(depth + 1) if depth == 0 and self.chance(0.2) else ""
+            made.append(f"<{tag}{self.attrs(_CLASSES['comments'] + _MAIN_CLASSES, 0.4)}>{head}{text}{replies}</{tag}>")
+        title = f"<{(h := self.pick(['h2', 'h3', 'h4']))}>{OTHER}{self.said('comments', True)}</{h}>" if self.chance(0.6) else ""
+        outer = self.pick(["div", "div", "section", "ol", "ul"])
+        return f"<{outer}{self.attrs(_CLASSES['comments'], 1.0)}>{title}{''.join(made)}</{outer}>"
+
     def paragraph(self, text: str) -> str:
         """A paragraph, now and then unclosed or with inline elements that are."""
         start, end = self.pick([("<p>", "</p>")] * 6 + [("<p>", ""), ("<p><i>", "<br></p>"), ("<p><strong>", "</p>"), ("<p>", "<br>"), (f"<p{self.attrs(['lead', 'intro', 'first', 'summary'], 1.0)}>", "</p>"), ("<p><em>", "</em></p>"), ("<p><span>", "")])
@@ -150,6 +166,9 @@ class _Maker:
                 out.append(f"<figure><img src=\"{self.word()}.png\"><figcaption>{MAIN}{self.words(2, 15)}</figcaption></figure>" if self.chance(0.5) else f"<pre><code>{text}</code></pre>")
             else:
                 out.append(f"<div>{text}</div>")
+        if self.chance(0.25):
+            # an article may end in a word or two, or in words that stand in footers elsewhere
+            out.append(f"<p>{MAIN}{self.words(1, 3) if self.chance(0.6) else ' '.join(self.pick(_HINTS['footer']) for _ in range(int(self.r.integers(1, 4)))).capitalize() + '.'}</p>")
         return out
 
     def head(self) -> str:
@@ -187,6 +206,8 @@ class _Maker:
         middle = a + self.pick(["", "\n"]).join(inside) + b
         before = [self.other(k) for k in ("notice", "head", "nav", "ad", "side", "nav", "form") if self.chance(0.45)]
         after = [self.other(k) for k in ("comments", "side", "ad", "form", "nav", "notice", "comments") if self.chance(0.3)]
+        if self.chance(0.25):
+            after.append(self.thread())
         if self.chance(0.3):
             self.r.shuffle(after)
         if self.chance(0.8):

@@ -262,3 +262,12 @@ def test_pipeline_of_empty_tables_and_clashing_names(spark, tmp_path):
             kept = stage(spark, kept, str(d))
         assert kept.columns == df.columns and kept.count() <= df.count()
         assert corpus_pipeline.STAGES[-1][1](spark, kept, str(d)).count() == kept.count()
+
+
+def test_comments_in_elements_named_like_articles_are_left_out():
+    m = extraction.fit()
+    comments = "<div id='comments'><h3>Comments</h3><article><header>Ann</header><p>I have kept bees for ten years and never saw this happen anywhere.</p></article><article class='comment'><p>Great read, thanks for writing about the hives.</p><p>Second paragraph of my comment.</p></article></div>"
+    page = f"<html><body><nav><a href=/>Home</a></nav><div class='content'><h1>On bees</h1><p>Bees fly far and make honey in the summer months.</p><p>They live in hives with many others.</p></div>{comments}<footer>Copyright 2020</footer></body></html>"
+    thread = "<section class='comment-list'><ol><li><article class='body'><h4>Bob</h4><div class='content'><p>This is what I think about the article and its claims.</p></div></article></li></ol></section>"
+    other = f"<body><main><article><h1>Title</h1><p>One paragraph here with words.</p><p>All rights reserved.</p></article>{thread}</main></body>"
+    assert extraction.main_texts(m, [page, other]) == ["On bees\n\nBees fly far and make honey in the summer months.\n\nThey live in hives with many others.", "Title\n\nOne paragraph here with words.\n\nAll rights reserved."]
