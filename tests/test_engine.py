@@ -269,3 +269,12 @@ def test_store_of_folders_is_numbered_over_their_parts(spark, tmp_path):
     assert [(x.read_id, x.name, x.seq) for x in got] == [(i, f"r{i}", "ACGT" * (i % 3)) for i in range(40)]
     both = fastx.read_store(spark, ",".join(paths), ",".join(paths)).orderBy("read_id").collect()
     assert [(x.read_id, x.mate, x.name) for x in both] == [(2 * i + m, m, f"r{i}") for i in range(40) for m in (0, 1)]
+
+
+def test_usable_reads_are_not_written_first(spark):
+    """A filter on reads meets them behind the explode that makes them, and nothing goes to the shared folder."""
+    from seqloom import queries
+
+    f = queries.Flow(spark, "/root/testdata/sf0.001")
+    plan = f.usable._jdf.queryExecution().optimizedPlan().toString()
+    assert not f.made and plan.count("Generate") == 2
