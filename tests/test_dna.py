@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -139,3 +140,22 @@ def test_admitted_seeds_share_no_kmer(spark):
 
 def test_pattern_is_plain():
     assert re.compile(dna.N_CHAIN)
+
+
+@pytest.mark.parametrize("k", [1, 3, 16, 17, 31])
+def test_codes_of_arrays_are_the_windows(spark, k):
+    """Also of a slice, with other letters, null and short texts; and the spectrum counts repeated rows each."""
+    rng = random.Random(k)
+    texts = ["".join(rng.choice("ACGTACGTACGTNac") for _ in range(rng.randrange(120))) for _ in range(60)] + ["", "A" * 40, "ACGT\nACGT" * 5, None]
+    df = spark.createDataFrame(list(enumerate(texts + texts[:9])), "read_id long, seq string")
+    rows = df.select("read_id", kmers._plain(F.col("seq")).alias("seq")).orderBy("read_id").toArrow().to_batches()
+    got = []
+    for b in rows:
+        n, end, kmer, forward = kmers.codes(b.column("seq")[1:], k)
+        got += zip(b.column("read_id")[1:].take(pa.array(n)).to_pylist(), end.tolist(), kmer.tolist(), forward.tolist())
+    want = kmers.windows(df.where("read_id > 0"), k).select("read_id", "end", "kmer", "forward")
+    assert sorted(got) == sorted(map(tuple, want.collect()))
+    counts = kmers.windows(df, k).groupBy("kmer").count()
+    assert sorted(map(tuple, kmers.spectrum(df, k).collect())) == sorted(map(tuple, counts.collect()))
+    text = kmers.as_text(counts.select("kmer"), k).select("kmer", dna.encode(F.col("kmer")).alias("code"))
+    assert {(t, sum("ACGT".index(c) << 2 * i for i, c in enumerate(reversed(t)))) for t, _ in text.collect()} == set(map(tuple, text.collect()))
