@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from seqloom.operators import claims, gather, mask, pileup
 from seqloom.params import Params
@@ -278,3 +279,37 @@ def test_usable_reads_are_not_written_first(spark):
     f = queries.Flow(spark, "/root/testdata/sf0.001")
     plan = f.usable._jdf.queryExecution().optimizedPlan().toString()
     assert not f.made and plan.count("Generate") == 2
+
+
+def test_seeds_and_hits_without_the_index(spark, monkeypatch):
+    """The same as over the whole index, also where reads repeat and where most bits of the maps are set; the index is not written."""
+    from seqloom import queries
+    from seqloom.operators import kmers
+
+    f = queries.Flow(spark, "/root/testdata/sf0.001")
+    some = f.lazy.where("doc_id < 40").select("read_id", "seq")
+    other = some.select((F.col("read_id") + 15).alias("read_id"), "seq").limit(50)  # ids that come again with other bases
+    f.lazy = sinks.materialize(some.unionByName(other).repartition(5), "again")
+    monkeypatch.setattr(kmers, "MOST", 12)
+    monkeypatch.setattr(kmers, "SEGMENT", 9)
+    posts = kmers.postings(f.usable, queries.K, f.counts(), queries.P.kmer_low_complexity)
+    seeds = kmers.admit(posts)
+    assert sorted(f.seeds().collect()) == sorted(seeds.collect()) != []
+    cores = seeds.join(f.usable, "read_id").select(F.col("read_id").alias("cluster_id"), F.col("seq").alias("core"))
+    whole = gather.overhang(gather.hits(cores, posts, f.usable, queries.K), F.lit(0))
+    assert sorted(f.hits().collect()) == sorted(whole.collect())
+    assert not {"postings", "reads"} & set(f.made)
+
+
+def test_records_are_put_together_where_their_lines_lie(spark, tmp_path):
+    """Only records that a split's edge cuts are shuffled: of one split, none. Cut ones come out whole."""
+    lines = [x for i in range(3000) for x in (f">r{i}", "ACGT" * (i % 9))] + [">last"]
+    (tmp_path / "a.fa").write_text("\n".join(lines) + "\n")
+    want = sorted((i, f"r{i}", "ACGT" * (i % 9)) for i in range(3000)) + [(3000, "last", "")]
+    assert fastx.in_pieces(fastx.told_lines(spark, str(tmp_path / "a.fa")), False).count() == 1
+    for size in ("128m", "700b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            assert sorted(map(tuple, fastx.read_fastx(spark, str(tmp_path / "a.fa")).select("record", "name", "seq").collect())) == want
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
