@@ -159,3 +159,32 @@ def test_codes_of_arrays_are_the_windows(spark, k):
     assert sorted(map(tuple, kmers.spectrum(df, k).collect())) == sorted(map(tuple, counts.collect()))
     text = kmers.as_text(counts.select("kmer"), k).select("kmer", dna.encode(F.col("kmer")).alias("code"))
     assert {(t, sum("ACGT".index(c) << 2 * i for i, c in enumerate(reversed(t)))) for t, _ in text.collect()} == set(map(tuple, text.collect()))
+
+
+def test_masks_equal_a_read_by_read_rule(spark):
+    """Lower case, several bytes a character, empty, null and rejected reads in one batch, negative and null ids; only batches of bytes go through Python."""
+    r = random.Random(4)
+    rows = [(i - 40 if i % 9 else None, i // 3, None if i % 17 == 0 else "".join(r.choice(letters) for _ in range(r.choice([0, 1, 4, 36, 37, 40, 75])))) for i in range(400) for letters in (["ACGTNACGTACGTACGTACG", "nNé", "AcgTÀ日n"][i % 3],)]
+
+    def rule(rid, seq, fill):
+        if seq is None:
+            return None, None
+        n = [i for i, c in enumerate(seq) if c in "nN"]
+        cut = next((n[j + 3] for j in range(len(n) - 3) if all(n[k + 1] - n[k] <= 4 for k in range(j, j + 3))), -1)
+        if 0 <= cut <= 35:
+            return cut, None
+        kept = seq[:cut] if cut > 0 else seq
+        if not fill:
+            return cut, kept
+        base = lambda i: "" if rid is None else "ACGT"[(rid * 31 + i * 7 + int(rid / 13)) % 4]
+        return cut, "".join(base(i) if c in "nN" else c for i, c in enumerate(kept))
+
+    df = spark.createDataFrame(rows, "read_id long, pair long, seq string").coalesce(1)
+    out = mask.cut(df)
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    key = lambda x: tuple((y is not None, y) for y in x)
+    assert sorted(((x.read_id, x.seq, x.cut_at, x.masked) for x in out.collect()), key=key) == sorted(((i, s, *rule(i, s, False)) for i, _, s in rows), key=key)
+    done = [(i, p, rule(i, s, True)[1]) for i, p, s in rows]
+    assert sorted(map(tuple, mask.mask(df).collect()), key=key) == sorted(((i, s) for i, _, s in done if s is not None), key=key)
+    bad = {p for _, p, s in done if s is None}
+    assert sorted(map(tuple, mask.mask_pairs(df).collect()), key=key) == sorted((x for x in done if x[1] not in bad), key=key) and bad
