@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dna
 from . import fastx
 
 
 def read_kmer_counts(spark: SparkSession, path: str) -> DataFrame:
-    """kmer, n of lines "KMER count"; rows whose k-mer is not of A, C, G, T are rejected."""
-    x = spark.read.csv(path, sep=" ", schema="kmer string, n bigint")
-    return x.where(dna.encode(F.col("kmer")).isNotNull())
+    """kmer, n of lines "KMER count"; rows whose k-mer is not of A, C, G, T are rejected, a count that is no number is null."""
+    x = spark.read.text(path).where(F.col("value").rlike("^[ACGTacgt]+( |$)"))
+    end = F.instr("value", " ")
+    count = F.substring_index(F.substring("value", end + 1, F.length("value")), " ", 1).try_cast("long")
+    return x.select(F.substring_index("value", " ", 1).alias("kmer"), F.when(end > 0, count).alias("n"))
 
 
 def read_masked(spark: SparkSession, path: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import dna
 from seqloom.operators import kmers, mask
+from seqloom.sources import files
 
 
 def rc(s):
@@ -188,3 +189,43 @@ def test_masks_equal_a_read_by_read_rule(spark):
     assert sorted(map(tuple, mask.mask(df).collect()), key=key) == sorted(((i, s) for i, _, s in done if s is not None), key=key)
     bad = {p for _, p, s in done if s is None}
     assert sorted(map(tuple, mask.mask_pairs(df).collect()), key=key) == sorted((x for x in done if x[1] not in bad), key=key) and bad
+
+
+def test_encoded_equals_encode(spark, tmp_path):
+    """Numbers from whole batches of texts, of any case and length; the count file is read as lines, without a parser and a number for each k-mer."""
+    r = random.Random(8)
+    rows = [(None,), ("",), ("ACGN",), ("acgT",), ("é",), ("A" * 31,), ("T" * 31,), ("A" * 40,)] + [("".join(r.choice("ACGT") for _ in range(r.randint(1, 31))),) for _ in range(500)]
+    df = spark.createDataFrame(rows, "kmer string").coalesce(1).select("kmer", kmers.encoded(F.col("kmer")).alias("code"))
+    want = {s: int(s.upper().translate(str.maketrans("ACGT", "0123")), 4) if s and len(s) < 32 and set(s.upper()) <= set("ACGT") else None for (s,) in rows}
+    assert dict(map(tuple, df.collect())) == want
+    (tmp_path / "c").write_text("ACGT 3\nacgt 4 x\nANC 5\n\nCC\nGG y\n AC 2\nTT  6\n")
+    got = files.read_kmer_counts(spark, str(tmp_path / "c"))
+    assert sorted(map(tuple, got.collect()), key=str) == [("ACGT", 3), ("CC", None), ("GG", None), ("TT", None), ("acgt", 4)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Scan text" in plan and "conv(" not in plan
+
+
+def test_spectrum_adds_up_over_tasks_and_batches(spark):
+    """A k-mer that many tasks hold, whose rows fall into several batches of the task that adds them up; what is shuffled is shares, not k-mers."""
+    r = random.Random(2)
+    seqs = ["".join(r.choice("ACGT") for _ in range(40)) for _ in range(60)] * 2 + ["ACGTTTACGA" * 3, None, "", "ACN"]
+    want = {}
+    for s in seqs:
+        for i in range(len(s or "") - 8):
+            if "N" not in s[i : i + 9]:
+                w = min(s[i : i + 9], rc(s[i : i + 9]))
+                want[w] = want.get(w, 0) + 1
+    df = spark.createDataFrame([(s,) for s in seqs], "seq string").repartition(8)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    try:
+        for size in ("3", "10000"):
+            spark.conf.set(key, size)
+            for least in (1, 2):
+                out = kmers.as_text(kmers.spectrum(df, 9, least), 9)
+                assert sorted(map(tuple, out.collect())) == sorted((w, n) for w, n in want.items() if n >= least)
+    finally:
+        spark.conf.set(key, old)
+    plan = kmers.spectrum(df, 9)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and "hashpartitioning(share" in plan and "hashpartitioning(kmer" not in plan
+    assert kmers.spectrum(df.where("false"), 9).isEmpty()
