@@ -162,6 +162,29 @@ def test_toxicity_held_out_accuracy(spark):
     assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == {i for i, x in got.items() if not x.flagged}
 
 
+def test_all_labelled_rows_are_learned_from_whatever_the_partitions(spark, monkeypatch):
+    """Several units and turns: every row that is neither held out, nor for calibration, nor a copy is in one piece, and every row for calibration is counted."""
+    rows = labelled(41, 700)
+    rows += [(5000 + i, x[1], x[2], x[3]) for i, x in enumerate(rows[:60])]
+    docs = spark.createDataFrame([x[:3] for x in rows] + [(i, t, None) for i, t in AWKWARD], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(x[0], x[3]) for x in rows], "doc_id long, toxic int")
+    p = toxicity.Params(visits=400, turn=60)
+    learned, turns, held = [], [], []
+    monkeypatch.setattr(toxicity, "_turn", lambda pieces, *x, f=toxicity._turn: (turns.append(1), f(pieces, *x)))
+    monkeypatch.setattr(toxicity, "_all_held_by", lambda pieces, p, f=toxicity._all_held_by: (learned.append(pieces.collect()), f(pieces, p))[1])
+    monkeypatch.setattr(toxicity, "_calibrate", lambda m, x, f=toxicity._calibrate: (held.append(x.count()), f(m, x)))
+    models = [toxicity.train(x, labels, p) for x in (docs.repartition(7), docs.coalesce(1))]
+    crc = lambda i: __import__("zlib").crc32(str(i).encode()) % 5
+    texts = {x[1] for x in rows if crc(x[0]) > 1}
+    for got in learned:
+        assert sum(len(r.y) for r in got) == len(texts) and len({r.unit for r in got}) > 1 and len({r.turn for r in got}) > 1
+    assert len(turns) > 4 and held == [sum(crc(x[0]) == 1 for x in rows)] * 2
+    a, b = (toxicity.score_texts(m, pa.array([x[1] for x in rows])) for m in models)
+    assert (a == b).all() and models[0].thresholds == models[1].thresholds
+    out = np.array([crc(x[0]) == 0 for x in rows])
+    assert ((a >= 0.5) == np.array([x[3] for x in rows]))[out].mean() > 0.93
+
+
 def test_toxic_word_at_the_end_of_a_long_text_counts():
     m = toxicity.fit([(x[3], x[1]) for x in labelled(2)], toxicity.Params())
     long = " ".join(f"bal{i % 40}" for i in range(400_000))
