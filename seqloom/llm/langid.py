@@ -26,13 +26,13 @@ TRIM = "0123456789.,;:!?%*&$#@~^_+=|/\\<>()[]{}'\"`-"
 
 @dataclass(frozen=True)
 class Params:
-    """vocabulary: a sentencepiece model file, of which only the list of pieces is used. docs_per_lang: the bound of the
-    fitted sample, at most so many documents of each language (whole texts); every language is learned. smoothing: the
+    """vocabulary: a sentencepiece model file, of which only the list of pieces is used. docs_per_lang: None to learn from all
+    documents, or at most so many documents of each language (whole texts); every language is learned. smoothing: the
     pseudo-count of each piece. floor: the probability of a character that no piece holds.
     min_score: below this the pipeline's stage rejects a document."""
 
     vocabulary: str
-    docs_per_lang: int = 400
+    docs_per_lang: int | None = None
     em_rounds: int = 3
     smoothing: float = 0.1
     floor: float = 1e-7
@@ -50,6 +50,15 @@ def pieces(path: str) -> list[str]:
     return [p for p in found if p == p.lower() and any(c.isalpha() for c in p) and not any(c.isdigit() for c in p)]
 
 
+#: Whole numbers count uses in units of one over this, so that their sums do not depend on how words are dealt out.
+UNITS = 1 << 24
+
+
+def _add(total: np.ndarray, at: np.ndarray, x: np.ndarray) -> None:
+    """Adds x to total at numbers that may repeat; in units if total has whole numbers."""
+    np.add.at(total, at, np.rint(x * UNITS).astype(np.int64) if total.dtype == np.int64 else x)
+
+
 class Lattice:
     """Which pieces match where in words; words are runs of code points that begin with the word mark."""
 
@@ -132,7 +141,7 @@ class Lattice:
             for j, found in enumerate(arcs[i]):
                 if found is not None and len(found[0]):
                     w, p = found
-                    np.add.at(total, p, alpha[i][w] * prob[p] * beta[i + j + 1][w] * scale[w])
+                    _add(total, p, alpha[i][w] * prob[p] * beta[i + j + 1][w] * scale[w])
 
     def _cut(self, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first block of each word, sizes of the blocks): words are cut into blocks of BLOCK characters and a last one of what is left."""
@@ -273,7 +282,7 @@ class Lattice:
                     w, p = found
                     step = prob[p] * ring[(i + j + 1) % width, w]
                     now[w] += step
-                    np.add.at(total, p, np.where(size[w] > i, share[w] * step, 0))
+                    _add(total, p, np.where(size[w] > i, share[w] * step, 0))
             on = size > i
             ring[i % width, on] = now[on]
             if i % RESCALE == 0:
@@ -356,6 +365,14 @@ class Model:
     floor: float
 
 
+def _uses(lattice: Lattice, strings: pa.Array, weight: np.ndarray, prob: np.ndarray, floor: float, total: np.ndarray) -> None:
+    """Adds the expected uses of each piece over all segmentations of words that occur weight times (one language)."""
+    for w, code in _by_length(strings):
+        lattice.expected(code, weight[w], prob, floor, total)
+    for w, code, size in _long(strings):
+        lattice.long_expected(code, size, weight[w], prob, floor, total)
+
+
 def fit(sample: list[tuple[str, str]], p: Params) -> Model:
     """Each language's piece probabilities by expectation-maximisation over all segmentations of the sample's words."""
     vocab = pieces(p.vocabulary)
@@ -370,10 +387,7 @@ def fit(sample: list[tuple[str, str]], p: Params) -> Model:
         q = np.full(len(vocab), 1 / len(vocab))
         for _ in range(p.em_rounds):
             total = np.full(len(vocab), p.smoothing)
-            for w, code in _by_length(strings):
-                lattice.expected(code, weight[w], q, p.floor, total)
-            for w, code, size in _long(strings):
-                lattice.long_expected(code, size, weight[w], q, p.floor, total)
+            _uses(lattice, strings, weight, q, p.floor, total)
             q = total / total.sum()
         prob[:, k] = q
     words.give_back()
@@ -406,9 +420,83 @@ def score_texts(model: Model, lattice: Lattice, texts: pa.Array) -> tuple[np.nda
     return best, score
 
 
+#: Words, and bytes of them, whose uses a task finds at a time.
+WORDS_HELD, BYTES_HELD = 200_000, 8 << 20
+
+
+def word_counts(rows: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """lang, word, n: how often the texts of each language hold each of clean_words(). Nulls in either take no part; repeated rows count each.
+
+    A batch's words are counted in the task before they are added up."""
+    common.bound_batches(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in words.slices(whole, "text"):
+                codes, off, strings = clean_words(part.column("text"))
+                lang = part.column("lang").dictionary_encode()
+                owner = np.repeat(lang.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.diff(off))
+                pair, n = np.unique(owner * max(len(strings), 1) + codes, return_counts=True)
+                owner, code = np.divmod(pair, max(len(strings), 1))
+                yield pa.RecordBatch.from_arrays([lang.dictionary.take(pa.array(owner)), strings.take(pa.array(code)).cast(pa.string()), pa.array(n.astype(np.int64))], ["lang", "word", "n"])
+
+    some = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
+    return some.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def fit_all(rows: DataFrame, p: Params, lang_col: str = "lang", text_col: str = "text") -> Model:
+    """fit() of all rows: words are counted once over the whole table; in each round of the expectation-maximisation tasks find the uses of
+    their words, which are added up by language and piece. What reaches the driver is at most a number for each language and piece.
+    Uses are whole numbers of small units, so that the model is the same however rows are dealt out."""
+    spark, vocab = rows.sparkSession, pieces(p.vocabulary)
+    langs = sorted(r[0] for r in rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(lang_col).distinct().collect())
+    # a few small rows are much work: they are spread by count, not by bytes
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    path = common.write(word_counts(rows, lang_col, text_col).repartition(parts, "word"), "words")
+    counts = spark.read.schema("lang string, word string, n long").parquet(path)
+    prob = np.full((len(vocab), len(langs)), 1 / len(vocab))
+    for _ in range(p.em_rounds if langs else 0):
+        shared = spark.sparkContext.broadcast((vocab, langs, prob))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            vocab, langs, prob = shared.value
+            lattice, numbers = Lattice(vocab), pa.array(langs, pa.string())
+            total: dict[int, np.ndarray] = {}
+
+            def count(held: list[pa.RecordBatch]) -> None:
+                t = pa.Table.from_batches(held).combine_chunks()
+                owner = pc.index_in(t.column("lang"), numbers).to_numpy()
+                for k in np.unique(owner).tolist():
+                    mine = t.filter(pa.array(owner == k)).combine_chunks()
+                    strings = mine.column("word").combine_chunks()
+                    _uses(lattice, strings, mine.column("n").to_numpy().astype(float), prob[:, k], p.floor, total.setdefault(k, np.zeros(len(vocab), np.int64)))
+
+            held: list[pa.RecordBatch] = []
+            for b in batches:
+                held.append(b)
+                if sum(map(len, held)) >= WORDS_HELD or sum(x.nbytes for x in held) >= BYTES_HELD:
+                    count(held)
+                    held = []
+            if held:
+                count(held)
+            for k, x in total.items():
+                at = np.flatnonzero(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(x[at])], ["k", "piece", "uses"])
+
+        found = counts.mapInArrow(run, "k int, piece int, uses long").groupBy("k", "piece").agg(F.sum("uses").alias("uses")).toArrow()
+        total = np.full(prob.shape, p.smoothing)
+        total[found.column("piece").to_numpy(), found.column("k").to_numpy()] += found.column("uses").to_numpy() / UNITS
+        prob = total / total.sum(0)
+        shared.unpersist()
+    common.drop(spark, path)
+    return Model(langs, vocab, prob, p.floor)
+
+
 def train(docs: DataFrame, p: Params, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model from a bounded sample (p.docs_per_lang whole documents of each language) of the rows that aren't held out."""
+    """A model from all rows that aren't held out, or, with p.docs_per_lang, from so many whole documents of each language."""
     rows = docs.where(common.crc_mod(id_col, p.held_mod) != p.held_rest)
+    if p.docs_per_lang is None:
+        return fit_all(rows, p, lang_col, text_col)
     return fit(sampling.labelled(rows, lang_col, text_col, id_col, p.docs_per_lang), p)
 
 

@@ -112,6 +112,21 @@ def test_language_held_out_accuracy_and_awkward_rows(spark, lang_params):
     assert got[9005].lang_pred == got[9006].lang_pred
 
 
+def test_language_learns_from_all_documents(spark):
+    """More documents of a language than the former bound of 400: the model is that of all of them, however they are dealt out."""
+    p = langid.Params(tokens.public("piece_bpe_32k.model"))
+    r = random.Random(12)
+    rows = [(i, text(r, lang, 4) + ("" if i % 50 else " " + "pasapa" * 9), lang) for i, lang in enumerate(["aa", "bb"] * 700)]
+    learned = [(lang, t) for i, t, lang in rows if __import__("zlib").crc32(str(i).encode()) % 4 != 2]
+    assert len(learned) > 2 * 400
+    docs = spark.createDataFrame([*rows, (9001, None, "aa"), (9002, "", "bb"), (9003, "ka lo", None)], "doc_id long, text string, lang string")
+    one, other = (langid.train(docs.repartition(n), p) for n in (1, 7))
+    want = langid.fit(learned, p)
+    assert one.langs == want.langs == ["aa", "bb"] and one.vocabulary == want.vocabulary
+    assert one.prob == pytest.approx(want.prob, rel=1e-4)
+    assert (one.prob == other.prob).all()
+
+
 def test_language_empty_tables_and_clashing_names(spark, lang_params):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     model = langid.train(empty, lang_params)
