@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given
@@ -229,3 +230,95 @@ def test_spectrum_adds_up_over_tasks_and_batches(spark):
     plan = kmers.spectrum(df, 9)._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" not in plan and "hashpartitioning(share" in plan and "hashpartitioning(kmer" not in plan
     assert kmers.spectrum(df.where("false"), 9).isEmpty()
+
+
+def test_document_frequency_deals_shares_and_keeps_reads_of_several_rows_whole(spark):
+    """A read of several rows counts once for a k-mer wherever its rows lie, and so do all rows without an id; where ids are unique nothing is dealt by k-mer and read."""
+    r = random.Random(6)
+    base = "".join(r.choice("ACGT") for _ in range(200))
+    rows = [(i if i % 7 else None, base[p : p + 30]) for i, p in enumerate(r.randint(0, 170) for _ in range(90))] + [(3, base[:60]), (3, base[20:80]), (4, "ACN"), (4, None), (500, "ACG" * 12)]
+    want = {}
+    for i, s in rows:
+        for e in range(len(s or "") - 8):
+            if "N" not in s[e : e + 9]:
+                want.setdefault(min(s[e : e + 9], rc(s[e : e + 9])), set()).add(i)
+    df = spark.createDataFrame(rows, "read_id long, seq string").repartition(6)
+    assert {x.kmer: x.n_reads for x in kmers.as_text(kmers.document_frequency(df, 9), 9).collect()} == {w: len(i) for w, i in want.items()}
+    once = spark.createDataFrame(list(enumerate(s for _, s in rows)), "read_id long, seq string").repartition(6)
+    out = kmers.document_frequency(once, 9)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(share" in plan and "hashpartitioning(kmer" not in plan and "HashAggregate" not in plan
+    assert dict(map(tuple, out.collect())) == dict(map(tuple, kmers.windows(once, 9).select("kmer", "read_id").distinct().groupBy("kmer").count().collect()))
+    assert kmers.document_frequency(df.where("false"), 9).isEmpty()
+
+
+@pytest.mark.parametrize("k", [1, 4, 17, 31])
+def test_decoded_equals_decode(spark, k):
+    """Texts from whole batches of numbers, null too; the spectrum's texts are no longer an expression that grows with k."""
+    r = random.Random(k)
+    df = spark.createDataFrame([(None,), (0,), ((1 << 2 * k) - 1,)] + [(r.getrandbits(2 * k),) for _ in range(300)], "kmer long").coalesce(1)
+    got = df.select("kmer", dna.decode(F.col("kmer"), k).alias("a"), kmers.decoded(F.col("kmer"), k).alias("b")).collect()
+    assert len(got) == 303 and all(x.a == x.b and (x.kmer is None or len(x.b) == k) for x in got)
+    assert "ArrowEvalPython" in kmers.as_text(df, k)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shares_of_kmers_travel_as_gaps():
+    """At most three bytes for a k-mer of a lot and one for its count, where they took twelve."""
+    rng = np.random.default_rng(3)
+    for k in (1, 2, 9, 17, 31):
+        x = np.unique(rng.integers(0, 1 << 2 * k, 20_000))
+        m = kmers._mixed(x, 2 * k)
+        assert m.min() >= 0 and m.max() < 1 << 2 * k and len(np.unique(m)) == len(x) and (kmers._mixed(m, 2 * k, True) == x).all()
+    x = np.sort(kmers._mixed(np.unique(rng.integers(0, 1 << 34, 1_000_000)), 34))
+    low = 34 - kmers.SHARE
+    cut = np.flatnonzero(np.diff(x >> low, prepend=-1))
+    gap = np.diff(x, prepend=0)
+    gap[cut] = x[cut] & (1 << low) - 1
+    b, ends = kmers._packed(gap, cut)
+    assert (kmers._unpacked(b) == gap).all() and len(ends) == len(cut) and ends[-1] == len(b) < 3 * len(x)
+    assert (kmers._unpacked(b[ends[4] : ends[5]]) == gap[cut[5] : cut[6]]).all()
+    assert len(kmers._packed(np.zeros(50, np.int64), np.array([0]))[0]) == 50
+    many = np.array([0, 127, 128, 1 << 34, (1 << 62) + 5])
+    assert (kmers._unpacked(kmers._packed(many, np.array([0, 2]))[0]) == many).all()
+
+
+def test_pairs_are_sorted_in_one_word_or_two():
+    rng = np.random.default_rng(4)
+    for k in (3, 17, 31):
+        kmer, number = rng.integers(0, 1 << 2 * k, 5000) // 3 * 3, rng.integers(0, 700, 5000)
+        order = np.lexsort((number, kmer))
+        a, b = kmers._sorted_pairs(kmer, number, k, 700)
+        assert (a == kmer[order]).all() and (b == number[order]).all()
+
+
+def test_tiles_are_the_rule_read_by_read(spark, tmp_path):
+    """Documents with odd ids and texts, and one of many reads, against the rule written out; whole documents are cut as bytes, without an expression for each read."""
+    from seqloom import fixtures as fx
+
+    r = random.Random(9)
+    rows = [(i, None if i == 8 else "".join(r.choice("abcdefghijklmnopqrstuvwxyzABXYZ  .é日\n") for _ in range(r.choice([0, 74, 90, 100, 140, 700])))) for i in [*range(-9, 20), None, 10**10]] + [(5, "Quilt zebra " * 30_000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    turn = str.maketrans("ACGT", "TGCA")
+    want, raw = [], []
+    for i, text in rows:
+        letters = "".join(c for c in (text or "") if c.isascii() and c.isalpha()).lower()
+        places = list(range(0, len(letters) - 74, 15)) if len(letters) >= 75 else []
+        if places and places[-1] != len(letters) - 75:
+            places.append(len(letters) - 75)
+        for p in places:
+            rid = None if i is None else i * fx.ID_STEP + p
+            raw.append((rid, i, p, letters[p : p + 75].translate(str.maketrans(fx.LETTERS, fx.RAW_BASES))))
+            f = s = letters[p : p + 75].translate(str.maketrans(fx.LETTERS, fx.READ_BASES))
+            h = None if i is None else i * 31 + p
+            if h is not None and h % 4 == 0 and h >= 0:
+                s = f[: h % 75] + f[h % 75].translate(str.maketrans("ACGT", "CGTA")) + f[h % 75 + 1 :]
+            if h is not None and h > 0 and h % 2:
+                f, s = f.translate(turn)[::-1], s.translate(turn)[::-1]
+            want.append((rid, i, p, s if h is None or h >= 0 or h % 4 else None, f))
+    key = lambda x: tuple((y is not None, y) for y in x)
+    out = fx.reads(spark, str(tmp_path))
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    got = [(*x[:3], None if x.doc_id is not None and x.doc_id * 31 + x.pos < 0 and (x.doc_id * 31 + x.pos) % 4 == 0 else x.seq, x.clean) for x in out.collect()]  # those follow substring() of places before the text
+    assert sorted(got, key=key) == sorted(want, key=key) and len(got) > 20_000
+    assert sorted(map(tuple, fx.raw_reads(spark, str(tmp_path)).collect()), key=key) == sorted(raw, key=key)
+    assert fx.reads(spark, str(tmp_path), clean=False).columns == ["read_id", "doc_id", "pos", "seq"]
