@@ -263,20 +263,30 @@ def test_decoded_equals_decode(spark, k):
 
 
 def test_shares_of_kmers_travel_as_gaps():
-    """At most three bytes for a k-mer of a lot and one for its count, where they took twelve."""
+    """Less than three bytes for a k-mer and its count, where they took twelve."""
     rng = np.random.default_rng(3)
     for k in (1, 2, 9, 17, 31):
         x = np.unique(rng.integers(0, 1 << 2 * k, 20_000))
         m = kmers._mixed(x, 2 * k)
         assert m.min() >= 0 and m.max() < 1 << 2 * k and len(np.unique(m)) == len(x) and (kmers._mixed(m, 2 * k, True) == x).all()
-    x = np.sort(kmers._mixed(np.unique(rng.integers(0, 1 << 34, 1_000_000)), 34))
+    x = np.sort(kmers._mixed(np.unique(rng.integers(0, 1 << 34, 3_000_000)), 34))
+    n = np.where(rng.random(len(x)) < 0.01, rng.integers(1, 100_000, len(x)), rng.integers(1, 16, len(x)))
+    n[rng.integers(0, len(x), 50)] = 16
     low = 34 - kmers.SHARE
-    cut = np.flatnonzero(np.diff(x >> low, prepend=-1))
-    gap = np.diff(x, prepend=0)
-    gap[cut] = x[cut] & (1 << low) - 1
-    b, ends = kmers._packed(gap, cut)
-    assert (kmers._unpacked(b) == gap).all() and len(ends) == len(cut) and ends[-1] == len(b) < 3 * len(x)
-    assert (kmers._unpacked(b[ends[4] : ends[5]]) == gap[cut[5] : cut[6]]).all()
+    rows = list(kmers._shares(x, n, low))
+    got = [kmers._of_shares(b, low) for b in rows]
+    assert len(rows) > 1 and (np.concatenate([g[2] for g in got]) == x).all() and (np.concatenate([g[3] for g in got]) == n).all()
+    share = np.concatenate([g[0] for g in got])
+    assert len(np.unique(share)) == len(share) and all((g[2] >> low == np.repeat(g[0], np.diff(g[1]))).all() for g in got)
+    assert sum(sum(b.nbytes for b in g.columns[1:]) for g in rows) < 3 * len(x)
+    part = rows[1].slice(5, 7)  # a batch that begins within another's buffers
+    assert (kmers._of_shares(part, low)[2] == got[1][2][got[1][1][5] : got[1][1][12]]).all() and (kmers._of_shares(part, low)[3] == got[1][3][got[1][1][5] : got[1][1][12]]).all()
+    for bits, top in ((34, 1 << 20), (62, 1 << 20), (62, 2)):
+        km, c = rng.integers(0, 1 << bits, 4000) >> bits - 9, rng.integers(1, top, 4000)
+        want = dict.fromkeys(km.tolist(), 0)
+        for i, j in zip(km.tolist(), c.tolist()):
+            want[i] += j
+        assert dict(zip(*(y.tolist() for y in kmers._summed(km, c, bits)))) == want
     assert len(kmers._packed(np.zeros(50, np.int64), np.array([0]))[0]) == 50
     many = np.array([0, 127, 128, 1 << 34, (1 << 62) + 5])
     assert (kmers._unpacked(kmers._packed(many, np.array([0, 2]))[0]) == many).all()
