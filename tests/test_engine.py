@@ -313,3 +313,26 @@ def test_records_are_put_together_where_their_lines_lie(spark, tmp_path):
             assert sorted(map(tuple, fastx.read_fastx(spark, str(tmp_path / "a.fa")).select("record", "name", "seq").collect())) == want
         finally:
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_hits_and_gathered_reads_take_one_pass_over_all_reads(spark, tmp_path):
+    """Hits and the reads turned to the cores' strands are joined from what is near the seeds; the same as over all reads."""
+    from seqloom import queries
+    from seqloom.operators import gather, kmers
+
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxy") for _ in range(r.randint(2, 9))) for _ in range(300)]
+    texts = [" ".join(r.choice(words) for _ in range(60)) for _ in range(30)]
+    rows = [(i, texts[i % 30] if i % 4 else texts[i % 30][20:] + " zz " + texts[(i + 1) % 30]) for i in range(90)] + [(5, texts[7]), (None, texts[3])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    f = queries.Flow(spark, str(tmp_path))
+    hits = f.hits()
+    assert "MapInArrow" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    near, all_reads = f.near(), f.usable.where("read_id is not null")
+    posts = kmers.postings(f.usable, queries.K, f.counts(), queries.P.kmer_low_complexity)
+    cores = all_reads.join(f.seeds(), "read_id").selectExpr("read_id as cluster_id", "seq as core")
+    whole = gather.overhang(gather.hits(cores, posts.where("read_id is not null"), all_reads, queries.K), F.lit(0))
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, whole.collect())) and not hits.isEmpty()
+    assert "MapInArrow" not in gather.oriented(f.first_hits(), near)._jdf.queryExecution().optimizedPlan().toString()
+    want = gather.oriented(gather.first_hits(whole), all_reads)
+    assert sorted(map(tuple, f.oriented().select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
