@@ -332,3 +332,17 @@ def test_tiles_are_the_rule_read_by_read(spark, tmp_path):
     assert sorted(got, key=key) == sorted(want, key=key) and len(got) > 20_000
     assert sorted(map(tuple, fx.raw_reads(spark, str(tmp_path)).collect()), key=key) == sorted(raw, key=key)
     assert fx.reads(spark, str(tmp_path), clean=False).columns == ["read_id", "doc_id", "pos", "seq"]
+
+
+def test_marks_are_put_together_by_tasks_side_by_side(spark, monkeypatch):
+    """All keys are in the bitmap, from several lots and segments; what the driver goes through is written before."""
+    from pyspark.sql import DataFrame
+
+    monkeypatch.setattr(kmers, "SEGMENT", 10)
+    plans = []
+    rows = DataFrame.toLocalIterator
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", lambda self, *a: plans.append(self._jdf.queryExecution().optimizedPlan().toString()) or (x for x in self.collect()) if rows else None)
+    keys = spark.range(0, 30_000, 3, 5)
+    log, bits = kmers.marks(keys, "id", 10_000).value
+    assert kmers.met((log, bits), np.arange(0, 30_000, 3)).all() and kmers.met((log, bits), np.arange(1, 30_000, 3)).mean() < 0.1
+    assert plans and "MapInArrow" not in plans[0]
